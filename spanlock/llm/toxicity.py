@@ -27,11 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of_id, table
+from .common import crc_of_id, cut, table
 from .ngrams import END, blocks, hashed
 
 ORDERS = (5, 7)
 BITS = 20
+
+#: Labelled documents that a model is fitted on, at most (about).
+FIT_DOCS = 12_000
 CHUNK = 1 << 12
 
 
@@ -66,13 +69,19 @@ def _buckets(sentence: np.ndarray, codes: np.ndarray) -> Iterator[np.ndarray]:
         yield bucket
 
 
-def _sample(labelled: DataFrame, fit_docs: int) -> tuple[DataFrame, float]:
-    """(text, toxic), about ``fit_docs`` rows at most, each class at most half of them; and the share of toxic labels."""
-    rows = labelled.where("text is not null and toxic is not null").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS) -> tuple[DataFrame, float]:
+    """(text, toxic) of about ``fit_docs`` labelled documents at most, each class at most half; and the share of toxic labels.
+
+    The sample is drawn from the labels by id hash and is small enough to be broadcast to the
+    documents, whose texts stay where they are. Null labels, ids and texts are left out; a
+    document labelled both ways is toxic; labels of documents that are not in ``docs`` do no harm.
+    """
+    rows = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, fit_docs / 2 / counts.get(1, 1)))).otherwise(F.lit(min(1.0, fit_docs / 2 / counts.get(0, 1))))
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1 << 20)) / float(1 << 20) < share)
-    return sample, counts.get(1, 0) / max(1, sum(counts.values()))
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) / float(1 << 20) < share)
+    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    return cut(sample), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,10 +187,10 @@ def _train(rows: list, odds: np.ndarray, rounds: int, ridge: float, rare: float)
     return float(bias), w
 
 
-def fit(labelled: DataFrame, *, fit_docs: int = 12_000, least: int = 4, chi2: float = 12.0, rounds: int = 400, ridge: float = 1e-5) -> Model:
-    """Trains on (text, toxic)."""
+def fit(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS, least: int = 4, chi2: float = 12.0, rounds: int = 400, ridge: float = 1e-5) -> Model:
+    """Trains on the texts of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     size = (len(ORDERS) << BITS) + 1
-    sample, rare = _sample(labelled, fit_docs)
+    sample, rare = labelled_sample(docs, labels, fit_docs=fit_docs)
     counted = sample.mapInArrow(_frequencies, "chunk int, counts binary").persist()
     docs = sum((np.frombuffer(r["counts"], dtype=np.int64) for r in counted.where("chunk = -1").collect()), np.zeros(2, dtype=np.int64))
     if not docs.all():
@@ -240,14 +249,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(work, schema)
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
-
-
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a model that has not seen those held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_of_id() % 5 == 0
-    model = fit(labelled_documents(docs, table(spark, sf_dir, "labels")).where(~held_out))
+    model = fit(docs, table(spark, sf_dir, "labels").where(~held_out))
     rows = score(docs.withColumn("held_out", held_out), model)
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
