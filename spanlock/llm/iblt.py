@@ -158,10 +158,10 @@ def with_next(docs: DataFrame, ahead: dict[str, str]) -> DataFrame:
         again = F.struct(to.alias("run"), (F.col("__run") == firsts[0][0]).cast("int").alias("wrap"), F.lit(True).alias("extra"))
         first = F.col("__id").isin([f[1] for f in firsts]) & F.col("__key").isin([f[2] for f in firsts])
         places = F.when(first, F.array(own, again)).otherwise(F.array(own))
-    rows = rows.select(*docs.columns, "__id", "__key", F.explode(places).alias("p"))
-    order = Window.partitionBy("p.run").orderBy("p.wrap", "__id", "__key", "p.extra")
+    rows = rows.select(*docs.columns, "__id", "__key", F.explode(places).alias("__p"))
+    order = Window.partitionBy("__p.run").orderBy("__p.wrap", "__id", "__key", "__p.extra")
     rows = rows.withColumns({new: F.lead(c).over(order) for new, c in ahead.items()})
-    return rows.where("not p.extra").select(*docs.columns, *ahead)
+    return rows.where("not __p.extra").select(*docs.columns, *ahead)
 
 
 def op10_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

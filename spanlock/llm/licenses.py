@@ -121,25 +121,24 @@ def headers(files: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHO
 def scan(files: DataFrame, *, path: Column, licence_file: Column, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Adds path, license, cosine, how (header, inherited or none) and from_dir.
 
-    licence_file: a condition on the columns of files and the line of a header that makes its file the licence file of its directory.
+    licence_file: a condition on the columns of files that makes a file with a header the licence file of its directory.
     """
     files = files.drop("path", *RESULTS).withColumn("path", path)
-    keyed = files.withColumn("key", F.xxhash64("path", "text"))
+    keyed = files.select(F.struct(*files.columns).alias("__row"), "path", "text", licence_file.alias("may_give"), F.xxhash64("path", "text").alias("key"))
     best = F.min_by(F.struct("license", "cosine", "line"), F.struct(-F.col("cosine"), F.col("line")))
     found = cut(headers(keyed.select("key", "text"), templates=templates, threshold=threshold))
     own = cut(found.groupBy("key").agg(best.alias("own")))
-    rows = keyed
-    names = join_small(keyed, found, ["key"])
+    names = join_small(keyed.where("may_give").select("key", "path"), found, ["key"])
     parent = F.regexp_replace("path", "/?[^/]*$", "")
-    per_dir = names.where(licence_file).select(parent.alias("dir"), "license", "cosine", "path").groupBy("dir").agg(F.min_by(F.struct("license", "cosine"), F.struct(-F.col("cosine"), F.col("path"))).alias("given"))
+    per_dir = names.select(parent.alias("dir"), "license", "cosine", "path").groupBy("dir").agg(F.min_by(F.struct("license", "cosine"), F.struct(-F.col("cosine"), F.col("path"))).alias("given"))
     dirs = keyed.select(parent.alias("__dir")).distinct()
     parts = F.split("__dir", "/")
     above = dirs.select("__dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).select("__dir", "depth", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/").alias("dir"))
     inherited = cut(above.join(per_dir, "dir").groupBy("__dir").agg(F.max_by(F.struct("given", "dir"), "depth").alias("inherited")))
-    rows = join_small(rows.withColumn("__dir", parent), inherited, ["__dir"], "left")
+    rows = join_small(keyed.select("__row", "key", parent.alias("__dir")), inherited, ["__dir"], "left")
     rows = join_small(rows, own, ["key"], "left")
     return rows.select(
-        *files.columns,
+        "__row.*",
         F.coalesce("own.license", "inherited.given.license").alias("license"),
         F.coalesce("own.cosine", "inherited.given.cosine").alias("cosine"),
         F.when(F.col("own").isNotNull(), F.lit("header")).when(F.col("inherited").isNotNull(), F.lit("inherited")).otherwise(F.lit("none")).alias("how"),
