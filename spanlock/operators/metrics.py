@@ -75,6 +75,17 @@ def delays(committed: DataFrame, visible: DataFrame, steps: DataFrame) -> DataFr
     return rows.select(*KEY, F.col("step").alias("commit_step"), (F.col("visible_word_count") - F.col("end_word") - 1).alias("context_words"), (F.col("step") - F.col("visible_step")).alias("update_delay"))
 
 
+def delay_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: number, mean, median and 95th percentile of the words waited, and mean updates waited."""
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("context_words").alias("mean_words"),
+        F.percentile("context_words", F.lit(0.5)).alias("median_words"),
+        F.percentile("context_words", F.lit(0.95)).alias("p95_words"),
+        F.avg("update_delay").alias("mean_updates"),
+    )
+
+
 def churn(snapshots: DataFrame, steps: DataFrame) -> DataFrame:
     """Per stream: entities that differ between adjacent snapshots, and those in either."""
     item = F.struct("start_word", "end_word", "label")

@@ -36,6 +36,21 @@ def blocked_revisions(ready: DataFrame, committed: DataFrame) -> DataFrame:
     return ready.join(committed.select(*KEY), KEY, "left_anti").groupBy("example_id").agg(F.count(F.lit(1)).alias("blocked_revisions"))
 
 
+def block_reasons(ready: DataFrame, committed: DataFrame) -> DataFrame:
+    """(key, step, reason, blocker_start, blocker_step): why a ready row is blocked, and by which commit.
+
+    ``committed_overlap`` if an overlapping commit is older than the row, ``ready_overlap`` if it
+    was made in the same step; the blocker is the first by step and start. Spans meet by the words
+    they share, an equi-join, and a word is in one commit at most.
+    """
+    words = lambda df: df.withColumn("word", F.explode(F.sequence("start_word", "end_word")))
+    owners = words(committed.select("example_id", "start_word", "end_word", F.col("step").alias("at"))).select("example_id", "word", F.struct("at", F.col("start_word").alias("start")).alias("owner"))
+    rows = ready.join(committed.select(*KEY), KEY, "left_anti")
+    met = words(rows.select(*KEY, "step")).join(owners, ["example_id", "word"]).where("owner.at <= step")
+    first = met.groupBy(*KEY, "step").agg(F.min("owner").alias("o"))
+    return first.select(*KEY, "step", F.when(F.col("o.at") < F.col("step"), "committed_overlap").otherwise("ready_overlap").alias("reason"), F.col("o.start").alias("blocker_start"), F.col("o.at").alias("blocker_step"))
+
+
 def greedy_decode(updates: DataFrame, threshold: float) -> DataFrame:
     """Entities of each snapshot: labels of the state above (not at) the threshold, best first, overlaps dropped."""
     row = F.struct((-F.col("probability")).alias("s"), "start_word", "end_word", "label")

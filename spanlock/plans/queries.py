@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import buffer as B
 from ..operators import metrics as M
 from ..operators import policies as P
 from ..operators import resolve as R
 from ..operators import selection as S
 from ..operators import updates as U
+from ..sources import traces
 from ..sources.tables import conversation_steps, table
+from ..streaming import commits as stream_
 
 #: Turns are long, so the window that is scored again reaches back 100 words.
 HOW = U.Scoring(right_context=100)
@@ -73,10 +76,12 @@ def _ready(s: Stream, policy: str) -> DataFrame:
         return P.ema(s.states, 0.7, 0.5)
     if policy == "stability_gate":
         return P.stability_gate(P.gate_features(s.states), 0.6, epsilon=0.5, min_margin=0.1, max_extension=0.3)
+    if policy == "edge_buffer":
+        return B.edge_buffer(s.states, TAU, 2)
     return P.oracle_stable(s.states, TAU)
 
 
-POLICIES = ("fixed_threshold", "fixed_lag", "snapshot_patience", "rescore_patience", "ema", "stability_gate", "oracle_stable")
+POLICIES = ("fixed_threshold", "fixed_lag", "snapshot_patience", "rescore_patience", "ema", "stability_gate", "oracle_stable", "edge_buffer")
 
 # --- SQL ---------------------------------------------------------------------------------
 
@@ -141,6 +146,9 @@ max(probability) OVER b - min(probability) OVER b AS label_margin,
 coalesce(max(probability) OVER (PARTITION BY example_id, step, start_word, label ORDER BY end_word ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - probability, 0.0) AS extension_advantage
 FROM states WINDOW b AS (PARTITION BY example_id, step, start_word, end_word)),
 ready AS (SELECT {_K}, step, probability, probability AS readiness FROM gate WHERE probability >= 0.6 AND instability <= 0.5 AND label_margin >= 0.1 AND extension_advantage <= 0.3)""",
+    "edge_buffer": f"""eb AS (SELECT *, max(step) OVER (PARTITION BY example_id) AS last_step,
+min(CASE WHEN probability >= 0.8 AND tail_distance_words = 0 THEN step END) OVER (PARTITION BY example_id, start_word ORDER BY step RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM states),
+ready AS (SELECT {_K}, step, probability, probability AS readiness FROM eb WHERE probability >= 0.8 AND (since IS NULL OR step >= since + 2 OR step = last_step))""",
     "oracle_stable": f"""lo AS (SELECT *, max(step) FILTER (probability < 0.8) OVER (PARTITION BY {_K}) AS low FROM states),
 ready AS (SELECT {_K}, step, probability, probability AS readiness FROM lo WHERE low IS NULL OR step > low)""",
 }
@@ -260,6 +268,31 @@ def blocked_revisions(spark, sf_dir):
     return R.blocked_revisions(ready, R.commits(ready))
 
 
+@_query("block_reasons", _with(_FIXED, f""", bl AS (SELECT r.*, min({{'at': c.step, 'start': c.start_word}}) AS o FROM (SELECT {_K}, step FROM ready ANTI JOIN commits USING ({_K})) r
+JOIN commits c ON r.example_id = c.example_id AND r.start_word <= c.end_word AND c.start_word <= r.end_word AND c.step <= r.step GROUP BY ALL)
+SELECT {_K}, step, CASE WHEN o.at < step THEN 'committed_overlap' ELSE 'ready_overlap' END AS reason, o.start AS blocker_start, o.at AS blocker_step FROM bl"""))
+def block_reasons(spark, sf_dir):
+    ready = _ready(stream(spark, sf_dir), "fixed_threshold")
+    return R.block_reasons(ready, R.commits(ready))
+
+
+@_query("stream_commits", _with(_OBS + ", " + _READY["fixed_threshold"] + ", " + _COMMITS, "SELECT *, 'live' AS phase FROM commits"))
+def stream_commits(spark, sf_dir):
+    """The commits of the threshold policy from a Structured Streaming query."""
+    folder = stream_.shared_folder(spark)
+    ready = P.first_ready(_ready(stream(spark, sf_dir), "fixed_threshold"))
+    ready.write.parquet(f"{folder}/ready")
+    return stream_.run_available(spark, f"{folder}/ready", f"{folder}/commits", f"{folder}/checkpoint")
+
+
+@_query("trace_violations", _with(_UPDATES, """SELECT 'unknown_step' AS rule, example_id, step FROM updates ANTI JOIN steps USING (example_id, step)
+UNION ALL SELECT 'unseen_word', example_id, step FROM updates WHERE end_word >= visible_word_count
+UNION ALL SELECT 'word_order', example_id, step FROM updates WHERE start_word < 0 OR end_word < start_word"""))
+def trace_violations(spark, sf_dir):
+    s = stream(spark, sf_dir)
+    return traces.violations(s.steps, s.updates)
+
+
 # --- metrics -----------------------------------------------------------------------------
 
 
@@ -346,6 +379,13 @@ def delays(spark, sf_dir):
     return M.delays(c, M.visibility(s.gold, s.steps), s.steps)
 
 
+@_query("delay_summary", _with(_FIXED + _VISIBLE, f""", d AS (SELECT c.label, s.visible_word_count - c.end_word - 1 AS w, c.step - v.visible_step AS u FROM commits c JOIN vis v USING ({_K}) JOIN steps s ON s.example_id = c.example_id AND s.step = c.step)
+SELECT label, count(*) AS n, avg(w) AS mean_words, quantile_cont(w, 0.5) AS median_words, quantile_cont(w, 0.95) AS p95_words, avg(u) AS mean_updates FROM d GROUP BY label"""))
+def delay_summary(spark, sf_dir):
+    s, c = _fixed(spark, sf_dir)
+    return M.delay_summary(M.delays(c, M.visibility(s.gold, s.steps), s.steps), ["label"])
+
+
 _SNAPSHOTS = f""", sr AS (SELECT example_id, step, list({{'s': -probability, 'start_word': start_word, 'end_word': end_word, 'label': label}} ORDER BY -probability, start_word, end_word, label) AS rows FROM states WHERE probability > 0.9 GROUP BY ALL),
 sf AS (SELECT example_id, step, list_reduce(list_transform(rows, lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: k.start_word <= x[1].end_word AND x[1].start_word <= k.end_word)) > 0 THEN kept ELSE list_concat(kept, x) END) AS kept FROM sr),
 su AS (SELECT example_id, step, unnest(kept) AS k FROM sf),
@@ -399,6 +439,37 @@ def pareto_front(spark, sf_dir):
     return S.pareto_2d(_points(spark, sf_dir), "delay", "error")
 
 
+_CONFIGS = """WITH cf AS (SELECT l_returnflag AS mode, l_linenumber AS id, round(avg(l_discount), 6) AS delay, round(avg(l_tax), 6) AS error, round(avg(l_quantity), 6) AS recall FROM lineitem GROUP BY ALL)"""
+
+
+def _configs(spark, sf_dir):
+    avg = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("mode"), F.col("l_linenumber").alias("id")).agg(avg("l_discount", "delay"), avg("l_tax", "error"), avg("l_quantity", "recall"))
+
+
+@_query("pareto_three", _CONFIGS + """ SELECT * FROM cf a WHERE NOT EXISTS (SELECT 1 FROM cf b WHERE b.delay <= a.delay AND b.error <= a.error AND b.recall >= a.recall
+AND (b.delay < a.delay OR b.error < a.error OR b.recall > a.recall))""")
+def pareto_three(spark, sf_dir):
+    return S.pareto(_configs(spark, sf_dir), ["delay", "error"], ["recall"])
+
+
+@_query("constrained_best", _CONFIGS + " SELECT * FROM cf QUALIFY row_number() OVER (PARTITION BY mode ORDER BY CASE WHEN recall >= 25.6 THEN 0 ELSE 1 END, delay, error, id) = 1")
+def constrained_best(spark, sf_dir):
+    return S.constrained_best(_configs(spark, sf_dir), ["mode"], F.col("recall") >= 25.6, [F.col("delay"), F.col("error"), F.col("id")])
+
+
+@_query("bootstrap_difference")
+def bootstrap_difference(spark, sf_dir):
+    """Threshold against lag policy: precision over conversations as parents, tasks as strata."""
+    s = stream(spark, sf_dir)
+    counts = []
+    for policy in ("fixed_threshold", "fixed_lag"):
+        c = M.strict_counts(R.commits(_ready(s, policy)), s.gold)
+        counts.append(c.select("example_id", F.col("tp").cast("double").alias(f"tp_{policy}"), (F.col("tp") + F.col("fp")).cast("double").alias(f"n_{policy}")))
+    rows = counts[0].join(counts[1], "example_id", "full").na.fill(0.0).withColumn("task", F.col("example_id") % 4)
+    return S.paired_bootstrap(rows, "task", "example_id", ("tp_fixed_threshold", "n_fixed_threshold"), ("tp_fixed_lag", "n_fixed_lag"), replicates=500)
+
+
 @_query("parent_split", """SELECT doc_id, CASE WHEN list_reduce(list_transform(string_split(sha256('salt:' || source || ':' || lang || ':' || doc_id), ''), lambda c: CAST(strpos('0123456789abcdef', c) - 1 AS BIGINT)), lambda a, c: (a * 16 + c) % 100) < 20 THEN 'dev' ELSE 'test' END AS split FROM documents""")
 def parent_split(spark, sf_dir):
     key = F.concat_ws(":", F.lit("salt"), "source", "lang", F.col("doc_id").cast("string"))
