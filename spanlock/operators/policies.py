@@ -1,13 +1,15 @@
 """Commitment policies: when a candidate of a stream is ready.
 
 Readiness depends on a candidate's own past alone, so the first step at which a policy is
-ready is a filter and a minimum over ``candidate_states``, for all candidates at once.
+ready is a filter and a minimum over ``candidate_states``, for all candidates at once. Where
+readiness changes only with a new score (``fixed_threshold``, ``rescore_patience``, ``ema``) the
+far fewer score events give the same first step: these take ``observations`` too.
 Comparison is always probability >= threshold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["example_id", "start_word", "end_word", "label"]
@@ -43,7 +45,8 @@ def rescore_patience(states: DataFrame, threshold: float, patience: int) -> Data
 def ema(states: DataFrame, threshold: float, alpha: float) -> DataFrame:
     """Exponential average over real scores; cached steps keep it."""
     key = Window.partitionBy(*KEY).orderBy("step")
-    scores = F.collect_list(F.when(F.col("was_rescored"), F.col("probability"))).over(key.rowsBetween(Window.unboundedPreceding, 0))
+    scored = F.col("was_rescored") if "was_rescored" in states.columns else F.lit(True)
+    scores = F.collect_list(F.when(scored, F.col("probability"))).over(key.rowsBetween(Window.unboundedPreceding, 0))
     rows = states.withColumn("scores", scores)
     average = F.aggregate(F.slice("scores", 2, 1 << 30), F.element_at("scores", 1), lambda e, p: p * alpha + e * (1 - alpha))
     rows = rows.withColumn("ema", average)
@@ -51,21 +54,13 @@ def ema(states: DataFrame, threshold: float, alpha: float) -> DataFrame:
 
 
 def gate_features(states: DataFrame) -> DataFrame:
-    """Features of the stability gate: instability, margin of the span's two best labels, advantage of longer spans."""
-    boundary = Window.partitionBy("example_id", "step", "start_word", "end_word")
+    """Features of the stability gate: instability, margin of the span's two best labels, advantage of longer spans.
+
+    The first two belong to the last score and are carried with it; only the third looks at other spans.
+    """
     family = Window.partitionBy("example_id", "step", "start_word", "label").orderBy("end_word").rowsBetween(1, Window.unboundedFollowing)
-    sorted_ = F.sort_array(F.collect_list("probability").over(boundary), asc=False)
-    rows = states.withColumn("best", sorted_).withColumn("longer", F.max("probability").over(family))
-    return rows.select(
-        *KEY,
-        "step",
-        "probability",
-        "rescore_count",
-        "tail_distance_words",
-        F.coalesce(F.array_max(F.transform("rolling_deltas", F.abs)), F.lit(0.0)).alias("instability"),
-        (F.element_at("best", 1) - F.coalesce(F.try_element_at("best", F.lit(2)), F.lit(0.0))).alias("label_margin"),
-        F.coalesce(F.col("longer") - F.col("probability"), F.lit(0.0)).alias("extension_advantage"),
-    )
+    rows = states.withColumn("longer", F.max("probability").over(family))
+    return rows.select(*KEY, "step", "probability", "rescore_count", "tail_distance_words", "instability", "label_margin", F.coalesce(F.col("longer") - F.col("probability"), F.lit(0.0)).alias("extension_advantage"))
 
 
 def stability_gate(features: DataFrame, threshold: float, *, min_rescores: int = 1, epsilon: float | None = None, min_margin: float | None = None, max_extension: float | None = None, min_tail: int | None = None) -> DataFrame:
@@ -89,6 +84,28 @@ def oracle_stable(states: DataFrame, threshold: float) -> DataFrame:
     return _ready(states.withColumn("low", low).where("low is null or step > low"))
 
 
-def first_ready(ready: DataFrame) -> DataFrame:
-    """A candidate's first ready row; later ones cannot commit it (see ``resolve``)."""
-    return ready.groupBy(*KEY).agg(F.min_by(F.struct("step", "probability", "readiness"), "step").alias("r")).select(*KEY, "r.*")
+def first_ready(ready: DataFrame, policy: tuple[str, ...] = ()) -> DataFrame:
+    """A candidate's first ready row; later ones cannot commit it (see ``resolve``). ``policy`` names columns that tell policies apart."""
+    return ready.groupBy(*policy, *KEY).agg(F.min_by(F.struct("step", "probability", "readiness"), "step").alias("r")).select(*policy, *KEY, "r.*")
+
+
+def grid(rows: DataFrame, policies: dict[str, Column]) -> DataFrame:
+    """Ready rows of many policies in one pass: each row is repeated for the policies whose condition it meets."""
+    met = F.array(*(F.when(condition, F.lit(name)) for name, condition in policies.items()))
+    rows = rows.select(*KEY, "step", "probability", F.explode(F.filter(met, lambda m: m.isNotNull())).alias("policy_id"))
+    return rows.withColumn("readiness", F.col("probability"))
+
+
+def gate_ablations(threshold: float, epsilon: float, min_margin: float, max_extension: float, min_tail: int) -> dict[str, Column]:
+    """The stability gate, the gate without each of its three features, and with a least tail distance: conditions for ``grid``."""
+    base = F.col("probability") >= threshold
+    gates = {"instability": F.col("instability") <= epsilon, "label_margin": F.col("label_margin") >= min_margin, "extension": F.col("extension_advantage") <= max_extension}
+
+    def without(left_out: str | None) -> Column:
+        ok = base
+        for name, gate in gates.items():
+            ok = ok if name == left_out else ok & gate
+        return ok
+
+    out = {"full": without(None)} | {f"minus_{name}": without(name) for name in gates}
+    return out | {"plus_tail_distance": without(None) & (F.col("tail_distance_words") >= min_tail)}

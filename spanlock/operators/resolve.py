@@ -12,23 +12,30 @@ from pyspark.sql import functions as F
 
 from .policies import KEY, first_ready
 
+#: Conditions under which a kept row k blocks a row x: they share a word; or, nested, they cross or are the same span.
+OVERLAP = "k.start_word <= x.end_word and x.start_word <= k.end_word"
+CROSSING = f"{OVERLAP} and (k.start_word < x.start_word) = (k.end_word < x.end_word) and (k.start_word > x.start_word) = (k.end_word > x.end_word)"
 
-def commits(ready: DataFrame, *, flat: bool = True) -> DataFrame:
-    """(key, step, readiness): the committed candidates.
+
+def _greedy(blocks: str) -> str:
+    """SQL of the rows kept when ``rows`` are taken in order and blocked by those already kept."""
+    return f"aggregate(rows, slice(rows, 1, 0), (kept, x) -> if(exists(kept, k -> {blocks}), kept, array_append(kept, x)))"
+
+
+def commits(ready: DataFrame, *, flat: bool = True, policy: tuple[str, ...] = ()) -> DataFrame:
+    """(policy, key, step, readiness): the committed candidates.
 
     Rank inside a step: readiness, probability (both falling), start, end, label. ``flat``
     blocks any overlap in words; without it every candidate commits when it is ready.
+    ``policy`` names columns that tell policies apart, for a whole grid at once.
     """
-    first = first_ready(ready)
+    first = first_ready(ready, policy)
     if not flat:
-        return first.select(*KEY, "step", "readiness")
+        return first.select(*policy, *KEY, "step", "readiness")
     row = F.struct("step", (-F.col("readiness")).alias("r"), (-F.col("probability")).alias("p"), "start_word", "end_word", "label")
-    rows = first.groupBy("example_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kept = F.expr(
-        "aggregate(rows, slice(rows, 1, 0), (kept, x) -> if(exists(kept, k -> k.start_word <= x.end_word and x.start_word <= k.end_word), kept, array_append(kept, x)))"
-    )
-    out = rows.select("example_id", F.explode(kept).alias("k"))
-    return out.select("example_id", "k.start_word", "k.end_word", "k.label", "k.step", (-F.col("k.r")).alias("readiness"))
+    rows = first.groupBy(*policy, "example_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    out = rows.select(*policy, "example_id", F.explode(F.expr(_greedy(OVERLAP))).alias("k"))
+    return out.select(*policy, "example_id", "k.start_word", "k.end_word", "k.label", "k.step", (-F.col("k.r")).alias("readiness"))
 
 
 def blocked_revisions(ready: DataFrame, committed: DataFrame) -> DataFrame:
@@ -51,9 +58,13 @@ def block_reasons(ready: DataFrame, committed: DataFrame) -> DataFrame:
     return first.select(*KEY, "step", F.when(F.col("o.at") < F.col("step"), "committed_overlap").otherwise("ready_overlap").alias("reason"), F.col("o.start").alias("blocker_start"), F.col("o.at").alias("blocker_step"))
 
 
-def greedy_decode(updates: DataFrame, threshold: float) -> DataFrame:
-    """Entities of each snapshot: labels of the state above (not at) the threshold, best first, overlaps dropped."""
+def greedy_decode(updates: DataFrame, threshold: float, *, flat: bool = True) -> DataFrame:
+    """Entities of each snapshot: labels of the state above (not at) the threshold, best first.
+
+    ``flat`` drops what overlaps a better one; without it spans may lie inside each other, and
+    only those that cross a better span or are the same span with another label are dropped.
+    """
     row = F.struct((-F.col("probability")).alias("s"), "start_word", "end_word", "label")
     rows = updates.where(F.col("probability") > threshold).groupBy("example_id", "step").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kept = F.expr("aggregate(rows, slice(rows, 1, 0), (kept, x) -> if(exists(kept, k -> k.start_word <= x.end_word and x.start_word <= k.end_word), kept, array_append(kept, x)))")
+    kept = F.expr(_greedy(OVERLAP if flat else CROSSING))
     return rows.select("example_id", "step", F.explode(kept).alias("k")).select("example_id", "step", "k.start_word", "k.end_word", "k.label", (-F.col("k.s")).alias("score"))

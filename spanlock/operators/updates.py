@@ -99,12 +99,13 @@ def replay(updates: DataFrame, through_step: int | None = None) -> DataFrame:
 def observations(updates: DataFrame, how: Scoring, rolling: int = 3) -> DataFrame:
     """Trajectories: one row per span, label and score, with counts, changes and the last changes."""
     labels = F.array(*map(F.lit, how.labels))
-    rows = updates.select("example_id", "step", "visible_word_count", "start_word", "end_word", F.explode(F.arrays_zip(labels.alias("label"), F.col("probs").alias("p"))).alias("o"))
-    rows = rows.select("example_id", "start_word", "end_word", F.col("o.label").alias("label"), "step", "visible_word_count", F.col("o.p").alias("probability"))
+    rows = updates.select("example_id", "step", "visible_word_count", "start_word", "end_word", "label_margin", F.explode(F.arrays_zip(labels.alias("label"), F.col("probs").alias("p"))).alias("o"))
+    rows = rows.select("example_id", "start_word", "end_word", F.col("o.label").alias("label"), "step", "visible_word_count", "label_margin", F.col("o.p").alias("probability"))
     key = Window.partitionBy("example_id", "start_word", "end_word", "label").orderBy("step")
     rows = rows.withColumn("rescore_count", F.row_number().over(key).cast("long")).withColumn("previous", F.lag("probability").over(key))
     rows = rows.withColumn("delta", F.col("probability") - F.col("previous"))
-    return rows.withColumn("rolling_deltas", F.collect_list("delta").over(key.rowsBetween(-(rolling - 1), 0))).withColumn("next_step", F.lead("step").over(key))
+    rows = rows.withColumn("rolling_deltas", F.collect_list("delta").over(key.rowsBetween(-(rolling - 1), 0))).withColumn("next_step", F.lead("step").over(key))
+    return rows.withColumn("instability", F.coalesce(F.array_max(F.transform("rolling_deltas", F.abs)), F.lit(0.0)))
 
 
 def families(obs: DataFrame) -> DataFrame:
@@ -130,4 +131,4 @@ def candidate_states(obs: DataFrame, steps: DataFrame) -> DataFrame:
     """
     s = steps.select("example_id", F.col("step").alias("at"), F.col("visible_word_count").alias("words_now"))
     held = obs.drop("visible_word_count").join(s, "example_id").where("at >= step and (next_step is null or at < next_step)")
-    return held.select("example_id", F.col("at").alias("step"), "start_word", "end_word", "label", "probability", "rescore_count", (F.col("at") - F.col("step")).alias("snapshot_age"), (F.col("at") == F.col("step")).alias("was_rescored"), (F.col("words_now") - 1 - F.col("end_word")).alias("tail_distance_words"), "rolling_deltas")
+    return held.select("example_id", F.col("at").alias("step"), "start_word", "end_word", "label", "probability", "rescore_count", (F.col("at") - F.col("step")).alias("snapshot_age"), (F.col("at") == F.col("step")).alias("was_rescored"), (F.col("words_now") - 1 - F.col("end_word")).alias("tail_distance_words"), "rolling_deltas", "instability", "label_margin")

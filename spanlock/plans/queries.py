@@ -17,6 +17,7 @@ from ..operators import buffer as B
 from ..operators import metrics as M
 from ..operators import policies as P
 from ..operators import resolve as R
+from ..operators import revisions as V
 from ..operators import selection as S
 from ..operators import updates as U
 from ..sources import traces
@@ -81,6 +82,17 @@ def _ready(s: Stream, policy: str) -> DataFrame:
     return P.oracle_stable(s.states, TAU)
 
 
+def _first(s: Stream, policy: str) -> DataFrame:
+    """Ready rows among which is the first of every candidate: score events where they are enough."""
+    if policy == "fixed_threshold":
+        return P.fixed_threshold(s.obs, TAU)
+    if policy == "rescore_patience":
+        return P.rescore_patience(s.obs, 0.5, 2)
+    if policy == "ema":
+        return P.ema(s.obs, 0.7, 0.5)
+    return _ready(s, policy)
+
+
 POLICIES = ("fixed_threshold", "fixed_lag", "snapshot_patience", "rescore_patience", "ema", "stability_gate", "oracle_stable", "edge_buffer")
 
 # --- SQL ---------------------------------------------------------------------------------
@@ -246,11 +258,11 @@ def _add_policy(name: str) -> None:
 
     @_query(f"ready_{name}", _with(base, f"SELECT {_K}, min(step) AS step, arg_min(readiness, step) AS readiness FROM ready GROUP BY ALL"))
     def ready(spark, sf_dir):
-        return P.first_ready(_ready(stream(spark, sf_dir), name)).select(*P.KEY, "step", "readiness")
+        return P.first_ready(_first(stream(spark, sf_dir), name)).select(*P.KEY, "step", "readiness")
 
     @_query(f"commits_{name}", _with(base + ", " + _COMMITS, "SELECT * FROM commits"))
     def committed(spark, sf_dir):
-        return R.commits(_ready(stream(spark, sf_dir), name))
+        return R.commits(_first(stream(spark, sf_dir), name))
 
 
 for _name in POLICIES:
@@ -264,23 +276,23 @@ def gate_features(spark, sf_dir):
 
 @_query("blocked_revisions", _with(_FIXED, f"SELECT example_id, count(*) AS blocked_revisions FROM ready ANTI JOIN commits USING ({_K}) GROUP BY example_id"))
 def blocked_revisions(spark, sf_dir):
-    ready = _ready(stream(spark, sf_dir), "fixed_threshold")
-    return R.blocked_revisions(ready, R.commits(ready))
+    s = stream(spark, sf_dir)
+    return R.blocked_revisions(_ready(s, "fixed_threshold"), R.commits(_first(s, "fixed_threshold")))
 
 
 @_query("block_reasons", _with(_FIXED, f""", bl AS (SELECT r.*, min({{'at': c.step, 'start': c.start_word}}) AS o FROM (SELECT {_K}, step FROM ready ANTI JOIN commits USING ({_K})) r
 JOIN commits c ON r.example_id = c.example_id AND r.start_word <= c.end_word AND c.start_word <= r.end_word AND c.step <= r.step GROUP BY ALL)
 SELECT {_K}, step, CASE WHEN o.at < step THEN 'committed_overlap' ELSE 'ready_overlap' END AS reason, o.start AS blocker_start, o.at AS blocker_step FROM bl"""))
 def block_reasons(spark, sf_dir):
-    ready = _ready(stream(spark, sf_dir), "fixed_threshold")
-    return R.block_reasons(ready, R.commits(ready))
+    s = stream(spark, sf_dir)
+    return R.block_reasons(_ready(s, "fixed_threshold"), R.commits(_first(s, "fixed_threshold")))
 
 
 @_query("stream_commits", _with(_OBS + ", " + _READY["fixed_threshold"] + ", " + _COMMITS, "SELECT *, 'live' AS phase FROM commits"))
 def stream_commits(spark, sf_dir):
     """The commits of the threshold policy from a Structured Streaming query."""
     folder = stream_.shared_folder(spark)
-    ready = P.first_ready(_ready(stream(spark, sf_dir), "fixed_threshold"))
+    ready = P.first_ready(_first(stream(spark, sf_dir), "fixed_threshold"))
     ready.write.parquet(f"{folder}/ready")
     return stream_.run_available(spark, f"{folder}/ready", f"{folder}/commits", f"{folder}/checkpoint")
 
@@ -298,7 +310,7 @@ def trace_violations(spark, sf_dir):
 
 def _fixed(spark, sf_dir) -> tuple[Stream, DataFrame]:
     s = stream(spark, sf_dir)
-    return s, R.commits(_ready(s, "fixed_threshold"))
+    return s, R.commits(_first(s, "fixed_threshold"))
 
 
 _STRICT = f""", pr AS (SELECT DISTINCT {_K}, 1 AS p FROM commits), gr AS (SELECT DISTINCT {_K}, 1 AS g FROM gold),
@@ -397,6 +409,87 @@ def snapshots(spark, sf_dir):
     return R.greedy_decode(stream(spark, sf_dir).states, 0.9)
 
 
+@_query("nested_snapshots", _with(_OBS + _SNAPSHOTS.replace("k.start_word <= x[1].end_word AND x[1].start_word <= k.end_word", """k.start_word <= x[1].end_word AND x[1].start_word <= k.end_word
+AND (NOT ((k.start_word <= x[1].start_word AND x[1].end_word <= k.end_word) OR (x[1].start_word <= k.start_word AND k.end_word <= x[1].end_word)) OR (k.start_word = x[1].start_word AND k.end_word = x[1].end_word))"""), "SELECT * FROM snap"))
+def nested_snapshots(spark, sf_dir):
+    return R.greedy_decode(stream(spark, sf_dir).states, 0.9, flat=False)
+
+
+@_query("boundary_extensions", _with(_OBS + _SNAPSHOTS, """, x AS (SELECT example_id, start_word, end_word, label, step, max(end_word) OVER (PARTITION BY example_id, start_word, label ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM snap)
+SELECT * FROM x WHERE end_word > was"""))
+def boundary_extensions(spark, sf_dir):
+    return V.boundary_extensions(R.greedy_decode(stream(spark, sf_dir).states, 0.9))
+
+
+@_query("boundary_revisions", _with(_OBS + _SNAPSHOTS, """, x AS (SELECT a.example_id, a.end_word, b.end_word AS was FROM snap a JOIN snap b ON a.example_id = b.example_id AND a.start_word = b.start_word AND a.label = b.label AND b.step = a.step - 1)
+SELECT example_id, count(*) AS compared, count(*) FILTER (was <> end_word) AS moved FROM x GROUP BY example_id"""))
+def boundary_revisions(spark, sf_dir):
+    return V.boundary_revisions(R.greedy_decode(stream(spark, sf_dir).states, 0.9))
+
+
+@_query("raw_revisions", _with(_UPDATES, """SELECT example_id, count(*) AS updates, count(*) FILTER (update_kind = 'rescore') AS rescores, count(DISTINCT start_word * 100000 + end_word) AS spans,
+round(avg(abs(top_probability_delta)), 9) AS mean_change, round(quantile_cont(abs(top_probability_delta), 0.5), 9) AS median_change, round(max(abs(top_probability_delta)), 9) AS max_change FROM updates GROUP BY example_id"""))
+def raw_revisions(spark, sf_dir):
+    return V.raw_revisions(stream(spark, sf_dir).updates).select("example_id", "updates", "rescores", "spans", *(F.round(c, 9).alias(c) for c in ("mean_change", "median_change", "max_change")))
+
+
+_DETECTED = f""", det AS (SELECT g.example_id, g.start_word, g.end_word, g.label, min(s.step) AS detection_step FROM (SELECT DISTINCT {_K} FROM gold) g JOIN snap s USING ({_K}) GROUP BY ALL)"""
+
+
+@_query("first_detections", _with(_OBS + _GOLD + _SNAPSHOTS + _DETECTED, "SELECT * FROM det"))
+def first_detections(spark, sf_dir):
+    s = stream(spark, sf_dir)
+    return V.first_detections(s.gold, R.greedy_decode(s.states, 0.9))
+
+
+@_query("split_delays", _with(_FIXED + _VISIBLE + _SNAPSHOTS + _DETECTED, f"""SELECT c.example_id, c.start_word, c.end_word, c.label, c.step AS commit_step, s.visible_word_count - c.end_word - 1 AS context_words, c.step - v.visible_step AS update_delay,
+d.detection_step - v.visible_step AS model_delay, c.step - d.detection_step AS policy_delay
+FROM commits c JOIN vis v USING ({_K}) JOIN steps s ON s.example_id = c.example_id AND s.step = c.step LEFT JOIN det d ON d.example_id = c.example_id AND d.start_word = c.start_word AND d.end_word = c.end_word AND d.label = c.label"""))
+def split_delays(spark, sf_dir):
+    s, c = _fixed(spark, sf_dir)
+    visible = M.visibility(s.gold, s.steps)
+    return V.split_delays(M.delays(c, visible, s.steps), visible, V.first_detections(s.gold, R.greedy_decode(s.states, 0.9)))
+
+
+@_query("premature_silver", _with(_FIXED + _SNAPSHOTS, """SELECT DISTINCT c.example_id, c.start_word, c.end_word, c.label FROM commits c JOIN snap g ON c.example_id = g.example_id AND c.start_word = g.start_word AND c.label = g.label AND c.end_word < g.end_word
+JOIN (SELECT example_id, max(step) AS step FROM steps GROUP BY 1) l ON l.example_id = g.example_id AND l.step = g.step"""))
+def premature_silver(spark, sf_dir):
+    s, c = _fixed(spark, sf_dir)
+    return M.premature(c, V.last_snapshot(R.greedy_decode(s.states, 0.9), s.steps))
+
+
+@_query("state_differences", _with(_UPDATES, """, a AS (SELECT example_id, start_word, end_word, arg_max(probs, step) AS p FROM updates WHERE step <= 2 GROUP BY ALL), e AS (SELECT example_id, start_word, end_word, arg_max(probs, step) AS p FROM updates WHERE step <= 3 GROUP BY ALL),
+d AS (SELECT example_id, start_word, end_word, CASE WHEN a.p IS NULL THEN 'missing' WHEN e.p IS NULL THEN 'unexpected' WHEN abs(a.p[1] - e.p[1]) > 1e-6 OR abs(a.p[2] - e.p[2]) > 1e-6 THEN 'value' END AS difference FROM a FULL JOIN e USING (example_id, start_word, end_word))
+SELECT * FROM d WHERE difference IS NOT NULL"""))
+def state_differences(spark, sf_dir):
+    updates = stream(spark, sf_dir).updates
+    return V.state_differences(U.replay(updates, 2), U.replay(updates, 3))
+
+
+_GRID_COMMITS = _COMMITS + "\nSELECT split_part(example_id, '|', 1) AS policy_id, CAST(split_part(example_id, '|', 2) AS BIGINT) AS example_id, start_word, end_word, label, step, readiness FROM commits"
+
+
+@_query("commits_threshold_grid", _with(_OBS + """, ready AS (SELECT printf('threshold_%.1f', t) || '|' || example_id AS example_id, start_word, end_word, label, step, probability, probability AS readiness
+FROM states JOIN (SELECT unnest([0.5::DOUBLE, 0.6, 0.7, 0.8, 0.9]) AS t) ON probability >= t), """, _GRID_COMMITS))
+def commits_threshold_grid(spark, sf_dir):
+    """All thresholds of a grid in one pass over the score events."""
+    policies = {f"threshold_{t}": F.col("probability") >= t for t in (0.5, 0.6, 0.7, 0.8, 0.9)}
+    return R.commits(P.grid(stream(spark, sf_dir).obs, policies), policy=("policy_id",))
+
+
+_GATE = _READY["stability_gate"].split("ready AS")[0].rstrip().rstrip(",")
+
+
+@_query("commits_gate_ablations", _with(_OBS + ", " + _GATE + """, va AS (SELECT *, probability >= 0.6 AS p0, instability <= 0.5 AS p1, label_margin >= 0.1 AS p2, extension_advantage <= 0.3 AS p3, tail_distance_words >= 4 AS p4 FROM gate),
+vr AS (SELECT *, 'full' AS v FROM va WHERE p0 AND p1 AND p2 AND p3 UNION ALL SELECT *, 'minus_instability' FROM va WHERE p0 AND p2 AND p3 UNION ALL SELECT *, 'minus_label_margin' FROM va WHERE p0 AND p1 AND p3
+UNION ALL SELECT *, 'minus_extension' FROM va WHERE p0 AND p1 AND p2 UNION ALL SELECT *, 'plus_tail_distance' FROM va WHERE p0 AND p1 AND p2 AND p3 AND p4),
+ready AS (SELECT v || '|' || example_id AS example_id, start_word, end_word, label, step, probability, probability AS readiness FROM vr), """, _GRID_COMMITS))
+def commits_gate_ablations(spark, sf_dir):
+    """The stability gate and its ablations in one pass over the states."""
+    policies = P.gate_ablations(0.6, 0.5, 0.1, 0.3, 4)
+    return R.commits(P.grid(P.gate_features(stream(spark, sf_dir).states), policies), policy=("policy_id",))
+
+
 @_query("churn", _with(_OBS + _SNAPSHOTS, """, b AS (SELECT example_id, step, max(step) OVER (PARTITION BY example_id) AS last FROM steps),
 pairs AS (SELECT b.example_id, b.step, s.start_word, s.end_word, s.label, 1 AS here, 0 AS there FROM b JOIN snap s ON s.example_id = b.example_id AND s.step = b.step WHERE b.step > 1
 UNION ALL SELECT b.example_id, b.step, s.start_word, s.end_word, s.label, 0, 1 FROM b JOIN snap s ON s.example_id = b.example_id AND s.step = b.step - 1),
@@ -464,7 +557,7 @@ def bootstrap_difference(spark, sf_dir):
     s = stream(spark, sf_dir)
     counts = []
     for policy in ("fixed_threshold", "fixed_lag"):
-        c = M.strict_counts(R.commits(_ready(s, policy)), s.gold)
+        c = M.strict_counts(R.commits(_first(s, policy)), s.gold)
         counts.append(c.select("example_id", F.col("tp").cast("double").alias(f"tp_{policy}"), (F.col("tp") + F.col("fp")).cast("double").alias(f"n_{policy}")))
     rows = counts[0].join(counts[1], "example_id", "full").na.fill(0.0).withColumn("task", F.col("example_id") % 4)
     return S.paired_bootstrap(rows, "task", "example_id", ("tp_fixed_threshold", "n_fixed_threshold"), ("tp_fixed_lag", "n_fixed_lag"), replicates=500)

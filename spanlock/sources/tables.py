@@ -26,10 +26,13 @@ def read_corpus(spark: SparkSession, path: str, tasks: list[str] | None = None)
 def conversation_steps(conversations: DataFrame) -> DataFrame:
     """Each turn is one append of a stream: (example_id, step, chunk, visible_char_count, first_char).
 
-    A chunk is the turn's text and a line break, so that no word crosses two chunks.
+    A chunk is the turn's text and a line break, so that no word crosses two chunks. Turns are
+    small and become many candidates each, so they are spread over all shuffle partitions by
+    number, which adaptive execution doesn't merge by size; all later work on a stream stays there.
     """
     order = Window.partitionBy("example_id").orderBy("turn", "role", "chunk")
     rows = conversations.select(F.col("conv_id").alias("example_id"), "turn", "role", F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("chunk"))
+    rows = rows.repartition(int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")), "example_id")
     rows = rows.withColumn("step", F.row_number().over(order).cast("long"))
     seen = F.sum(F.length("chunk")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long")
     return rows.select("example_id", "step", "chunk", seen.alias("visible_char_count"), (seen - F.length("chunk")).alias("first_char"))
