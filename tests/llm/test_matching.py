@@ -120,6 +120,24 @@ def test_keep_one_is_brute_force(spark):
     assert {x["doc_id"] for x in simhash.keep_one(documents(spark, rows)).collect()} == set(root)
 
 
+def kept_by_brute_force(texts: list[str]) -> set[int]:
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    return set(groups(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])))
+
+
+def test_keep_one_finds_short_texts(spark):
+    r = random.Random(19)
+    texts = []
+    for n in range(9, 61):
+        base = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        extra = [f"w{r.randrange(10**6)}" for _ in range(max(1, n // 12))]
+        at = r.randrange(n)
+        texts += [" ".join(base), " ".join(base + extra), " ".join(extra + base), " ".join(base[:at] + ["changed"] + base[at + 1 :])]
+    want = kept_by_brute_force(texts)
+    assert len(want) < len(texts) // 2
+    assert {x["doc_id"] for x in simhash.keep_one(documents(spark, [*enumerate(texts)])).collect()} == want
+
+
 def test_near_duplicates_odd_and_empty(spark, odd, none):
     rows = {(x["doc_id"], x["component_id"]) for x in simhash.near_duplicates(odd).collect()}
     assert {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)} <= rows
