@@ -30,10 +30,14 @@ def folded() -> np.ndarray:
 
 
 def codes_of(text: str) -> np.ndarray:
-    """Folded code points, one for each of the text; letters beyond the first plane stay as they are."""
+    """Folded code points, one for each of the text."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     low = folded()[np.minimum(raw, 0xFFFF)]
-    return np.where(raw > 0xFFFF, raw, low) if len(raw) and raw.max() > 0xFFFF else low
+    beyond = raw > 0xFFFF
+    if beyond.any():
+        values, at = np.unique(raw[beyond], return_inverse=True)
+        low[beyond] = np.array([ord(chr(c).lower()) if chr(c).isalpha() else SPACE for c in values.tolist()], dtype=np.uint32)[at]
+    return low
 
 
 def blocks(texts: list[str], limit: int = BLOCK) -> Iterator[tuple[list[int], list[int], np.ndarray]]:

@@ -51,3 +51,15 @@ def test_language_odd_and_empty(spark, odd, none):
     assert language_id.predict(none, model, keep=["doc_id"]).count() == 0
     nothing = language_id.fit(none)
     assert {r["lang_pred"] for r in language_id.predict(odd, nothing, keep=["doc_id"]).collect()} == {"und"}
+
+
+def test_signs_beyond_the_first_plane_are_no_letters(spark):
+    from spanlock.llm.ngrams import codes_of
+
+    # emoji, a mathematical sign and a Gothic letter; Deseret capital to small
+    assert codes_of("a\U0001f600\U0001d6c1\U00010330").tolist() == [97, 32, 32, 0x10330]
+    assert codes_of("\U00010400\U00020000").tolist() == [0x10428, 0x20000]
+    model = language_id.fit(documents(spark, [(1, "the cat sat", "en", None), (2, "die Katze lag", "de", None)]))
+    docs = documents(spark, [(3, "\U0001f600 \U0001f601\U0001f680"), (4, "\U0001f600 the cat")])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs, model, keep=["doc_id"]).collect()}
+    assert got[3] == ("und", 0.0) and got[4][0] == "en"
