@@ -138,6 +138,18 @@ def test_keep_one_finds_short_texts(spark):
     assert {x["doc_id"] for x in simhash.keep_one(documents(spark, [*enumerate(texts)])).collect()} == want
 
 
+def test_keep_one_finds_copies_in_a_shared_passage(spark):
+    r = random.Random(23)
+    own = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = own(60)
+    for _ in range(2):
+        texts = [" ".join(own(40) + passage + own(40)) for _ in range(150)] + [" ".join(own(3) + passage + own(3)) for _ in range(8)]
+        r.shuffle(texts)
+        want = kept_by_brute_force(texts)
+        assert len(want) == 151
+        assert {x["doc_id"] for x in simhash.keep_one(documents(spark, [*enumerate(texts)])).collect()} == want
+
+
 def test_near_duplicates_odd_and_empty(spark, odd, none):
     rows = {(x["doc_id"], x["component_id"]) for x in simhash.near_duplicates(odd).collect()}
     assert {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)} <= rows
