@@ -150,6 +150,17 @@ def test_keep_one_finds_copies_in_a_shared_passage(spark):
         assert {x["doc_id"] for x in simhash.keep_one(documents(spark, [*enumerate(texts)])).collect()} == want
 
 
+def test_keep_one_compares_sets_of_shingles(spark):
+    r = random.Random(29)
+    texts = []
+    for _ in range(20):
+        base, line = [[f"w{r.randrange(10**6)}" for _ in range(n)] for n in (200, 12)]
+        texts += [" ".join(base + line), " ".join(base + line * 40)]
+    want = kept_by_brute_force(texts)
+    assert len(want) == 20
+    assert {x["doc_id"] for x in simhash.keep_one(documents(spark, [*enumerate(texts)])).collect()} == want
+
+
 def test_near_duplicates_odd_and_empty(spark, odd, none):
     rows = {(x["doc_id"], x["component_id"]) for x in simhash.near_duplicates(odd).collect()}
     assert {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)} <= rows
