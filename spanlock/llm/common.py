@@ -48,15 +48,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", rows_bound: int = BROADCAST_ROWS) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", *, weight: Column | None = None) -> DataFrame:
     """Join a per-key table to a large one whose keys may be skewed.
 
     ``small`` has one row per key and must be cheap to count (checkpointed). It is broadcast
-    up to ``rows_bound`` rows; beyond that every key is copied to ``SALTS`` salts, so
-    that a hot key of ``big`` is spread over as many tasks.
+    up to ``BROADCAST_ROWS`` rows, where a row of arrays counts as ``weight`` rows; beyond that
+    every key is copied to ``SALTS`` salts, so that a hot key of ``big`` is spread over as many tasks.
     """
     on = list(on)
-    if small.count() <= rows_bound:
+    rows = small.count() if weight is None else small.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    if rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
     salted = big.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

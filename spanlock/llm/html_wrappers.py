@@ -1,22 +1,32 @@
 """Main text of web pages through wrappers: union-free regular expressions inferred per host.
 
-A page is read as a tree of block elements with text slots; what HTML leaves out (end tags)
-is put in, and inline markup belongs to the text. The wrapper of a host starts as one page
-and is aligned with the next, level by level: the element sequences are matched by longest
-common subsequence, an element that only one side has becomes optional, runs of the same
-element or of the same few elements become repeated groups, and text that differs becomes a
-slot. A wrapper thus keeps one branch for each kind of element, so its size follows the
-host's templates and not its pages.
+A page is a stream of tokens: begins and ends of block elements, and texts (inline markup
+belongs to the text). What HTML leaves out, end tags above all, is put in. The wrapper of a
+host begins as one page and is aligned with the stream of the next, again and again. Tokens
+that both have are matched by a longest common subsequence; a token that only one side has
+is optional; a sibling that comes again in the same parent closes a square, and the siblings
+from its first place on are a repeated group; a text is a slot. A wrapper keeps one branch for each kind of
+token (its path of element names and classes), so its size follows a host's templates, not its pages.
+
+The wrapper decides which texts are the article:
+
+* literals: a text that at least ``FIXED_PAGES`` pages of the host and nine in ten of those that fill the
+  slot have is part of the template and not of the article. Texts are counted exactly, as
+  rows of (host, slot, text), and a text must come from two unlike pages, so that copies of a page are no template.
+  Inside article or main, paragraphs, headings and the like are never literals.
+* menus: a repeated group outside article and main whose text is links, on all pages together, is a menu.
+* inside: where a page fills slots inside article or main, other slots are left out.
+* names: menus, headers, footers, sidebars, notices, adverts, forms and comments that say what
+  they are, by element, class, id or role, are left out.
 
 Every page takes part: tasks fold their pages into one wrapper per host, and these meet in
 salted groups before they meet per host, so a host with a third of all pages is no longer
-than others. The slots of the finished wrapper that hold the article are then picked: inside
-article or main if the host has one, outside menus, headers, footers, sidebars, notices,
-adverts, forms and comments, and not fixed text of the template. Pages are read with that.
+than others.
 
-Defined cases: null html is empty and gives empty text; a null or odd url is a host of its
-own (empty); repeated rows are repeated pages; an empty table gives an empty result; extra
-columns do not matter.
+Defined cases: null html is empty and gives empty text; null and odd urls are together one
+host; repeated rows are repeated pages and read alike; an empty table gives an empty result; extra
+columns do not matter. Very long and very deep pages are read in one pass, without recursion; a comment, script or tag that
+does not end runs to the end of the page. Ties (the same token at two places) go to the wrapper's own order.
 """
 
 from __future__ import annotations
@@ -24,259 +34,385 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, join_small, table
 
 #: Elements without an end tag, and those that are part of the text around them.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base basefont bgsound col embed frame hr img input keygen link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements whose content is never text of the page.
-DROPPED = frozenset("script style noscript template textarea svg math iframe object select button title".split())
+#: Elements whose content is raw text up to their end tag, never text of the page.
+RAW = frozenset("script style title textarea iframe noscript noembed noframes xmp".split())
 #: Elements that end when the next one of them (or of their list) begins.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Block elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: Elements and words of class, id or role that are not the article.
-BOILERPLATE = frozenset("head nav header footer aside form dialog menu".split())
-BOILERPLATE_WORD = re.compile(
-    r"^(ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|disclaimer|dialog|footers?|headers?|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|notifications?|pagination|popup|promos?|promoted|promotions?|recommended|related|replies|responses|share|sharing|sidebars?|skip|social|sponsor(ed|s)?|subscribe|subscription|toolbar|topbar|widgets?|alerts?|complementary|contentinfo|search|login|signup)$"
+#: Elements that are not the article. A header inside the article is part of it.
+BOILERPLATE = frozenset("head nav footer aside dialog menu template svg math object select button datalist canvas audio video".split())
+#: Words of class, id or role of what is not the article, and words that say only where or how it is set.
+NAMED = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising alert alerts banner banners breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies"
+    " dialog disclaimer disqus footer footers form gdpr header headers hidden login masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications pagination pager popup"
+    " promo promos promoted promotion promotions recommended related replies reply responses search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
-#: Fixed text of this many pages is part of the template, unless it is a heading or paragraph.
-FIXED_PAGES = 5
-NEVER_FIXED = frozenset("p h1 h2 h3 h4 h5 h6 li td pre blockquote".split())
-
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b""", re.I)
-ENDS_OF = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in DROPPED}
-
-
-def _key(tag: str, attributes: str) -> tuple[str, bool]:
-    """The name of an element in a wrapper, and whether it is hidden."""
-    words, hidden = [], False
-    for name, value, flag in ATTRIBUTE.findall(attributes):
+PLACED = frozenset("left right top bottom upper lower main site page global primary secondary box area container wrapper wrap block section list links link inner outer bar item items unit slot buttons icons posts articles stories panel column col row text title content group region zone space size small large mobile desktop".split())
+#: As the last word of a name these say what it is whatever stands before.
+ALWAYS = frozenset("footer sidebar nav navbar navigation menu breadcrumb breadcrumbs comments commentlist advert advertisement pagination newsletter".split())
+#: Fixed text of this many pages, and of this share of the pages with its slot, is part of the template.
+FIXED_PAGES, FIXED_SHARE = 5, 0.9
+NEVER_FIXED = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption".split())
+#: Part of the text of a menu that is links.
+MENU_SHARE = 0.8
+
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>""")
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?+""")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
+
+#: What is known of an element by its own and its ancestors' names.
+NAMED_OUT, IN_FORM, INSIDE = 1, 2, 4
+
+
+def _says_boilerplate(name: str) -> bool:
+    """Whether one class, id or role names something that is not the article.
+
+    All its words must, besides those that only say where; or the last one is one of ``ALWAYS``.
+    ``share-price`` and ``header-image-story`` do not, ``sidebar-left`` and ``site-footer`` do.
+    """
+    parts = [p for p in re.split(r"[-_:.]+", name) if p and not re.search(r"\d", p)]
+    if not parts or parts[0] in ("has", "with", "no", "is", "js"):
+        return False
+    if parts[-1] in ALWAYS:
+        return True
+    rest = [p for p in parts if p not in PLACED]
+    return bool(rest) and all(p in NAMED for p in rest)
+
+
+def _names(tag: str, attributes: str) -> tuple[str, bool]:
+    """The name of an element in a wrapper (its tag and plain classes), and whether it is left out by its names."""
+    classes: set[str] = set()
+    out = tag in BOILERPLATE
+    for name, value in ATTRIBUTE.findall(attributes) if attributes and not attributes.isspace() else ():
+        name = name.lower()
         value = value.strip("\"'").lower()
-        if flag or (name.lower() == "style" and re.search(r"display\s*:\s*none", value)):
-            hidden = True
-        elif name and name.lower() != "style":
-            words += [w for w in re.split(r"\s+", value) if w and not re.search(r"\d{2}", w)]
-    return ".".join([tag, *sorted(set(words))[:8]]), hidden
-
-
-def parse(page: str) -> list:
-    """The page as a tree: [key, items], where an item is such a node or a text."""
-    root: list = ["", []]
-    stack: list[tuple[str, list]] = [("", root)]
+        if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value)):
+            out = True
+        elif name in ("class", "id", "role"):
+            words = value.split()
+            if tag not in ("html", "body", "main", "article"):
+                out = out or any(map(_says_boilerplate, words))
+            if name == "class":
+                classes.update(w for w in words if not re.search(r"\d", w))
+    return ".".join([tag, *sorted(classes)]), out
+
+
+def _id(parent: int, key: str, flags: int) -> int:
+    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), parent) & ((1 << 62) - 1) ^ flags
+
+
+@dataclass
+class Stream:
+    """The tokens of a page. ``order`` has each kind of token once, as first met."""
+
+    order: list[int] = field(default_factory=list)
+    #: id -> (parent, name, flags); a text slot has the name "#"
+    kinds: dict[int, tuple[int, str, int]] = field(default_factory=dict)
+    #: ids of tokens that come again in the same parent, with the first token of their group
+    groups: dict[int, int] = field(default_factory=dict)
+    #: (slot, text, characters in links, without spaces) in page order
+    texts: list[tuple[int, str, int]] = field(default_factory=list)
+
+
+class _Open:
+    """An element that is open: its id and flags, and the kinds of its children so far."""
+
+    __slots__ = ("tag", "id", "flags", "places", "children", "low", "high")
+
+    def __init__(self, tag: str, id_: int, flags: int):
+        self.tag, self.id, self.flags = tag, id_, flags
+        self.places: dict[int, int] = {}
+        self.children: list[int] = []
+        self.low = self.high = -1
+
+    def meet(self, child: int, groups: dict[int, int]) -> None:
+        """A child begins: if it has been here before, all from its first place on is a repeated group."""
+        at = self.places.get(child)
+        if at is None:
+            self.places[child] = len(self.children)
+            self.children.append(child)
+            return
+        begin = at if self.low < 0 else min(at, self.low)
+        first = self.children[begin]
+        fresh = self.children[begin:] if self.low < 0 else [*self.children[begin : self.low], *self.children[self.high :]]
+        for c in fresh:
+            groups[c] = first
+        self.low, self.high = begin, len(self.children)
+
+
+def tokens(page: str) -> Stream:
+    """The token stream of a page, in one pass."""
+    out = Stream()
+    root = _Open("", 0, 0)
+    stack = [root]
+    open_tags: dict[str, int] = {}
     text: list[str] = []
+    link: list[str] = []  # the part of the text in links
+    in_link = 0
+
+    def meet(name: str, flags: int) -> int:
+        top = stack[-1]
+        id_ = _id(top.id, name, flags)
+        if id_ not in out.kinds:
+            out.kinds[id_] = (top.id, name, flags)
+            out.order.append(id_)
+        top.meet(id_, out.groups)
+        return id_
 
     def flush() -> None:
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
-                stack[-1][1][1].append(joined)
+                linked = len("".join(entities.unescape("".join(link)).split())) if link else 0
+                out.texts.append((meet("#", stack[-1].flags), joined, linked))
             text.clear()
+            link.clear()
 
-    def close(to: int) -> None:
-        flush()
-        del stack[to:]
+    def say(part: str) -> None:
+        text.append(part)
+        if in_link:
+            link.append(part)
 
-    at = 0
-    while (m := TOKEN.search(page, at)) is not None:
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    def pop() -> None:
+        flush()
+        open_tags[stack.pop().tag] -= 1
+
+    at, n = 0, len(page)
+    while at < n:
+        i = page.find("<", at)
+        if i < 0:
+            say(page[at:])
+            break
+        if i > at:
+            say(page[at:i])
+        after = page[i + 1 : i + 2]
+        if after == "!" or after == "?":
+            mark = "-->" if page.startswith("<!--", i) else ">"
+            stop = page.find(mark, i + 2)
+            if stop < 0:
+                break
+            at = stop + len(mark)
+            continue
+        if not (after.isalpha() and after.isascii()) and not (after == "/" and page[i + 2 : i + 3].isalpha() and page[i + 2 : i + 3].isascii()):
+            say("<")
+            at = i + 1
             continue
+        m = TAG.match(page, i)
+        if m is None:
+            break
+        at = m.end()
         tag, ending = m[2].lower(), m[1] == "/"
-        if tag in DROPPED:
-            if not ending and not m[3].endswith("/") and (stop := ENDS_OF[tag].search(page, at)):
-                at = stop.end()
+        if tag in RAW:
+            if not ending:
+                stop = RAW_END[tag].search(page, at)
+                at = stop.end() if stop else n
             continue
         if tag in INLINE:
             if tag == "br":
-                text.append(" ")
+                say(" ")
+            elif tag == "a":
+                in_link = 0 if ending else 1
             continue
         if ending:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+            if open_tags.get(tag):
+                while stack[-1].tag != tag:
+                    pop()
+                pop()
             else:
                 flush()
             continue
         if tag in VOID:
             flush()
             continue
-        if tag in ENDS_P and stack[-1][0] == "p":
-            close(len(stack) - 1)
-        while stack[-1][0] in CLOSES.get(tag, ()):
-            close(len(stack) - 1)
+        if tag in ENDS_P and stack[-1].tag == "p":
+            pop()
+        while stack[-1].tag in CLOSES.get(tag, ()):
+            pop()
         flush()
-        key, hidden = _key(tag, m[3])
-        node: list = [f"{key}.hidden" if hidden else key, []]
-        stack[-1][1][1].append(node)
-        stack.append((tag, node))
-    text.append(page[at:])
+        name, left_out = _names(tag, m[3])
+        flags = stack[-1].flags
+        if tag in ("article", "main") and not flags & NAMED_OUT:
+            flags = INSIDE  # also where a form is around the whole page
+        if tag == "header" and not flags & INSIDE:
+            left_out = True
+        if tag == "form":
+            flags |= IN_FORM
+        if left_out:
+            flags |= NAMED_OUT
+        stack.append(_Open(tag, meet(name, flags), flags))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
-    return root
-
-
-def slots(node: list, path: str = "") -> Iterator[tuple[str, str]]:
-    """(path, text) of all text in page order."""
-    for item in node[1]:
-        if isinstance(item, str):
-            yield path, item
-        else:
-            yield from slots(item, f"{path}>{item[0]}")
+    return out
 
 
-# A wrapper node is a dict: key, pages, optional, repeated, text (None: no text; a string: fixed
-# so far; True: a slot) and nodes (in order, one for each key or group of keys).
+# A wrapper is {"order": [id], "kinds": {id: [parent, name, flags, pages, chars, link chars, group or 0]}, "pages": n},
+# where order is that of the regular expression and a group is named by its first token.
 
 
-def _wrap(node: list) -> dict:
-    texts = [x for x in node[1] if isinstance(x, str)]
-    text = None if not texts else texts[0] if len(texts) == 1 and len(texts[0]) <= 200 else True
-    return {"key": node[0], "pages": 1, "optional": False, "repeated": False, "text": text, "nodes": _fold([_wrap(x) for x in node[1] if not isinstance(x, str)])}
+def wrapper_of(stream: Stream) -> dict:
+    """The wrapper that stands for one page."""
+    kinds = {i: [*stream.kinds[i], 1, 0, 0, stream.groups.get(i, 0)] for i in stream.order}
+    for slot, text, linked in stream.texts:
+        kinds[slot][4] += len(text) - text.count(" ")
+        kinds[slot][5] += linked
+    return {"order": stream.order, "kinds": kinds, "pages": 1}
 
 
-def _repeat(a: dict, b: dict) -> dict:
-    """Two elements of the same page as one repeated element."""
-    return {**align(a, b), "pages": 1, "repeated": True}
-
-
-def _fold(nodes: list[dict]) -> list[dict]:
-    """Runs of one element, then of two to four, as repeated groups; later elements of a known kind join it."""
-    out: list[dict] = []
-    for n in nodes:
-        if out and out[-1]["key"] == n["key"]:
-            out[-1] = _repeat(out[-1], n)
-        else:
-            out.append(n)
-    for period in (2, 3, 4):
-        i = 0
-        while i + 2 * period <= len(out):
-            keys = [n["key"] for n in out[i : i + period]]
-            j = i + period
-            while [n["key"] for n in out[j : j + period]] == keys:
-                for k in range(period):
-                    out[i + k] = {**_repeat(out[i + k], out[j + k]), "group": " ".join(keys)}
-                j += period
-            if j > i + period:
-                del out[i + period : j]
-            i += 1
-    kinds: dict[str, int] = {}
-    kept: list[dict] = []
-    for n in out:
-        if n["key"] in kinds:
-            kept[kinds[n["key"]]] = _repeat(kept[kinds[n["key"]]], n)
+def _common(places: list[int]) -> list[int]:
+    """Indices of a longest increasing part of ``places``: the longest common subsequence of two orders."""
+    tails: list[int] = []
+    ends: list[int] = []
+    before = [-1] * len(places)
+    for i, p in enumerate(places):
+        k = bisect_left(tails, p)
+        if k == len(tails):
+            tails.append(p)
+            ends.append(i)
         else:
-            kinds[n["key"]] = len(kept)
-            kept.append(n)
-    return kept
-
-
-def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    pairs, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return pairs
+            tails[k], ends[k] = p, i
+        before[i] = ends[k - 1] if k else -1
+    out: list[int] = []
+    i = ends[-1] if ends else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
 
 
 def align(a: dict, b: dict) -> dict:
-    """The wrapper of everything that a and b, wrappers of elements with the same key, stand for."""
-    left, right = a["nodes"], b["nodes"]
-    pairs = _common([n["key"] for n in left], [n["key"] for n in right])
-    nodes: list[dict] = []
-    i = j = 0
-    for x, y in [*pairs, (len(left), len(right))]:
-        nodes += [{**n, "optional": True} for n in [*left[i:x], *right[j:y]]]
-        if x < len(left):
-            nodes.append(align(left[x], right[y]))
-        i, j = x + 1, y + 1
-    text = a["text"] if a["text"] == b["text"] else True if a["text"] is not None and b["text"] is not None else a["text"] if b["text"] is None else b["text"]
-    kinds: dict[str, int] = {}
-    kept: list[dict] = []
-    for n in nodes:  # the same kind at another place: one branch
-        if n["key"] in kinds:
-            kept[kinds[n["key"]]] = align(kept[kinds[n["key"]]], n)
+    """The wrapper of everything that a and b stand for. ``a`` may be changed."""
+    mine, yours = a["kinds"], b["kinds"]
+    if a["order"] != b["order"]:
+        place = {t: i for i, t in enumerate(a["order"])}
+        both = [t for t in b["order"] if t in place]
+        anchors = {both[i] for i in _common([place[t] for t in both])}
+        order: list[int] = []
+        alone: list[int] = []
+        i = 0
+        for t in b["order"]:
+            if t in anchors:  # what only one side has before the anchor is optional
+                order += [*a["order"][i : place[t]], *alone, t]
+                i = place[t] + 1
+                alone = []
+            elif t not in place:
+                alone.append(t)
+        a["order"] = [*order, *a["order"][i:], *alone]
+    for t, k in yours.items():
+        m = mine.get(t)
+        if m is None:
+            mine[t] = k
         else:
-            kinds[n["key"]] = len(kept)
-            kept.append(n)
-    more = {"group": a.get("group") or b.get("group")} if a.get("group") or b.get("group") else {}
-    return {"key": a["key"], "pages": a["pages"] + b["pages"], "optional": a["optional"] or b["optional"], "repeated": a["repeated"] or b["repeated"], "text": text, "nodes": kept, **more}
-
-
-def expression(w: dict) -> str:
-    """The wrapper as a regular expression over tags and text."""
-    inner = ("#text " if w["text"] is True else "" if w["text"] is None else f"{w['text']!r} ") + " ".join(map(expression, w["nodes"]))
-    out = f"<{w['key']}> {inner.strip()} </{w['key']}>" if w["key"] else inner
-    return f"({out}){'+' if w['repeated'] else ''}{'?' if w['optional'] else ''}" if w["repeated"] or w["optional"] else out
+            m[3] += k[3]
+            m[4] += k[4]
+            m[5] += k[5]
+            m[6] = m[6] or k[6]
+    a["pages"] += b["pages"]
+    return a
+
+
+def expression(w: dict, literals: dict[int, list[str]] | None = None) -> str:
+    """The wrapper as a regular expression over tags and text slots, with ``?`` and ``+`` for optional and repeated groups."""
+    children: dict[int, list[int]] = {}
+    for t in w["order"]:
+        children.setdefault(w["kinds"][t][0], []).append(t)
+
+    parts: list[str] = []
+    todo: list = [(0, w["pages"])]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            parts.append(at)
+            continue
+        inner: list = []
+        group = 0
+        for t in children.get(at[0], ()):
+            _, name, _, pages, _, _, g = w["kinds"][t]
+            if group and g != group:
+                inner.append(")+ ")
+            if g and g != group:
+                inner.append("(")
+            group = g
+            body: list = ["|".join(map(repr, (literals or {}).get(t, []))) or "#text"] if name == "#" else [f"<{name}> ", (t, pages), f"</{name}>"]
+            inner += ["(", *body, ")? "] if pages < at[1] else [*body, " "]
+        if group:
+            inner.append(")+ ")
+        todo += reversed(inner)
+    return "".join(parts).strip()
 
 
-def _boilerplate(key: str) -> bool:
-    tag, *words = key.split(".")
-    return tag in BOILERPLATE or any(w == "hidden" or any(BOILERPLATE_WORD.match(x) for x in re.split(r"[-_]+", w)) for w in words)
+def _digest(slot: int, text: str) -> int:
+    """The signed digest of a text in a slot; never 0."""
+    return (xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), slot) >> 1) or 1
 
 
-def article_slots(wrapper: dict) -> list[str]:
-    """Paths of the wrapper's text slots that hold the article."""
-    found: list[tuple[str, bool, dict]] = []
+def _may_be_fixed(kind: tuple[int, str, int], parent: str) -> bool:
+    return not kind[2] & (NAMED_OUT | IN_FORM) and not (kind[2] & INSIDE and parent.split(".")[0] in NEVER_FIXED)
 
-    def walk(n: dict, path: str, inside: bool) -> None:
-        for c in n["nodes"]:
-            if _boilerplate(c["key"]):
-                continue
-            tag, *words = c["key"].split(".")
-            walk(c, f"{path}>{c['key']}", inside or tag in ("article", "main") or "main" in words)
-        if n["text"] is not None:
-            found.append((path, inside, n))
 
-    walk(wrapper, "", False)
-    if any(inside for _, inside, _ in found):
-        found = [x for x in found if x[1]]
-    fixed = lambda n: n["text"] is not True and not n["repeated"] and n["pages"] >= FIXED_PAGES and n["key"].split(".")[0] not in NEVER_FIXED
-    if not all(n["text"] is not True for _, _, n in found):  # else the pages are copies of each other
-        found = [x for x in found if not fixed(x[2])]
-    return sorted({path for path, _, _ in found})
+PARTS = "host string, wrapper string, slot long, digest long, pages long, one long, other long"
 
 
 def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One wrapper for each host that a task sees; all are handed on when there are many."""
+    """One wrapper for each host that a task sees, and counts of the texts of its slots.
+
+    A count row has a slot, the digest of a text (0: any text), the number of pages with it, and
+    the smallest and largest digest of those pages. All are handed on when there are many.
+    """
     held: dict[str, dict] = {}
+    counts: dict[tuple[str, int, int], list[int]] = {}
 
     def out() -> pa.RecordBatch:
-        rows = sorted((h, json.dumps(w)) for h, w in held.items())
+        rows = [(h, json.dumps(w), None, None, None, None, None) for h, w in sorted(held.items())]
+        rows += [(h, None, slot, digest, *c) for (h, slot, digest), c in counts.items()]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["host", "wrapper"])
+        counts.clear()
+        kinds = (pa.string(), pa.string(), *[pa.int64()] * 5)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["host", "wrapper", "slot", "digest", "pages", "one", "other"])
 
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-            w = _wrap(parse(page.as_py()))
+            stream = tokens(page.as_py())
+            w = wrapper_of(stream)
             held[host] = align(held[host], w) if host in held else w
-            if len(held) >= 1000:
+            whole = xxhash.xxh64_intdigest("\0".join(t for _, t, _ in stream.texts).encode("utf-8", "surrogatepass")) >> 1
+            seen = set()
+            for slot, text, _ in stream.texts:
+                kind = stream.kinds[slot]
+                parent = stream.kinds[kind[0]][1] if kind[0] else ""
+                if _may_be_fixed(kind, parent):
+                    seen |= {(host, slot, 0), (host, slot, _digest(slot, text))}
+            for key in seen:
+                c = counts.setdefault(key, [0, whole, whole])
+                c[0] += 1
+                c[1], c[2] = min(c[1], whole), max(c[2], whole)
+            if len(held) >= 1000 or len(counts) >= 200_000:
                 yield out()
     if held:
         yield out()
 
 
+def load(text: str) -> dict:
+    w = json.loads(text)
+    return {**w, "kinds": {int(t): k for t, k in w["kinds"].items()}}
+
+
 def _merge(pdf):
-    wrappers = [json.loads(x) for x in sorted(pdf["wrapper"])]
+    wrappers = [load(x) for x in sorted(pdf["wrapper"])]
     out = wrappers[0]
     for w in wrappers[1:]:
         out = align(out, w)
@@ -288,38 +424,67 @@ def _host() -> Column:
 
 
 def infer_wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
-    """(host, wrapper): the wrapper of every host, as JSON, from all its pages."""
+    """(host, wrapper, literals): the wrapper of every host from all its pages, as JSON, and the digests of its fixed texts."""
     import pandas as pd
 
     def some(key, pdf):
         return pd.DataFrame({"host": [key[0]], "wrapper": [_merge(pdf)]})
 
     rows = pages.select(_host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    parts = rows.mapInArrow(_fold_pages, "host string, wrapper string")
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
-    parts = salted.groupBy("host", "salt").applyInPandas(some, "host string, wrapper string")
-    return parts.groupBy("host").applyInPandas(some, "host string, wrapper string")
+    parts = cut(rows.mapInArrow(_fold_pages, PARTS))
+    salted = parts.where("wrapper is not null").select("host", "wrapper", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).alias("salt"))
+    wrappers = salted.groupBy("host", "salt").applyInPandas(some, "host string, wrapper string")
+    wrappers = wrappers.groupBy("host").applyInPandas(some, "host string, wrapper string")
+    counts = parts.where("slot is not null").groupBy("host", "slot", "digest").agg(F.sum("pages").alias("pages"), F.min("one").alias("one"), F.max("other").alias("other")).where(F.col("pages") >= FIXED_PAGES)
+    counts = cut(counts)
+    often = counts.where("digest <> 0 and one <> other").select("host", "slot", "digest", "pages")
+    of = counts.where("digest = 0").select("host", "slot", F.col("pages").alias("filled"))
+    fixed = join_small(often, of, ["host", "slot"]).where(F.col("pages") >= F.col("filled") * FIXED_SHARE)
+    literals = fixed.groupBy("host").agg(F.sort_array(F.collect_list("digest")).alias("literals"))  # a template's fixed texts
+    return wrappers.join(literals, "host", "left").withColumn("literals", F.coalesce("literals", F.array().cast("array<long>")))
+
+
+def menus(w: dict) -> list[int]:
+    """Slots of repeated groups outside article and main whose text is links."""
+    repeated: dict[int, bool] = {}
+    out = []
+    for t in w["order"]:  # parents come before their children
+        parent, name, flags, pages, chars, linked, group = w["kinds"][t]
+        repeated[t] = bool(group) or repeated.get(parent, False)
+        if name == "#" and repeated[t] and not flags & INSIDE and chars and linked >= MENU_SHARE * chars:
+            out.append(t)
+    return sorted(out)
+
+
+def article(page: str, links: frozenset[int], literals: frozenset[int]) -> str:
+    """The article of a page, read with the menus and literals of a wrapper."""
+    inside, outside = [], []
+    for slot, text, _ in (stream := tokens(page)).texts:
+        flags = stream.kinds[slot][2]
+        if flags & (NAMED_OUT | IN_FORM) or slot in links or _digest(slot, text) in literals:
+            continue
+        (inside if flags & INSIDE else outside).append(text)
+    return " ".join(inside or outside)
 
 
 def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     """(page_id, url, text): the article of every page, read with the wrapper of its host."""
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = [article_slots(json.loads(x)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.list_(pa.string()))], names=["host", "paths"])
+            links = [menus(load(x)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(links, pa.list_(pa.int64())), batch.column(2)], names=["host", "links", "literals"])
 
-    chosen = cut(wrappers.select("host", "wrapper").mapInArrow(pick, "host string, paths array<string>"))
+    chosen = cut(wrappers.select("host", "wrapper", "literals").mapInArrow(pick, "host string, links array<long>, literals array<long>"))
+    chosen = chosen.where(F.size("links") + F.size("literals") > 0)  # other hosts have nothing to leave out
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"))
-    rows = join_small(rows, chosen, ["host"], rows_bound=20_000).select("page_id", "url", "html", "paths")
-    schema = rows.drop("html", "paths").schema.add("text", "string")
+    rows = join_small(rows, chosen, ["host"], "left", weight=1 + F.size("links") + F.size("literals")).select("page_id", "url", "html", "links", "literals")
+    schema = rows.select("page_id", "url").schema.add("text", "string")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple, frozenset] = {}
         for batch in batches:
             out = []
-            for page, paths in zip(batch.column(2), batch.column(3).to_pylist()):
-                keep = sets.setdefault(tuple(paths), frozenset(paths))
-                out.append(" ".join(text for path, text in slots(parse(page.as_py())) if path in keep))
+            for page, links, literals in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                out.append(article(page.as_py(), frozenset(links or ()), frozenset(literals or ())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=schema.names)
 
     return rows.mapInArrow(read, schema)
