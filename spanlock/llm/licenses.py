@@ -1,21 +1,24 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of every text is a candidate header. Lines and templates are vectors of word
-counts times idf, where document frequencies count lines of the whole corpus; a word that no
-template has counts as a term of its own with the largest idf. A line declares the licence
-of the template with the highest cosine, if that is at least ``threshold``. Only lines that
-hold an anchor word are compared: anchors are chosen so that the remaining words of any
-template are too light a part of it to reach the threshold, so nothing is lost.
-
-A file has the licence of its best header. Files without one inherit from the licence file
+A text is cut into pieces at line ends and after sentences. Its units are all runs of one to three
+neighbouring pieces, so that a header may be one sentence of a long line or wrapped over lines,
+and the text as a whole, so that a licence file is held against licence texts. Units and templates
+are vectors of word counts times idf, where document frequencies count the pieces of the whole
+corpus; a word that no template has counts as a term of its own with the largest idf. A unit
+declares the licence of the template with the highest cosine, if that is at least ``threshold``.
+Only units that hold an anchor word are compared: anchors are chosen so that the remaining words of
+any template are too light a part of it to reach the threshold, so nothing is lost.
+
+A file has the licence of its best unit. Files without one inherit from the licence file
 in the nearest ancestor directory: directories are joined with all their ancestors, the
-deepest that has a licence file wins, and files join their directory.
+deepest that has a licence file wins, and files join their directory. A file is the licence file of its
+directory if the caller says so, or if its best unit is at least half of its words, whatever its length.
 
 Everything is DataFrame functions. Defined cases: null and empty texts have no header; ties
-go to the first line, then the first licence by name, and in a directory to the licence file
-with the highest cosine, then the first path; repeated rows are scanned alike and each
-returned; an empty table gives an empty result; extra columns pass through, and one that has
-the name of a result column is replaced.
+go to the unit of fewer pieces, then the first one, then the first licence by name, and in a directory
+to the licence file with the highest cosine, then the first path; repeated rows are scanned alike and
+each returned; very long texts are scanned whole; a null path is a file in the root; an empty table
+gives an empty result; extra columns pass through, and one that has the name of a result column is replaced.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_small, table
+from .common import cut, table
 
 #: Short public statements by which works name their licence.
-TEMPLATES = [
+STATEMENTS = [
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
@@ -45,6 +48,41 @@ TEMPLATES = [
     ("MPL-2.0", "This source code form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
+#: Public licence texts and notices that are files or headers of their own.
+TEXTS = [
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"
+        " Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,"
+        " either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3"
+        " of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of"
+        " MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice"
+        " appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+        " IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION"
+        " OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction,"
+        " including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is"
+        " furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+        " THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND"
+        " NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,"
+        " OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+]
+#: (template number, licence, text)
+TEMPLATES = [(i, *t) for i, t in enumerate([*STATEMENTS, *TEXTS])]
+#: A file whose best unit is at least this part of its words is a licence file.
+LICENCE_PART = 0.5
 THRESHOLD = 0.6
 RESULTS = ("license", "cosine", "how", "from_dir")
 
@@ -55,42 +93,42 @@ def words(text: str) -> str:
 
 
 def _templates(spark: SparkSession, templates) -> DataFrame:
-    """(license, word, tf)."""
-    rows = F.array(*(F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in templates))
-    rows = spark.range(1).select(F.explode(rows).alias("t")).select("t.license", "t.text")
-    return rows.select("license", F.explode(F.expr(words("text"))).alias("word")).groupBy("license", "word").agg(F.count(F.lit(1)).alias("tf"))
+    """(template, license, word, tf)."""
+    rows = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(n).alias("license"), F.lit(t).alias("text")) for i, n, t in templates))
+    rows = spark.range(1).select(F.explode(rows).alias("t")).select("t.template", "t.license", "t.text")
+    return rows.select("template", "license", F.explode(F.expr(words("text"))).alias("word")).groupBy("template", "license", "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _strings(values) -> str:
     return "array(" + ",".join("'" + v.replace("'", "\\'") + "'" for v in values) + ")"
 
 
-def weighted_templates(lines: DataFrame, templates) -> tuple[list, float]:
-    """[(license, word, weight over norm, idf)] and the idf of unseen words: a bounded list, one row for each word of a template."""
-    terms = _templates(lines.sparkSession, templates).collect()
+def weighted_templates(pieces: DataFrame, templates) -> tuple[list, float]:
+    """[(template, license, word, weight over norm, idf)] and the idf of unseen words: a bounded list, one row for each word of a template."""
+    terms = _templates(pieces.sparkSession, templates).collect()
     vocabulary = sorted({r["word"] for r in terms})
     n = F.count(F.lit(1))
-    seen = lines.select(F.expr(f"array_intersect(words, {_strings(vocabulary)})").alias("w"))
-    # a line of its own for the number of lines
+    seen = pieces.select(F.expr(f"array_intersect(words, {_strings(vocabulary)})").alias("w"))
+    # the empty word counts the pieces
     counts = {r["w"]: r["n"] for r in seen.select(F.explode(F.concat(F.array(F.lit("")), "w")).alias("w")).groupBy("w").agg(n.alias("n")).collect()}
     total = counts.get("", 0)
     idf = lambda df: math.log((total + 1) / (df + 1)) + 1
-    squares: dict[str, float] = {}
+    squares: dict[int, float] = {}
     for r in terms:
-        squares[r["license"]] = squares.get(r["license"], 0.0) + (r["tf"] * idf(counts.get(r["word"], 0))) ** 2
-    return [(r["license"], r["word"], r["tf"] * idf(counts.get(r["word"], 0)) / math.sqrt(squares[r["license"]]), idf(counts.get(r["word"], 0))) for r in terms], idf(0)
+        squares[r["template"]] = squares.get(r["template"], 0.0) + (r["tf"] * idf(counts.get(r["word"], 0))) ** 2
+    return [(r["template"], r["license"], r["word"], r["tf"] * idf(counts.get(r["word"], 0)) / math.sqrt(squares[r["template"]]), idf(counts.get(r["word"], 0))) for r in terms], idf(0)
 
 
 def anchors(weights: list, threshold: float) -> list[str]:
-    """Words of which a line at the threshold must have one: the others make up too little of any template."""
-    rest: dict[str, float] = {}
-    idf = {word: i for _, word, _, i in weights}
+    """Words of which a unit at the threshold must have one: the others make up too little of any template."""
+    rest: dict[int, float] = {}
+    idf = {word: i for *_, word, _, i in weights}
     plain: set[str] = set()
     for word in sorted(idf, key=lambda w: (idf[w], w)):
         trial = dict(rest)
-        for lic, w, weight, _ in weights:
+        for template, _, w, weight, _ in weights:
             if w == word:
-                trial[lic] = trial.get(lic, 0.0) + weight**2
+                trial[template] = trial.get(template, 0.0) + weight**2
         if any(v >= 0.99 * threshold**2 for v in trial.values()):
             break
         rest = trial
@@ -98,82 +136,106 @@ def anchors(weights: list, threshold: float) -> list[str]:
     return sorted(set(idf) - plain)
 
 
+#: SQL of the pieces of a text: lines, cut after sentences.
+PIECES = "split(regexp_replace(text, '([.!?;])[ \\\\t]+([A-Z(])', '$1\\n$2'), '\\n')"
+
+
+def _units(pieces: str) -> str:
+    """SQL of the units of an array of pieces (arrays of words): (line, run, words), where run is the number of pieces."""
+    run = lambda k: f"if({k} > size({pieces}), array(), transform(sequence(0, size({pieces}) - {k}), i -> struct(i as line, {k} as run, flatten(slice({pieces}, i + 1, {k})) as words)))"
+    whole = f"if(size({pieces}) > 3, array(struct(0 as line, size({pieces}) as run, flatten({pieces}) as words)), array())"
+    return f"concat({run(1)}, {run(2)}, {run(3)}, {whole})"
+
+
 def headers(files: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, line, license, cosine): the licence that a line of a file declares. ``files`` has key and text."""
+    """(key, line, run, part, license, cosine): the licence that a unit of a file declares, and what part of the file's words it is. ``files`` has key and text."""
     spark = files.sparkSession
-    lines = files.where("text is not null").select("key", F.posexplode(F.split("text", "\n")).alias("line", "text")).select("key", "line", F.expr(words("text")).alias("words"))
-    weights, unseen = weighted_templates(lines, templates)
-    idf = {word: i for _, word, _, i in weights}
-    lines = lines.where(F.expr(f"arrays_overlap(words, {_strings(anchors(weights, threshold))})"))
+    files = files.where("text is not null").select("key", F.expr(f"transform({PIECES}, p -> {words('p')})").alias("pieces"))
+    weights, unseen = weighted_templates(files.select(F.explode("pieces").alias("words")), templates)
+    idf = {word: i for *_, word, _, i in weights}
+    anchored = _strings(anchors(weights, threshold))
+    units = files.where(F.expr(f"exists(pieces, p -> arrays_overlap(p, {anchored}))"))
+    units = units.select("key", F.expr("size(flatten(pieces))").alias("of"), F.explode(F.expr(f"filter({_units('pieces')}, u -> arrays_overlap(u.words, {anchored}))")).alias("u"))
+    units = units.groupBy("key", "u.line", "u.run").agg(F.first("of").alias("of"), F.first("u.words").alias("words"))  # repeated rows are one
     vocabulary = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(i).alias("idf")) for w, i in sorted(idf.items())))
-    vectors = F.array(*(F.struct(F.lit(lic).alias("license"), F.lit(w).alias("word"), F.lit(x).alias("weight")) for lic, w, x, _ in sorted(weights)))
+    vectors = F.array(*(F.struct(F.lit(t).alias("template"), F.lit(lic).alias("license"), F.lit(w).alias("word"), F.lit(x).alias("weight")) for t, lic, w, x, _ in sorted(weights)))
     one = spark.range(1)
     vocabulary = F.broadcast(one.select(F.explode(vocabulary).alias("v")).select("v.*"))  # the words of the templates
     vectors = F.broadcast(one.select(F.explode(vectors).alias("v")).select("v.*"))
-    terms = lines.select("key", "line", F.size("words").alias("n"), F.explode("words").alias("word")).join(vocabulary, "word")
-    terms = terms.groupBy("key", "line", "n", "word", "idf").agg(F.count(F.lit(1)).alias("tf"))
-    norms = terms.groupBy("key", "line").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2) + (F.first("n") - F.sum("tf")) * unseen**2).alias("norm"))
-    dots = terms.join(vectors, "word").groupBy("key", "line", "license").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"))
-    found = dots.join(norms, ["key", "line"]).select("key", "line", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
-    return found.where(F.col("cosine") >= threshold).groupBy("key", "line").agg(F.max_by(F.struct("license", "cosine"), F.struct("cosine", F.expr("translate(license, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ZYXWVUTSRQPONMLKJIHGFEDCBA')"))).alias("b")).select("key", "line", "b.license", "b.cosine")
+    unit = ["key", "line", "run"]
+    terms = units.select(*unit, "of", F.size("words").alias("n"), F.explode("words").alias("word")).join(vocabulary, "word")
+    terms = terms.groupBy(*unit, "of", "n", "word", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    norms = terms.groupBy(*unit).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2) + (F.first("n") - F.sum("tf")) * unseen**2).alias("norm"), (F.first("n") / F.first("of")).alias("part"))
+    dots = terms.join(vectors, "word").groupBy(*unit, "template", "license").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"))
+    found = dots.join(norms, unit).select(*unit, "part", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
+    best = F.min_by(F.struct("license", "cosine", "part"), F.struct(-F.col("cosine"), F.col("license")))
+    return found.where(F.col("cosine") >= threshold).groupBy(*unit).agg(best.alias("b")).select(*unit, "b.part", "b.license", "b.cosine")
 
 
-def scan(files: DataFrame, *, path: Column, licence_file: Column, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(files: DataFrame, *, path: Column, licence_file: Column | None = None, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Adds path, license, cosine, how (header, inherited or none) and from_dir.
 
-    licence_file: a condition on the columns of files that makes a file with a header the licence file of its directory.
+    licence_file: a condition on the columns of files that makes a file with a header the licence
+    file of its directory; by default the share of its words that declare the licence.
     """
-    files = files.drop("path", *RESULTS).withColumn("path", path)
-    keyed = files.select(F.struct(*files.columns).alias("__row"), "path", "text", licence_file.alias("may_give"), F.xxhash64("path", "text").alias("key"))
-    best = F.min_by(F.struct("license", "cosine", "line"), F.struct(-F.col("cosine"), F.col("line")))
-    found = cut(headers(keyed.select("key", "text"), templates=templates, threshold=threshold))
-    own = cut(found.groupBy("key").agg(best.alias("own")))
-    names = join_small(keyed.where("may_give").select("key", "path"), found, ["key"])
-    parent = F.regexp_replace("path", "/?[^/]*$", "")
-    per_dir = names.select(parent.alias("dir"), "license", "cosine", "path").groupBy("dir").agg(F.min_by(F.struct("license", "cosine"), F.struct(-F.col("cosine"), F.col("path"))).alias("given"))
-    dirs = keyed.select(parent.alias("__dir")).distinct()
+    key = F.struct(F.xxhash64("path", "text").alias("a"), F.xxhash64("text", F.lit(1), "path").alias("b"))
+    files = files.drop("path", *RESULTS).withColumn("path", F.coalesce(path, F.lit("")))
+    columns = files.columns
+    keyed = files.withColumn("__key", key).withColumn("__dir", F.regexp_replace("path", "/?[^/]*$", ""))
+    best = F.min_by(F.struct("license", "cosine", "part"), F.struct(-F.col("cosine"), F.col("run"), F.col("line")))
+    own = headers(keyed.select(F.col("__key").alias("key"), "text"), templates=templates, threshold=threshold)
+    own = cut(own.groupBy("key").agg(best.alias("__own")).select(F.col("key").alias("__key"), "__own"))
+    rows = keyed.withColumn("__gives", licence_file if licence_file is not None else F.lit(True)).join(own, "__key", "left")
+    gives = F.col("__own").isNotNull() & F.col("__gives")
+    gives = gives if licence_file is not None else gives & (F.col("__own.part") >= LICENCE_PART)
+    per_dir = rows.where(gives).select(F.col("__dir").alias("dir"), "__own", "path").groupBy("dir").agg(F.min_by(F.struct("__own.license", "__own.cosine"), F.struct(-F.col("__own.cosine"), F.col("path"))).alias("given"))
+    dirs = keyed.select("__dir").distinct()
     parts = F.split("__dir", "/")
     above = dirs.select("__dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).select("__dir", "depth", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/").alias("dir"))
-    inherited = cut(above.join(per_dir, "dir").groupBy("__dir").agg(F.max_by(F.struct("given", "dir"), "depth").alias("inherited")))
-    rows = join_small(keyed.select("__row", "key", parent.alias("__dir")), inherited, ["__dir"], "left")
-    rows = join_small(rows, own, ["key"], "left")
+    inherited = cut(above.join(per_dir, "dir").groupBy("__dir").agg(F.max_by(F.struct("given", "dir"), "depth").alias("__from")))
+    rows = rows.join(inherited, "__dir", "left")
     return rows.select(
-        "__row.*",
-        F.coalesce("own.license", "inherited.given.license").alias("license"),
-        F.coalesce("own.cosine", "inherited.given.cosine").alias("cosine"),
-        F.when(F.col("own").isNotNull(), F.lit("header")).when(F.col("inherited").isNotNull(), F.lit("inherited")).otherwise(F.lit("none")).alias("how"),
-        F.when(F.col("own").isNull(), F.col("inherited.dir")).alias("from_dir"),
+        *columns,
+        F.coalesce("__own.license", "__from.given.license").alias("license"),
+        F.coalesce("__own.cosine", "__from.given.cosine").alias("cosine"),
+        F.when(F.col("__own").isNotNull(), F.lit("header")).when(F.col("__from").isNotNull(), F.lit("inherited")).otherwise(F.lit("none")).alias("how"),
+        F.when(F.col("__own").isNull(), F.col("__from.dir")).alias("from_dir"),
     )
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as files of a tree source/lang/thousand; one of at most 600 characters with a licence line is the licence file of its directory."""
+    """All documents as files of a tree source/lang/thousand; one that is mostly a licence statement is the licence file of its directory."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.coalesce(F.expr("cast(doc_id div 1000 as string)"), F.lit("_")), F.coalesce(F.col("doc_id").cast("string"), F.lit("_")))
-    rows = scan(docs, path=path, licence_file=F.length("text") <= 600)
-    return rows.select("doc_id", "path", "license", "cosine", "how", "from_dir")
+    return scan(docs, path=path).select("doc_id", "path", "license", "cosine", "how", "from_dir")
 
 
 OP5_SQL = r"""
-WITH t(license, text) AS (VALUES __TEMPLATES__),
-tw AS (SELECT license, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '\.([^0-9]|$)', ' \1', 'g'), '[^\p{L}\p{N}.]+'), lambda w: w <> '')) AS word FROM t),
-tt AS (SELECT license, word, count(*) AS tf FROM tw GROUP BY ALL),
+WITH t(template, license, text) AS (VALUES __TEMPLATES__),
+tw AS (SELECT template, license, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '\.([^0-9]|$)', ' \1', 'g'), '[^\p{L}\p{N}.]+'), lambda w: w <> '')) AS word FROM t),
+tt AS (SELECT template, license, word, count(*) AS tf FROM tw GROUP BY ALL),
 f AS (SELECT doc_id, text, concat_ws('/', coalesce(source, '_'), coalesce(lang, '_'), coalesce(CAST(doc_id // 1000 AS VARCHAR), '_'), coalesce(CAST(doc_id AS VARCHAR), '_')) AS path FROM documents),
-l0 AS (SELECT path, unnest(string_split(text, chr(10))) AS line_text, unnest(range(len(string_split(text, chr(10))))) AS line FROM f WHERE text IS NOT NULL),
-l1 AS (SELECT path, line, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(line_text), '\.([^0-9]|$)', ' \1', 'g'), '\.([^0-9]|$)', ' \1', 'g'), '[^\p{L}\p{N}.]+'), lambda w: w <> '') AS words FROM l0),
+fp AS (SELECT path, string_split(regexp_replace(text, '([.!?;])[ \t]+([A-Z(])', '\1' || chr(10) || '\2', 'g'), chr(10)) AS pieces FROM f WHERE text IS NOT NULL),
+l0 AS (SELECT path, unnest(pieces) AS piece, unnest(range(len(pieces))) AS line, len(pieces) AS pieces FROM fp),
+l1 AS (SELECT path, line, pieces, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(piece), '\.([^0-9]|$)', ' \1', 'g'), '\.([^0-9]|$)', ' \1', 'g'), '[^\p{L}\p{N}.]+'), lambda w: w <> '') AS words FROM l0),
 n AS (SELECT count(*) AS total FROM l1),
-lw AS (SELECT path, line, len(words) AS n, unnest(words) AS word FROM l1),
-tf AS (SELECT path, line, n, word, count(*) AS tf FROM lw WHERE word IN (SELECT word FROM tt) GROUP BY ALL),
-df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+df AS (SELECT word, count(*) AS df FROM (SELECT path, line, unnest(list_distinct(words)) AS word FROM l1) GROUP BY word),
 idf AS (SELECT v.word, ln(CAST(total + 1 AS DOUBLE) / (coalesce(df, 0) + 1)) + 1 AS idf, ln(CAST(total + 1 AS DOUBLE)) + 1 AS unseen
         FROM (SELECT DISTINCT word FROM tt) v LEFT JOIN df USING (word) CROSS JOIN n),
-tv AS (SELECT license, word, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY license)) AS weight FROM tt JOIN idf USING (word)),
-norms AS (SELECT path, line, sqrt(sum((tf * idf) ** 2) + (any_value(n) - sum(tf)) * any_value(unseen) ** 2) AS norm FROM tf JOIN idf USING (word) GROUP BY ALL),
-dots AS (SELECT path, line, license, sum(tf * idf * weight) AS dot FROM tf JOIN idf USING (word) JOIN tv USING (word) GROUP BY ALL),
-found AS (SELECT path, line, license, round(dot / norm, 6) AS cosine FROM dots JOIN norms USING (path, line) WHERE round(dot / norm, 6) >= 0.6
-          QUALIFY row_number() OVER (PARTITION BY path, line ORDER BY round(dot / norm, 6) DESC, license) = 1),
-own AS (SELECT path, license, cosine FROM found QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, line) = 1),
-per_dir AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, license, cosine FROM found JOIN f USING (path) WHERE length(text) <= 600
+u AS (SELECT path, line, 1 AS run, words FROM l1
+      UNION ALL SELECT a.path, a.line, 2, a.words || b.words FROM l1 a JOIN l1 b ON a.path = b.path AND b.line = a.line + 1
+      UNION ALL SELECT a.path, a.line, 3, a.words || b.words || c.words FROM l1 a JOIN l1 b ON a.path = b.path AND b.line = a.line + 1 JOIN l1 c ON a.path = c.path AND c.line = a.line + 2
+      UNION ALL SELECT path, 0, any_value(pieces), flatten(list(words ORDER BY line)) FROM l1 GROUP BY path HAVING any_value(pieces) > 3),
+whole AS (SELECT path, CAST(sum(len(words)) AS BIGINT) AS total_words FROM l1 GROUP BY path),
+lw AS (SELECT path, line, run, len(words) AS n, unnest(words) AS word FROM u),
+tf AS (SELECT path, line, run, n, word, count(*) AS tf FROM lw WHERE word IN (SELECT word FROM tt) GROUP BY ALL),
+tv AS (SELECT template, license, word, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (word)),
+norms AS (SELECT path, line, run, any_value(n) AS n, sqrt(sum((tf * idf) ** 2) + (any_value(n) - sum(tf)) * any_value(unseen) ** 2) AS norm FROM tf JOIN idf USING (word) GROUP BY path, line, run),
+dots AS (SELECT path, line, run, template, license, sum(tf * idf * weight) AS dot FROM tf JOIN idf USING (word) JOIN tv USING (word) GROUP BY ALL),
+found AS (SELECT path, line, run, n, license, round(dot / norm, 6) AS cosine FROM dots JOIN norms USING (path, line, run) WHERE round(dot / norm, 6) >= 0.6
+          QUALIFY row_number() OVER (PARTITION BY path, line, run ORDER BY round(dot / norm, 6) DESC, license) = 1),
+own AS (SELECT path, license, cosine, n / total_words AS part FROM found JOIN whole USING (path) QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, run, line) = 1),
+per_dir AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, license, cosine FROM own WHERE part >= 0.5
             QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path) = 1),
 above AS (SELECT doc_id, path, unnest([3, 2, 1]) AS depth FROM f),
 inherited AS (SELECT a.path, p.license, p.cosine, p.dir FROM above a JOIN per_dir p ON array_to_string(string_split(a.path, '/')[1:depth], '/') = p.dir
@@ -182,4 +244,4 @@ SELECT f.doc_id, f.path, coalesce(o.license, i.license) AS license, coalesce(o.c
        CASE WHEN o.path IS NOT NULL THEN 'header' WHEN i.path IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
        CASE WHEN o.path IS NULL THEN i.dir END AS from_dir
 FROM f LEFT JOIN own o USING (path) LEFT JOIN inherited i ON f.path = i.path
-""".replace("__TEMPLATES__", ", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES))
+""".replace("__TEMPLATES__", ", ".join(f"({i}, '{n}', '{t}')" for i, n, t in TEMPLATES))

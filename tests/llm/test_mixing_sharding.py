@@ -71,3 +71,41 @@ def test_licences_are_inherited_from_the_nearest_directory(spark, none):
     assert got[3] == ("Apache-2.0", "inherited", "a/b") and got[4] == ("MIT", "inherited", "a")
     assert got[5] == (None, "none", None) and got[6] == ("MIT", "inherited", "a")
     assert licenses.scan(none, path=path, licence_file=F.lit(True)).count() == 0
+
+
+def scanned(spark, rows):
+    """rows: (doc_id, text, path) -> {doc_id: (license, cosine, how, from_dir)}; paths that say LICENSE do not matter."""
+    out = licenses.scan(documents(spark, [(i, t, None, p) for i, t, p in rows]), path=F.col("source"))
+    return {r["doc_id"]: (r["license"], r["cosine"], r["how"], r["from_dir"]) for r in out.collect()}
+
+
+def test_licences_of_repeated_rows_are_those_of_one(spark):
+    row = (1, "Released under the MIT License by Bob Smith and friends of the house near the river bank", "a/f")
+    other = (2, "Licensed under the Apache License, Version 2.0", "b/g")
+    rest = [(i, "nothing to see in this text", "b/f") for i in range(3, 30)]
+    once, twice = scanned(spark, [row, other, *rest]), scanned(spark, [row, row, row, other, other, *rest])
+    assert once[1] == twice[1] == (None, None, "none", None) and once[2] == twice[2] == ("Apache-2.0", 1.0, "header", None)
+
+
+def test_whole_licence_texts_and_headers_over_lines(spark):
+    text = dict((n, t) for _, n, t in licenses.TEMPLATES[len(licenses.STATEMENTS) :])
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 Bob Smith\n\n" + wrap(text["MIT"], 12), "m/any"),
+        (2, "code here\n" * 50, "m/x/y/z"),
+        (3, "some code\n# Released under\n# the MIT License\nmore code here and there\nand so on", "h/f"),
+        (4, "It was late and all had gone home long before that. Released under the MIT License. Nobody knew why it was so quiet that night.", "h/g"),
+        (5, "other text", "h/k"),
+        (6, "\n".join(f"line {i} of the code" for i in range(2000)) + "\nLicensed under CC BY 4.0\n", "h/long"),
+        *((i, "words of no weight in the text of a program", "q/f") for i in range(10, 40)),
+    ]
+    got = scanned(spark, rows)
+    assert got[1][0] == "MIT" and got[1][2] == "header" and got[2] == ("MIT", got[1][1], "inherited", "m")
+    assert got[3][:3] == ("MIT", 1.0, "header") and got[4][:3] == ("MIT", 1.0, "header")
+    assert got[5] == (None, None, "none", None)  # a header in a longer file does not speak for the directory
+    assert got[6][:3] == ("CC-BY-4.0", 1.0, "header")
+
+
+def test_licences_odd(spark, odd):
+    out = licenses.scan(odd, path=F.col("source"))
+    assert out.count() == 10 and set(odd.columns) < set(out.columns) and out.columns.count("path") == 1
