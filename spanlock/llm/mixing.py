@@ -9,7 +9,9 @@ gives the time at which the document is trained on. Documents are range-sorted b
 Defined cases: null text has size 0; a null source is a source of its own, ordered last; a
 source without words has target 0 and nothing taken; repeated rows are separate documents;
 an empty table gives an empty result. Extra columns pass through; one that has the name of
-a result column is replaced by it.
+a result column is replaced by it. Ties: rows of a source that are equal in id and text stand next to each
+other in its order, in any order among themselves; very long texts count whole, and one that is longer than
+its source's target is cut (or, taken whole, left out).
 """
 
 from __future__ import annotations
@@ -84,19 +86,33 @@ def _time_of(words: Column) -> Column:
     return F.element_at(F.transform(F.array(piece), invert), 1)
 
 
-def plan_mix(docs: DataFrame, schedule=cyclic_schedule, *, budget: int | None = None, max_repeats: int = 3, whole: bool = False, seed: int = 17, bucket_words: int = 2_000_000) -> DataFrame:
+def words_of(text: str = "text") -> Column:
+    """The size of a document; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def seeded_order(seed: int = 17) -> Column:
+    """A hash that puts the documents of a source in order."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
+
+
+def plan_mix(docs: DataFrame, schedule=cyclic_schedule, *, budget: int | None = None, max_repeats: int = 3, whole: bool = False, size: Column | None = None, order: Column | None = None, bucket_words: int = 2_000_000) -> DataFrame:
     """One row per document: how much of it the mix takes, and when.
 
     schedule: a function from the numbered sources (``__key``, ``rank``) to knots ``(__key, t,
     weight)``. budget: words of the mix, by default as many as there are. With ``whole``
     a document is taken whole or not at all in each pass; else the last one of the last
-    pass is cut, so that the words taken equal the rounded target.
+    pass is cut, so that the words taken equal the rounded target. size and order: the words
+    of a row and its place in its source, if they are known already; by default they are taken from the text.
 
     Adds size, source_size, target, taken and positions (a time in the schedule for each
     copy taken, at most ``max_repeats``). A source is cut by hash into buckets of about
     ``bucket_words`` words, so that no task orders a whole source.
     """
-    rows = docs.select(F.struct(*[c for c in docs.columns if c not in RESULTS]).alias("__row"), _source_key().alias("__key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))).alias("__order"))
+    size = words_of() if size is None else size
+    order = seeded_order() if order is None else order
+    columns = [c for c in docs.columns if c not in RESULTS]
+    rows = docs.select(*columns, _source_key().alias("__key"), size.alias("__size"), order.alias("__order")).withColumnRenamed("__size", "size")
     sources = running_totals(rows.groupBy("__key").agg(F.sum("size").alias("source_size"), F.lit(1).alias("one")), [F.col("__key")], {"rank": "one"}).drop("one")
     sources = cut(sources)
     sources = sources.join(_demand(schedule(sources)), "__key")
@@ -124,7 +140,7 @@ def plan_mix(docs: DataFrame, schedule=cyclic_schedule, *, budget: int | None =
     rows = rows.withColumn("taken", F.col("__passes") * F.col("size") + last).withColumn("__copies", F.col("__passes") + more.cast("long"))
     middle = lambda c: c * F.col("source_size") + F.col("__start") + F.col("size") / 2
     positions = F.when(F.col("__copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1), lambda c: _time_of(middle(c)))).otherwise(F.array().cast("array<double>"))
-    return rows.select("__row.*", "size", "source_size", "target", "taken", positions.alias("positions"))
+    return rows.select(*columns, "size", "source_size", "target", "taken", positions.alias("positions"))
 
 
 def mix(docs: DataFrame, schedule=cyclic_schedule, **options) -> DataFrame:
@@ -136,7 +152,9 @@ def mix(docs: DataFrame, schedule=cyclic_schedule, **options) -> DataFrame:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3, repeating, in training order."""
-    rows = plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = table(spark, sf_dir, "documents")
+    thin = cut(docs.select("doc_id", "source", words_of().alias("words"), seeded_order().alias("order")))  # texts are read once and never travel
+    rows = plan_mix(thin, size=F.col("words"), order=F.col("order"))
     first = F.try_element_at("positions", F.lit(1))
     return rows.orderBy(first, "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
