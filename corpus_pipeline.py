@@ -41,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Eight shards of shuffled documents."""
-    return sharding.shuffle_shards(docs.select(*COLUMNS), 8)
+    """Eight shards of shuffled documents, written and read back."""
+    return sharding.write_shards(sharding.shuffle_shards(docs.select(*COLUMNS), 8), f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
 
 
 STAGES = [

@@ -12,8 +12,9 @@ bounded size; each block is held against all documents. Output is one row for ea
 and item that match, with the best occurrence.
 
 Defined cases: null texts are empty; an item without words matches nothing; an item too
-short for an edit must occur exactly; repeated items and repeated documents are reported
-each; empty tables give an empty result; extra columns do not matter.
+short for an edit must occur exactly and as whole words; repeated items and repeated documents are reported
+each; of equally near occurrences the first one found is reported; very long texts are searched whole, a
+very long item is one block of its own; empty tables give an empty result; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -114,6 +115,10 @@ def matcher(items: list[tuple[int, str]], chars_per_error: int):
                 k, n = budget[i], len(items[i][1])
                 if i in best and best[i][0] == 0:
                     continue
+                if k == 0:  # the hit is the whole item; it counts as words of its own
+                    if (begin == 0 or text[begin - 1] == " ") and text[begin + n : begin + n + 1] in ("", " "):
+                        best[i] = (0, begin)
+                    continue
                 # Begins that fall in one cell share a window that holds them all.
                 cell = begin // (k + 1)
                 if (i, cell) in seen:

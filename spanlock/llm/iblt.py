@@ -18,7 +18,8 @@ shuffle of digests. Splitting in two levels keeps the work at n**1.5 for a text
 
 Defined cases: null text is empty; two texts without units have likeness 1; units repeated
 in a text count once; after the last document comes the first, and a single document is its
-own next; documents with the same id are ordered by their texts' hash; null ids come first.
+own next; documents with the same id are ordered by their texts' hash (rows equal in both follow each other in
+any order); null ids come first; very long texts are cut whole into units; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -37,14 +38,14 @@ ROWS, WIDTH = 4, 8
 PART = 12
 
 #: Documents in a run of consecutive ids, and at most how many runs there are.
-RUN_ROWS, MAX_RUNS = 2048, 4096
+RUN_ROWS, MAX_RUNS = 2048, 1 << 16
 
 #: Low bits of a digest that check the others.
 CHECK_BITS = 20
 CHECK_MASK = (1 << CHECK_BITS) - 1
 
-#: A unit: whole sentences of at least 60 characters together, or the rest of the line.
-UNIT = r"[^\\n]{60,}?[.!?](?=\\s)|[^\\n]+"
+#: A unit: whole sentences of 30 to 120 characters together, or that many characters up to the next space, or the rest of the line.
+UNIT = r"[^\\n]{30,120}?[.!?](?=\\s)|[^\\n]{30,}?(?=\\s)|[^\\n]+"
 
 
 def digests(text: str) -> Column:
@@ -82,37 +83,48 @@ def _pure(cells: str) -> str:
 
 
 def peel(cells: str, width: int = WIDTH, tried: int = 0) -> str:
-    """SQL of the number of digests in a subtracted sketch, or null if it does not come apart."""
+    """SQL of the digests in a subtracted sketch, as an array, or null if it does not come apart."""
     step = (
         "if(size(s.pure) = 0, s, element_at(transform(array("
-        f"{subtract('s.cells', sketch('s.pure', width, tried))}), c -> struct(c as cells, {_pure('c')} as pure, s.got + size(s.pure) as got)), 1))"
+        f"{subtract('s.cells', sketch('s.pure', width, tried))}), c -> struct(c as cells, {_pure('c')} as pure, concat(s.got, s.pure) as got)), 1))"
     )
-    begin = f"element_at(transform(array({cells}), c -> struct(c as cells, {_pure('c')} as pure, 0 as got)), 1)"
+    begin = f"element_at(transform(array({cells}), c -> struct(c as cells, {_pure('c')} as pure, cast(array() as array<bigint>) as got)), 1)"
     rounds = f"sequence(1, {2 * width})"
-    return f"aggregate({rounds}, {begin}, (s, r) -> {step}, s -> if(exists(s.cells, x -> x <> 0L), cast(null as int), s.got))"
+    return f"aggregate({rounds}, {begin}, (s, r) -> {step}, s -> if(exists(s.cells, x -> x <> 0L), cast(null as array<bigint>), s.got))"
 
 
 def difference(left: str, right: str) -> str:
-    """SQL of the number of digests that only one of two arrays has, by sketches of parts."""
+    """SQL of the digests that only one of two arrays has, by sketches of parts."""
     def try_part(width: int, tried: int) -> str:
         return peel(subtract(sketch("p.l", width, tried), sketch("p.r", width, tried)), width, tried)
 
-    exact = "size(array_except(p.l, p.r)) + size(array_except(p.r, p.l))"
-    count = f"coalesce({try_part(WIDTH, 0)}, {try_part(4 * WIDTH, ROWS * 3)}, {exact})"
+    exact = "concat(array_except(p.l, p.r), array_except(p.r, p.l))"
+    found = f"coalesce({try_part(WIDTH, 0)}, {try_part(4 * WIDTH, ROWS * 3)}, {exact})"
     side = f"greatest(1, cast(ceil(sqrt((size({left}) + size({right})) / {PART}D)) as int))"
     part = lambda keys, at, of, which: f"filter({keys}, k -> shiftrightunsigned(k, {at}) % {of} = {which})"
     inner = (
-        "aggregate(transform(sequence(0, g.side - 1), j -> struct("
-        f"{part('g.l', 40, 'g.side', 'j')} as l, {part('g.r', 40, 'g.side', 'j')} as r)), 0, (t, p) -> t + {count})"
+        "flatten(transform(transform(sequence(0, g.side - 1), j -> struct("
+        f"{part('g.l', 40, 'g.side', 'j')} as l, {part('g.r', 40, 'g.side', 'j')} as r)), p -> {found}))"
     )
     groups = f"transform(sequence(0, {side} - 1), i -> struct({side} as side, {part(left, 33, side, 'i')} as l, {part(right, 33, side, 'i')} as r))"
-    return f"aggregate({groups}, 0, (t, g) -> t + {inner})"
+    return f"flatten(transform({groups}, g -> {inner}))"
+
+
+def differing(left: str, left_cells: str, right: str, right_cells: str) -> str:
+    """SQL of the digests that only one of two versions has: their sketches peeled, with larger sketches where those fail."""
+    return f"coalesce({peel(subtract(left_cells, right_cells))}, {difference(left, right)})"
+
+
+def recovered(left: str, left_cells: str, right: str, right_cells: str) -> Column:
+    """(only_left, only_right): the recovered digests by the version that has them; each side knows its own."""
+    found = differing(left, left_cells, right, right_cells)
+    return F.expr(f"element_at(transform(array({found}), d -> struct(array_intersect(d, {left}) as only_left, array_intersect(d, {right}) as only_right)), 1)")
 
 
 def likeness(left: str, left_cells: str, right: str, right_cells: str) -> Column:
-    """Jaccard similarity of two digest arrays from their sketches, with larger sketches where those fail."""
+    """Jaccard similarity of two digest arrays from their sizes and the number of digests recovered."""
     both = f"(size({left}) + size({right}))"
-    found = f"coalesce({peel(subtract(left_cells, right_cells))}, {difference(left, right)})"
+    found = f"size({differing(left, left_cells, right, right_cells)})"
     return F.expr(f"if({both} = 0, 1D, element_at(transform(array({found}), d -> ({both} - d) / cast({both} + d as double)), 1))")
 
 
@@ -139,17 +151,21 @@ def with_next(docs: DataFrame, ahead: dict[str, str]) -> DataFrame:
     runs at quantiles; the first row of each run is also sent to the run before it, so that
     a window over runs sees every next row and no task sees all rows.
     """
-    key = F.xxhash64("text")
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1)))
-    ids = rows.select("__id")
-    n = ids.count()
-    runs = min(MAX_RUNS, n // RUN_ROWS + 1)
-    bounds: list[int] = []
-    if runs > 1:
-        at = ids.agg(F.percentile_approx("__id", [i / runs for i in range(1, runs)], 10 * runs)).first()[0]
-        bounds = sorted(set(at))
-    rows = rows.withColumn("__key", key).withColumn("__run", _run_of(bounds))
-    firsts = sorted((r["__run"], r["f"]["__id"], r["f"]["__key"]) for r in rows.groupBy("__run").agg(F.min(F.struct("__id", "__key")).alias("f")).collect())  # at most MAX_RUNS rows
+    rows = docs.withColumn("__key", F.xxhash64("text")).withColumn("__known", F.col("doc_id").isNotNull()).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.col("__key")))
+    ids = rows.select("__known", "__id")
+    counts = {r["__known"]: r["n"] for r in ids.groupBy("__known").agg(F.count(F.lit(1)).alias("n")).collect()}
+    number = F.lit(0)
+    before = 0
+    for known in (False, True):  # null ids first, by text hash
+        runs = min(MAX_RUNS, counts.get(known, 0) // RUN_ROWS + 1)
+        bounds: list[int] = []
+        if runs > 1:
+            bounds = sorted(set(ids.where(F.col("__known") == known).agg(F.percentile_approx("__id", [i / runs for i in range(1, runs)], 10 * runs)).first()[0]))
+        number = F.when(F.col("__known") == known, F.lit(before) + _run_of(bounds)).otherwise(number)
+        before += len(bounds) + 1
+    rows = rows.withColumn("__run", number)
+    place = F.struct("__known", "__id", "__key")
+    firsts = sorted((r["__run"], r["f"]["__id"], r["f"]["__key"]) for r in rows.groupBy("__run").agg(F.min(place).alias("f")).collect())  # a row for each run
     own = F.struct(F.col("__run").alias("run"), F.lit(0).alias("wrap"), F.lit(False).alias("extra"))
     places = F.array(own)
     if firsts:
@@ -158,8 +174,8 @@ def with_next(docs: DataFrame, ahead: dict[str, str]) -> DataFrame:
         again = F.struct(to.alias("run"), (F.col("__run") == firsts[0][0]).cast("int").alias("wrap"), F.lit(True).alias("extra"))
         first = F.col("__id").isin([f[1] for f in firsts]) & F.col("__key").isin([f[2] for f in firsts])
         places = F.when(first, F.array(own, again)).otherwise(F.array(own))
-    rows = rows.select(*docs.columns, "__id", "__key", F.explode(places).alias("__p"))
-    order = Window.partitionBy("__p.run").orderBy("__p.wrap", "__id", "__key", "__p.extra")
+    rows = rows.select(*docs.columns, "__known", "__id", "__key", F.explode(places).alias("__p"))
+    order = Window.partitionBy("__p.run").orderBy("__p.wrap", "__known", "__id", "__key", "__p.extra")
     rows = rows.withColumns({new: F.lead(c).over(order) for new, c in ahead.items()})
     return rows.where("not __p.extra").select(*docs.columns, *ahead)
 

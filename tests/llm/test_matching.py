@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import xxhash
-from conftest_path import documents, table
+from conftest_path import documents, groups, table
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -56,6 +56,13 @@ def test_contaminated_is_brute_force(spark):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_items_without_an_edit_are_whole_words(spark):
+    docs = documents(spark, [(1, "concatenate the words"), (2, "a cat"), (3, "Cat, and so on"), (4, "bobcat"), (5, "cat"), (5, "cat"), (6, "x " * 30_000 + "cat " + "y " * 30_000)])
+    bench = spark.createDataFrame([(7, "cat"), (7, "cat"), (8, "the word")], "item_id long, text string")
+    got = sorted((x["doc_id"], x["item_id"], x["start"]) for x in decontamination.contaminated(docs, bench).collect())
+    assert got == sorted([(2, 7, 2), (3, 7, 0), (5, 7, 0), (5, 7, 0), (6, 7, 60_000)] * 2)
+
+
 def fingerprint(text: str | None) -> int:
     words = (text or "").encode().lower().split()
     if not words:
@@ -64,22 +71,6 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-def groups(n: int, linked) -> list[int]:
-    root = list(range(n))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(n):
-        for j in range(i):
-            if linked(i, j):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    return [find(i) for i in range(n)]
-
-
 def test_components_are_brute_force(spark, sf_dir):
     docs = sorted(table(spark, sf_dir, "documents").select("doc_id", "text").collect(), key=lambda r: r["doc_id"])
     fps = [fingerprint(r["text"]) for r in docs]
@@ -186,6 +177,39 @@ def test_likeness_is_the_jaccard_similarity(spark):
         assert abs(got[i] - (len(x & y) / len(x | y) if x | y else 1.0)) < 1e-9
 
 
+def test_recovered_digests_are_the_differing_ones(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(30):
+        left = [f"Line {r.randrange(10**6)} here." for _ in range(r.choice([0, 1, 3, 20, 150]))]
+        right = [x for x in left if r.random() < 0.8] + [f"Other {r.randrange(10**6)}." for _ in range(r.choice([0, 1, 5, 60]))]
+        rows.append((i, "\n".join(left), "\n".join(right)))
+    df = spark.createDataFrame(rows, "i long, l string, r string").withColumn("a", iblt.digests("l")).withColumn("b", iblt.digests("r"))
+    df = df.selectExpr("*", f"{iblt.sketch('a')} as ca", f"{iblt.sketch('b')} as cb")
+    for x in df.select("a", "b", iblt.recovered("a", "ca", "b", "cb").alias("d")).collect():
+        assert (sorted(x["d"]["only_left"]), sorted(x["d"]["only_right"])) == (sorted(set(x["a"]) - set(x["b"])), sorted(set(x["b"]) - set(x["a"])))
+
+
+def test_fingerprints_odd_and_empty(spark, odd, none, tmp_path):
+    for name, df, n in (("odd", odd, 10), ("none", none, 0)):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        rows = iblt.op10_iblt_fingerprints(spark, str(tmp_path / name)).collect()
+        assert len(rows) == n and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
+        assert len({r["fingerprint"] for r in rows if r["doc_id"] in (1, 2, 3)}) <= 1
+        assert len({r["fingerprint"] for r in rows if r["doc_id"] in (6, 7)}) <= 1
+
+
+def test_next_row_over_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(iblt, "RUN_ROWS", 16)
+    rows = [(i * 3, f"t{i}") for i in range(200)] + [(None, f"n{i}") for i in range(100)] + [(9, "again")] * 40
+    got = iblt.with_next(documents(spark, rows), {"n": "text"}).select("doc_id", "text", "n").collect()
+    assert len(got) == len(rows)
+    order = [r["text"] for r in got if r["doc_id"] is not None and r["doc_id"] > 9]
+    assert all(r["n"] == (f"t{r['doc_id'] // 3 + 1}" if r["doc_id"] < 597 else r["n"]) for r in got if r["doc_id"] is not None and r["doc_id"] > 9) and len(order) == 196
+    last = next(r["n"] for r in got if r["doc_id"] == 597)
+    assert last.startswith("n") and {r["n"] for r in got if r["doc_id"] is None} == {f"n{i}" for i in range(100)} - {last} | {"t0"}
+
+
 def test_fingerprints_of_edited_texts(spark, sf_dir):
     import hashlib
 

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import struct
 import zlib
 
+import numpy as np
+import xxhash
 from conftest_path import documents, table
 from oracle import assert_same
 from pyspark.sql import functions as F
@@ -109,3 +112,60 @@ def test_whole_licence_texts_and_headers_over_lines(spark):
 def test_licences_odd(spark, odd):
     out = licenses.scan(odd, path=F.col("source"))
     assert out.count() == 10 and set(odd.columns) < set(out.columns) and out.columns.count("path") == 1
+
+
+def naive_places(rows, shards: int, bucket_bytes: int, seed: int = 29) -> list[tuple]:
+    """(doc_id, text, shard, slot) by the two passes in plain Python."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def scatter(doc_id, text):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+        h = h if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), h)
+        return signed(xxhash.xxh64_intdigest(struct.pack("<q", signed(xxhash.xxh64_intdigest((text or "").encode(), 42))), h))
+
+    count = max(1, -(-sum(len((t or "").encode()) + 1 for _, t in rows) // bucket_bytes))
+    buckets = {}
+    for r in rows:
+        buckets.setdefault(scatter(*r) % count, []).append((scatter(*r), r))
+    out, place = [], 0
+    for b in sorted(buckets):
+        order = np.arange(len(buckets[b]))
+        np.random.default_rng([seed, b]).shuffle(order)
+        for i, (_, r) in enumerate(sorted(buckets[b], key=lambda x: x[0])):
+            at = place + int(order[i])
+            s = max(s for s in range(shards) if s * len(rows) // shards <= at)
+            out.append((*r, s, at - s * len(rows) // shards))
+        place += len(order)
+    return out
+
+
+def test_places_are_the_naive_shuffle(spark, odd):
+    rows = [(i, f"text {i * 7919 % 101} of {i}" if i % 11 else None) for i in range(200)] + [(None, "x"), (1000, "é\U0001f600" * 50)]
+    key = lambda r: (r[0] is None, r[0], r[1] or "")
+    for bucket_bytes in (100, 1 << 20):
+        got = sharding.shuffle_shards(documents(spark, rows), 8, bucket_bytes=bucket_bytes).select("doc_id", "text", "shard", "slot").collect()
+        assert sorted(map(tuple, got), key=key) == sorted(naive_places(rows, 8, bucket_bytes), key=key)
+
+
+def test_shards_of_a_large_group_of_equal_rows_are_written_in_order(spark, tmp_path):
+    rows = [(1, "same")] * 3000 + [(i, f"t{i}") for i in range(2, 1000)]
+    out = sharding.write_shards(sharding.shuffle_shards(documents(spark, rows), 8, bucket_bytes=2000), str(tmp_path / "s"))
+    found = out.withColumn("f", F.input_file_name()).withColumn("i", F.monotonically_increasing_id()).collect()
+    assert len(found) == len(rows)
+    by, last = {}, {}
+    for r in sorted(found, key=lambda r: r["i"]):
+        assert r["place"] > last.get(r["f"], -1)
+        last[r["f"]] = r["place"]
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and len(by) == 8
+
+
+def test_mixing_ties_repeated_rows_and_long_texts(spark):
+    rows = [(1, "w " * 7, None, "a")] * 50 + [(2, "w " * 5000, None, "a"), (3, "w " * 900, None, "b")]
+    out = mixing.plan_mix(documents(spark, rows), bucket_words=100).collect()
+    by = {}
+    for r in out:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        by.setdefault(r["source"], []).append(r)
+    for rs in by.values():
+        assert sum(r["taken"] for r in rs) == round(rs[0]["target"]) and rs[0]["source_size"] == sum(r["size"] for r in rs)
