@@ -53,7 +53,7 @@ def digests(text: str) -> Column:
 
     A digest is 44 hash bits of the unit and 20 check bits of those.
     """
-    units = f"filter(transform(regexp_extract_all({text}, '{UNIT}', 0), u -> trim(u)), u -> u <> '')"
+    units = f"filter(transform(regexp_extract_all({text}, '{UNIT}', 0), u -> btrim(u, ' \\t\\r\\f')), u -> u <> '')"
     return F.expr(f"array_distinct(transform(transform({units}, u -> xxhash64(u) & {~CHECK_MASK}L), h -> h | (xxhash64(h) & {CHECK_MASK}L)))")
 
 
