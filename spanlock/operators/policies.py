@@ -43,14 +43,18 @@ def rescore_patience(states: DataFrame, threshold: float, patience: int) -> Data
 
 
 def ema(states: DataFrame, threshold: float, alpha: float) -> DataFrame:
-    """Exponential average over real scores; cached steps keep it."""
-    key = Window.partitionBy(*KEY).orderBy("step")
+    """Exponential average over real scores; cached steps keep it. One fold over a candidate's rows in order."""
     scored = F.col("was_rescored") if "was_rescored" in states.columns else F.lit(True)
-    scores = F.collect_list(F.when(scored, F.col("probability"))).over(key.rowsBetween(Window.unboundedPreceding, 0))
-    rows = states.withColumn("scores", scores)
-    average = F.aggregate(F.slice("scores", 2, 1 << 30), F.element_at("scores", 1), lambda e, p: p * alpha + e * (1 - alpha))
-    rows = rows.withColumn("ema", average)
-    return _ready(rows.where(F.col("ema") >= threshold), "ema")
+    rows = states.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("step", "probability", scored.alias("scored")))).alias("rows"))
+    begin = F.array(F.struct(F.col("rows")[0]["step"].alias("step"), F.col("rows")[0]["probability"].alias("probability"), F.col("rows")[0]["probability"].alias("ema")))
+
+    def add(kept: Column, r: Column) -> Column:
+        before = F.element_at(kept, -1)["ema"]
+        now = F.when(r["scored"], r["probability"] * alpha + before * (1 - alpha)).otherwise(before)
+        return F.array_append(kept, F.struct(r["step"].alias("step"), r["probability"].alias("probability"), now.alias("ema")))
+
+    averages = rows.select(*KEY, F.explode(F.aggregate(F.slice("rows", 2, 1 << 30), begin, add)).alias("r")).select(*KEY, "r.*")
+    return _ready(averages.where(F.col("ema") >= threshold), "ema")
 
 
 def gate_features(states: DataFrame) -> DataFrame:

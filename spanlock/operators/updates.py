@@ -126,9 +126,14 @@ def overlap_components(obs: DataFrame) -> DataFrame:
 def candidate_states(obs: DataFrame, steps: DataFrame) -> DataFrame:
     """Every span and label seen so far, at every step: the last score carried forward.
 
-    An observation holds from its step to the one before the next, so the dense view is a
-    join of two bounded ranges on the stream.
+    An observation holds from its step to the one before the next. Steps count from 1 without
+    gaps (see ``traces.violations``), so those are a slice of the stream's word counts, which an
+    observation gets by stream; no pairs of scores and steps are made that do not hold.
     """
-    s = steps.select("example_id", F.col("step").alias("at"), F.col("visible_word_count").alias("words_now"))
-    held = obs.drop("visible_word_count").join(s, "example_id").where("at >= step and (next_step is null or at < next_step)")
-    return held.select("example_id", F.col("at").alias("step"), "start_word", "end_word", "label", "probability", "rescore_count", (F.col("at") - F.col("step")).alias("snapshot_age"), (F.col("at") == F.col("step")).alias("was_rescored"), (F.col("words_now") - 1 - F.col("end_word")).alias("tail_distance_words"), "rolling_deltas", "instability", "label_margin")
+    counts = F.transform(F.array_sort(F.collect_list(F.struct("step", "visible_word_count"))), lambda x: x["visible_word_count"])
+    seen = steps.groupBy("example_id").agg(counts.alias("seen"))
+    stop = F.coalesce(F.col("next_step"), F.size("seen") + F.lit(1).cast("long"))
+    held = F.slice("seen", F.col("step").cast("int"), (stop - F.col("step")).cast("int"))
+    rows = obs.drop("visible_word_count").join(seen, "example_id")
+    rows = rows.select(*obs.drop("visible_word_count").columns, F.posexplode(held).alias("snapshot_age", "words_now")).withColumn("snapshot_age", F.col("snapshot_age").cast("long"))
+    return rows.select("example_id", (F.col("step") + F.col("snapshot_age")).alias("step"), "start_word", "end_word", "label", "probability", "rescore_count", "snapshot_age", (F.col("snapshot_age") == 0).alias("was_rescored"), (F.col("words_now") - 1 - F.col("end_word")).alias("tail_distance_words"), "rolling_deltas", "instability", "label_margin")
