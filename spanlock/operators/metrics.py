@@ -35,17 +35,63 @@ def merge_intervals(rows: DataFrame, key: list[str], start: str = "start_char",
     return islands.groupBy(*key, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
 
 
-def masking_counts(predicted: DataFrame, gold: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Per stream: characters masked, gold and both, whatever the label; (example_id, text_length) in ``lengths``."""
-    p = merge_intervals(predicted.select("example_id", "start_char", "end_char"), ["example_id"])
+def covered_before(points: DataFrame, islands: DataFrame, position: str = "position") -> DataFrame:
+    """Adds covered: how much of the disjoint ``islands`` of its stream lies before each point. One window, no pairs.
+
+    Points and islands are put in one order; a point looks back to the last island that begins there or before.
+    """
+    before = Window.partitionBy("example_id").orderBy("start_char").rowsBetween(Window.unboundedPreceding, -1)
+    island = F.struct("start_char", "end_char", F.coalesce(F.sum(F.col("end_char") - F.col("start_char")).over(before), F.lit(0)).alias("sum"))
+    marks = islands.select("example_id", F.col("start_char").alias(position), F.lit(0).alias("__kind"), island.alias("__island"))
+    rows = marks.unionByName(points.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
+    order = Window.partitionBy("example_id").orderBy(position, "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__last", F.last("__island", ignorenulls=True).over(order)).where("__kind = 1")
+    covered = F.col("__last.sum") + F.least(F.col(position), F.col("__last.end_char")) - F.col("__last.start_char")
+    return rows.select(*points.columns, F.coalesce(covered, F.lit(0)).cast("long").alias("covered"))
+
+
+def masked(predicted: DataFrame, gold: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, example_id, predicted_chars, tp_chars): characters masked, and those of them that are gold.
+
+    ``by`` names columns that tell predictions apart, such as those of a policy; gold is there once for all.
+    """
+    p = merge_intervals(predicted.select(*by, "example_id", "start_char", "end_char"), [*by, "example_id"])
+    ends = F.explode(F.array(F.struct(F.col("start_char").alias("position"), F.lit(-1).alias("sign")), F.struct(F.col("end_char").alias("position"), F.lit(1).alias("sign")))).alias("e")
+    points = p.select(*by, "example_id", ends).select(*by, "example_id", "e.position", "e.sign")
+    rows = covered_before(points, merge_intervals(gold.select("example_id", "start_char", "end_char"), ["example_id"]))
+    return rows.groupBy(*by, "example_id").agg(F.sum(F.col("sign") * F.col("position")).alias("predicted_chars"), F.sum(F.col("sign") * F.col("covered")).alias("tp_chars"))
+
+
+def gold_lengths(gold: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(example_id, text_length, gold_chars, non_pii_chars) for every stream of ``lengths``."""
     g = merge_intervals(gold.select("example_id", "start_char", "end_char"), ["example_id"])
-    size = lambda df, name: df.groupBy("example_id").agg(F.sum(F.col("end_char") - F.col("start_char")).alias(name))
-    meet = p.join(g.select("example_id", F.col("start_char").alias("gs"), F.col("end_char").alias("ge")), "example_id").where("start_char < ge and gs < end_char")
-    both = meet.groupBy("example_id").agg(F.sum(F.least("end_char", "ge") - F.greatest("start_char", "gs")).alias("tp_chars"))
-    rows = lengths.join(size(p, "predicted_chars"), "example_id", "left").join(size(g, "gold_chars"), "example_id", "left").join(both, "example_id", "left").na.fill(0, ["tp_chars", "predicted_chars", "gold_chars"])
+    g = g.groupBy("example_id").agg(F.sum(F.col("end_char") - F.col("start_char")).alias("gold_chars"))
+    rows = lengths.join(g, "example_id", "left").na.fill(0, ["gold_chars"])
     return rows.withColumn("non_pii_chars", F.col("text_length") - F.col("gold_chars"))
 
 
+def masking_counts(predicted: DataFrame, gold: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Per stream: characters masked, gold and both, whatever the label; (example_id, text_length) in ``lengths``."""
+    rows = gold_lengths(gold, lengths).join(masked(predicted, gold), "example_id", "left").na.fill(0, ["tp_chars", "predicted_chars"])
+    return rows.select("example_id", "text_length", "predicted_chars", "gold_chars", "tp_chars", "non_pii_chars")
+
+
+def masking_rates() -> list[Column]:
+    """Precision, recall, F1, F2 and false-positive rate of columns tp_chars, predicted_chars, gold_chars and non_pii_chars."""
+    tp, predicted = F.col("tp_chars"), F.col("predicted_chars")
+    p, r = ratio(tp, predicted), ratio(tp, F.col("gold_chars"))
+    return [p.alias("masking_precision"), r.alias("masking_recall"), f_beta(p, r, 1).alias("masking_f1"), f_beta(p, r, 2).alias("masking_f2"), ratio(predicted - tp, F.col("non_pii_chars")).alias("masking_fpr")]
+
+
+def masking_scores(counts: DataFrame) -> DataFrame:
+    """Masking rates of each task from summed characters, pooled (``__overall__``) and as the mean of tasks (``__macro__``)."""
+    sums = [F.sum(c).alias(c) for c in ("tp_chars", "predicted_chars", "gold_chars", "non_pii_chars")]
+    pooled = counts.withColumn("task", F.explode(F.array("task", F.lit("__overall__")))).groupBy("task").agg(*sums)
+    rows = pooled.select("task", *masking_rates())
+    names = [c for c in rows.columns if c != "task"]
+    return rows.unionByName(rows.where("task <> '__overall__'").agg(*(F.avg(c).alias(c) for c in names)).withColumn("task", F.lit("__macro__")))
+
+
 def outcomes(committed: DataFrame, gold: DataFrame) -> DataFrame:
     """Per stream: commits, correct, wrong and missed; rows are not deduplicated."""
     c = committed.select(*KEY).join(gold.select(*KEY).distinct().withColumn("hit", F.lit(1)), KEY, "left")
@@ -63,9 +109,17 @@ def premature(committed: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def visibility(gold: DataFrame, steps: DataFrame) -> DataFrame:
-    """The first step at which all of a gold entity is visible."""
-    rows = gold.join(steps.select("example_id", "step", "visible_char_count", "visible_word_count"), "example_id").where("visible_char_count >= end_char")
-    return rows.groupBy(*KEY, "end_char").agg(F.min("step").alias("visible_step"), F.min_by("visible_word_count", "step").alias("visible_words"))
+    """The first step at which all of a gold entity is visible.
+
+    Visible text never shrinks, so it is the step of the smallest length from the entity's end on:
+    steps and ends are put in one order per stream, and an end looks ahead to the next step.
+    """
+    first = steps.groupBy("example_id", F.col("visible_char_count").alias("position")).agg(F.min(F.struct("step", "visible_word_count")).alias("seen"))
+    ends = gold.select(*KEY, "end_char").distinct().withColumn("position", F.col("end_char")).withColumn("kind", F.lit(1))
+    rows = ends.unionByName(first.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    ahead = Window.partitionBy("example_id").orderBy(F.desc("position"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("seen", F.last("seen", ignorenulls=True).over(ahead)).where("kind = 1 and seen is not null")
+    return rows.select(*KEY, "end_char", F.col("seen.step").alias("visible_step"), F.col("seen.visible_word_count").alias("visible_words"))
 
 
 def delays(committed: DataFrame, visible: DataFrame, steps: DataFrame) -> DataFrame:
@@ -107,11 +161,22 @@ def revision_horizons(updates: DataFrame, minimum_delta: float | None = None) ->
 
 
 def trajectory_stability(obs: DataFrame) -> DataFrame:
-    """Per trajectory: scores, largest and total change, and changes of direction (no change has none)."""
+    """Per trajectory: scores, population variance, largest and mean change, changes of direction (no change has none) and of rank.
+
+    The rank of a label is its place among the labels of its span at a score, the best first.
+    """
     key = Window.partitionBy(*KEY).orderBy("step")
+    ranked = obs.withColumn("rank", F.row_number().over(Window.partitionBy("example_id", "start_word", "end_word", "step").orderBy(F.desc("probability"), "label")))
+    ranked = ranked.withColumn("moved", (F.col("rank") != F.lag("rank").over(key)).cast("long"))
     moves = obs.where("delta <> 0").withColumn("turned", (F.signum("delta") != F.lag(F.signum("delta")).over(key)).cast("int"))
     turns = moves.groupBy(*KEY).agg(F.sum(F.coalesce("turned", F.lit(0))).alias("direction_changes"))
-    rows = obs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("scores"), F.coalesce(F.max(F.abs("delta")), F.lit(0.0)).alias("max_change"))
+    rows = ranked.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("scores"),
+        F.var_pop("probability").alias("variance"),
+        F.coalesce(F.max(F.abs("delta")), F.lit(0.0)).alias("max_change"),
+        F.coalesce(F.avg(F.abs("delta")), F.lit(0.0)).alias("mean_change"),
+        F.coalesce(F.sum("moved"), F.lit(0)).alias("rank_changes"),
+    )
     return rows.join(turns, KEY, "left").na.fill(0, ["direction_changes"])
 
 

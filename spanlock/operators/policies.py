@@ -57,14 +57,14 @@ def ema(states: DataFrame, threshold: float, alpha: float) -> DataFrame:
     return _ready(averages.where(F.col("ema") >= threshold), "ema")
 
 
-def gate_features(states: DataFrame) -> DataFrame:
+def gate_features(states: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Features of the stability gate: instability, margin of the span's two best labels, advantage of longer spans.
 
     The first two belong to the last score and are carried with it; only the third looks at other spans.
     """
     family = Window.partitionBy("example_id", "step", "start_word", "label").orderBy("end_word").rowsBetween(1, Window.unboundedFollowing)
     rows = states.withColumn("longer", F.max("probability").over(family))
-    return rows.select(*KEY, "step", "probability", "rescore_count", "tail_distance_words", "instability", "label_margin", F.coalesce(F.col("longer") - F.col("probability"), F.lit(0.0)).alias("extension_advantage"))
+    return rows.select(*KEY, "step", "probability", "rescore_count", "tail_distance_words", "instability", "label_margin", F.coalesce(F.col("longer") - F.col("probability"), F.lit(0.0)).alias("extension_advantage"), *keep)
 
 
 def stability_gate(features: DataFrame, threshold: float, *, min_rescores: int = 1, epsilon: float | None = None, min_margin: float | None = None, max_extension: float | None = None, min_tail: int | None = None) -> DataFrame:

@@ -512,10 +512,14 @@ def material_horizon(spark, sf_dir):
 
 
 @_query("trajectory_stability", _with(_OBS, f""", mv AS (SELECT *, CASE WHEN sign(delta) <> lag(sign(delta)) OVER (PARTITION BY {_K} ORDER BY step) THEN 1 ELSE 0 END AS turned FROM obs WHERE delta <> 0),
-tn AS (SELECT {_K}, CAST(sum(turned) AS BIGINT) AS direction_changes FROM mv GROUP BY ALL)
-SELECT {_K}, count(*) AS scores, coalesce(max(abs(delta)), 0.0) AS max_change, coalesce(any_value(direction_changes), 0) AS direction_changes FROM obs LEFT JOIN tn USING ({_K}) GROUP BY ALL"""))
+tn AS (SELECT {_K}, CAST(sum(turned) AS BIGINT) AS direction_changes FROM mv GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY example_id, start_word, end_word, step ORDER BY probability DESC, label) AS rank FROM obs),
+rm AS (SELECT *, CASE WHEN rank <> lag(rank) OVER (PARTITION BY {_K} ORDER BY step) THEN 1 ELSE 0 END AS moved FROM rk)
+SELECT {_K}, count(*) AS scores, round(var_pop(probability), 9) AS variance, coalesce(max(abs(delta)), 0.0) AS max_change, round(coalesce(avg(abs(delta)), 0.0), 9) AS mean_change, CAST(sum(moved) AS BIGINT) AS rank_changes,
+coalesce(any_value(direction_changes), 0) AS direction_changes FROM rm LEFT JOIN tn USING ({_K}) GROUP BY ALL"""))
 def trajectory_stability(spark, sf_dir):
-    return M.trajectory_stability(stream(spark, sf_dir).obs)
+    rows = M.trajectory_stability(stream(spark, sf_dir).obs)
+    return rows.withColumns({c: F.round(c, 9) for c in ("variance", "mean_change")})
 
 
 # --- selection and sampling --------------------------------------------------------------
