@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import metrics as M
+from ..operators import parity as C
 from ..operators import policies as P
 from ..operators import resolve as R
 from ..operators import revisions as V
+from ..operators import spans as W
 from ..operators import specs as G
 from . import queries as Q
 from .queries import _query, _with, stream
@@ -234,3 +237,87 @@ round({_R("sum(churn_changed)", "sum(churn_either)")}, 9) AS churn, round({_R("s
 def premise_report(spark, sf_dir):
     rows = E.premise_report(_premise(spark, sf_dir))
     return rows.withColumns({c: F.round(c, 9) for c in ("rescore_rate", "rescored_span_rate", "mean_movement", "churn", "mean_horizon_words")})
+
+
+# --- offsets and two logs ----------------------------------------------------------------
+
+
+@_query("chars_to_words", _with(Q._STEPS + Q._GOLD, "SELECT example_id, start_char, end_char, label, start_word, end_word FROM gold"))
+def chars_to_words(spark, sf_dir):
+    """Gold given by characters, brought back to words."""
+    s = stream(spark, sf_dir)
+    return W.chars_to_words(s.gold.select("example_id", "start_char", "end_char", "label"), s.words)
+
+
+@_query("gold_end_words", _with(Q._STEPS + Q._GOLD, """, g AS (SELECT example_id, start_char, greatest(start_char + 1, end_char - start_word % 2) AS end_char, label FROM gold)
+SELECT g.*, coalesce((SELECT max(word_index) FROM words w WHERE w.example_id = g.example_id AND w.end_char = g.end_char), (SELECT max(word_index) FROM words w WHERE w.example_id = g.example_id AND w.start_char < g.end_char AND g.end_char <= w.end_char)) AS end_word FROM g"""))
+def gold_end_words(spark, sf_dir):
+    """Ends of gold entities as words, half of them one character early."""
+    s = stream(spark, sf_dir)
+    gold = s.gold.select("example_id", "start_char", F.greatest(F.col("start_char") + 1, F.col("end_char") - F.col("start_word") % 2).alias("end_char"), "label")
+    return W.gold_end_words(gold, s.words)
+
+
+@_query("span_texts", _with(Q._STEPS + Q._GOLD, """, tx AS (SELECT example_id, string_agg(chunk, '' ORDER BY step) AS text FROM steps GROUP BY 1)
+SELECT g.example_id, start_char, end_char, label, substr(tx.text, start_char + 1, end_char - start_char) AS text FROM gold g JOIN tx USING (example_id)"""))
+def span_texts(spark, sf_dir):
+    s = stream(spark, sf_dir)
+    return W.span_texts(s.gold.select("example_id", "start_char", "end_char", "label"), W.stream_texts(s.steps))
+
+
+def _rounded(updates):
+    """A log that is the same but for its last digits, lost rows, and other kinds: probabilities to hundredths, spans from word 40 on left out at step 2."""
+    probs = F.transform("probs", lambda p: F.floor(p * 100) / 100)
+    rows = updates.where("not (step = 2 and start_word >= 40)").select("example_id", "step", "start_word", "end_word", probs.alias("probs"))
+    top, low = F.array_max("probs"), F.array_min("probs")
+    span = Window.partitionBy("example_id", "start_word", "end_word").orderBy("step")
+    before = F.lag(top).over(span)
+    return rows.select("*", (top - low).alias("label_margin"), (top - before).alias("top_probability_delta"), F.when(before.isNull(), "new").otherwise("rescore").alias("update_kind"))
+
+
+_SAFE = "greatest(1e-12::DOUBLE, least(1 - 1e-12::DOUBLE, {}))"
+_LOGIT = f"ln({_SAFE} / (1.0::DOUBLE - {_SAFE}))"
+_L = lambda p: _LOGIT.format(p, p)
+_COMPARED = Q._UPDATES + f""", ac0 AS (SELECT example_id, step, start_word, end_word, [floor(probs[1] * 100) / 100, floor(probs[2] * 100) / 100] AS probs FROM updates WHERE NOT (step = 2 AND start_word >= 40)),
+ac AS (SELECT *, list_max(probs) - list_min(probs) AS label_margin, list_max(probs) - lag(list_max(probs)) OVER s AS top_probability_delta, CASE WHEN lag(list_max(probs)) OVER s IS NULL THEN 'new' ELSE 'rescore' END AS update_kind
+FROM ac0 WINDOW s AS (PARTITION BY example_id, start_word, end_word ORDER BY step)),
+jn AS (SELECT coalesce(e.example_id, a.example_id) AS example_id, coalesce(e.step, a.step) AS step, coalesce(e.start_word, a.start_word) AS start_word, coalesce(e.end_word, a.end_word) AS end_word, e.probs AS ep, a.probs AS ap, e.label_margin AS em, a.label_margin AS am,
+e.top_probability_delta AS ed, a.top_probability_delta AS ad, e.update_kind AS ek, a.update_kind AS ak FROM updates e FULL JOIN ac a ON e.example_id = a.example_id AND e.step = a.step AND e.start_word = a.start_word AND e.end_word = a.end_word),
+lg AS (SELECT *, {_L("ep[1]")} AS e1, {_L("ep[2]")} AS e2, {_L("ap[1]")} AS a1, {_L("ap[2]")} AS a2 FROM jn),
+er AS (SELECT *, CASE WHEN ep IS NOT NULL AND ap IS NOT NULL AND least(sqrt(e1 * e1 + e2 * e2), sqrt(a1 * a1 + a2 * a2)) >= 1e-3 THEN (e1 * a1 + e2 * a2) / (sqrt(e1 * e1 + e2 * e2) * sqrt(a1 * a1 + a2 * a2)) END AS cosine,
+CASE WHEN ep IS NOT NULL AND ap IS NOT NULL THEN greatest(abs(ep[1] - ap[1]), abs(ep[2] - ap[2])) END AS probability_error, abs(em - am) AS margin_error, abs(ed - ad) AS delta_error,
+ep IS NOT NULL AND ap IS NOT NULL AS two, list_position(ep, list_max(ep)) <> list_position(ap, list_max(ap)) AS other_top, abs(e1 - e2) <= 0.1 OR list_max(ep) <= 1e-6 AS tie FROM lg)"""
+_REASONS = {
+    "missing": "ap IS NULL", "unexpected": "ep IS NULL", "cosine": "cosine < 0.9999", "probability": "probability_error > 5e-3", "margin": "margin_error > 5e-3", "delta": "delta_error > 5e-3", "kind": "two AND ek <> ak",
+    "top_label": "two AND other_top AND NOT tie", "near_tie": "two AND other_top AND tie",
+    "threshold": "two AND (((ep[1] > 0.5) <> (ap[1] > 0.5) AND abs(ep[1] - 0.5) > 5e-3) OR ((ep[2] > 0.5) <> (ap[2] > 0.5) AND abs(ep[2] - 0.5) > 5e-3))",
+    "near_threshold": "two AND (((ep[1] > 0.5) <> (ap[1] > 0.5) AND abs(ep[1] - 0.5) <= 5e-3) OR ((ep[2] > 0.5) <> (ap[2] > 0.5) AND abs(ep[2] - 0.5) <= 5e-3))",
+}
+
+
+def _compared(spark, sf_dir):
+    updates = stream(spark, sf_dir).updates
+    return C.compare_updates(updates, _rounded(updates))
+
+
+@_query("parity_reasons", _with(_COMPARED, "SELECT '__compared__' AS reason, count(*) AS rows, count(DISTINCT example_id) AS examples FROM er\n" + "\n".join(f"UNION ALL SELECT '{name}', count(*), count(DISTINCT example_id) FROM er WHERE {sql} HAVING count(*) > 0" for name, sql in _REASONS.items())))
+def parity_reasons(spark, sf_dir):
+    """Why two logs of the same streams differ."""
+    return C.update_report(_compared(spark, sf_dir))
+
+
+@_query("parity_numbers", _with(_COMPARED, "SELECT round(min(cosine), 6) AS least_cosine, round(max(probability_error), 9) AS max_probability_error, round(max(margin_error), 9) AS max_margin_error, round(max(delta_error), 9) AS max_delta_error FROM er"))
+def parity_numbers(spark, sf_dir):
+    rows = C.numeric_report(_compared(spark, sf_dir))
+    return rows.select(F.round("least_cosine", 6).alias("least_cosine"), *(F.round(c, 9).alias(c) for c in rows.columns[1:]))
+
+
+@_query("parity_entities", _with(Q._OBS + Q._SNAPSHOTS, """, ot AS (SELECT * REPLACE (score - CASE WHEN start_word % 3 = 0 THEN 0.01 ELSE 0.0 END AS score) FROM snap WHERE start_word % 5 <> 0 UNION ALL SELECT example_id, step, start_word + 1000000, end_word + 1000000, label, score FROM snap WHERE start_word % 7 = 0)
+SELECT coalesce(e.example_id, a.example_id) AS example_id, coalesce(e.step, a.step) AS step, count(*) FILTER (e.score IS NOT NULL AND a.score IS NOT NULL) AS agreed, count(*) FILTER (a.score IS NULL) AS missing, count(*) FILTER (e.score IS NULL) AS unexpected,
+count(*) FILTER (abs(e.score - a.score) > 5e-3) AS other_score FROM snap e FULL JOIN ot a ON e.example_id = a.example_id AND e.step = a.step AND e.start_word = a.start_word AND e.end_word = a.end_word AND e.label = a.label GROUP BY 1, 2"""))
+def parity_entities(spark, sf_dir):
+    """Entities of snapshots against those of a log with lost, added and rescored ones."""
+    snap = R.greedy_decode(stream(spark, sf_dir).states, 0.9)
+    kept = snap.where("start_word % 5 <> 0").withColumn("score", F.col("score") - F.when(F.col("start_word") % 3 == 0, 0.01).otherwise(0.0))
+    more = snap.where("start_word % 7 = 0").withColumns({"start_word": F.col("start_word") + 1_000_000, "end_word": F.col("end_word") + 1_000_000})
+    return C.compare_entities(snap, kept.unionByName(more))

@@ -20,6 +20,7 @@ from ..operators import resolve as R
 from ..operators import revisions as V
 from ..operators import selection as S
 from ..operators import updates as U
+from ..sources import tables as corpus
 from ..sources import traces
 from ..sources.tables import conversation_steps, table
 from ..streaming import commits as stream_
@@ -555,7 +556,20 @@ def constrained_best(spark, sf_dir):
     return S.constrained_best(_configs(spark, sf_dir), ["mode"], F.col("recall") >= 25.6, [F.col("delay"), F.col("error"), F.col("id")])
 
 
-@_query("bootstrap_difference")
+_BOOT_SUMS = _FIXED + _STRICT + """, a1 AS (SELECT example_id, CAST(tp AS DOUBLE) AS a, CAST(tp + fp AS DOUBLE) AS b FROM counts),
+lag_ready AS (SELECT * FROM states WHERE probability >= 0.8 AND tail_distance_words >= 4), """ + _COMMITS.replace("first AS", "lfirst AS").replace("arg_min(readiness, step) AS readiness FROM ready", "arg_min(probability, step) AS readiness FROM lag_ready").replace("ranked AS", "lranked AS").replace("FROM first", "FROM lfirst").replace("folded AS", "lfolded AS").replace("FROM ranked", "FROM lranked").replace("un AS", "lun AS").replace("FROM folded", "FROM lfolded").replace("commits AS", "lcommits AS").replace("FROM un)", "FROM lun)") + f""",
+lp AS (SELECT DISTINCT {_K}, 1 AS p FROM lcommits), lc AS (SELECT example_id, count(*) FILTER (p IS NOT NULL AND g IS NOT NULL) AS tp, count(*) FILTER (g IS NULL) AS fp FROM lp FULL JOIN gr USING ({_K}) GROUP BY example_id),
+b1 AS (SELECT example_id, CAST(tp AS DOUBLE) AS c, CAST(tp + fp AS DOUBLE) AS d FROM lc),
+su AS (SELECT example_id, example_id % 4 AS task, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c, coalesce(d, 0) AS d, row_number() OVER (PARTITION BY example_id % 4 ORDER BY example_id) - 1 AS i FROM a1 FULL JOIN b1 USING (example_id)),
+sz AS (SELECT task, count(*) AS n FROM su GROUP BY 1),
+dr AS (SELECT rep, task, CAST(('0x' || substr(md5('20260901|' || rep || '|' || task || '|' || j), 1, 8)) AS BIGINT) % n AS i FROM (SELECT task, n, unnest(range(n)) AS j FROM sz) CROSS JOIN (SELECT unnest(range(2000)) AS rep)),
+rp AS (SELECT rep, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d FROM dr JOIN su USING (task, i) GROUP BY rep),
+df AS (SELECT CASE WHEN d <> 0 THEN c / d ELSE 0.0 END - CASE WHEN b <> 0 THEN a / b ELSE 0.0 END AS x FROM rp)
+SELECT round(w.a / w.b, 9) AS baseline, round(w.c / w.d, 9) AS comparison, round(w.c / w.d - w.a / w.b, 9) AS difference, round(lower, 9) AS lower, round(upper, 9) AS upper
+FROM (SELECT sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d FROM su) w CROSS JOIN (SELECT quantile_cont(x, 0.025) AS lower, quantile_cont(x, 0.975) AS upper FROM df)"""
+
+
+@_query("bootstrap_difference", _with(_BOOT_SUMS, ""))
 def bootstrap_difference(spark, sf_dir):
     """Threshold against lag policy: precision over conversations as parents, tasks as strata."""
     s = stream(spark, sf_dir)
@@ -564,7 +578,21 @@ def bootstrap_difference(spark, sf_dir):
         c = M.strict_counts(R.commits(_first(s, policy)), s.gold)
         counts.append(c.select("example_id", F.col("tp").cast("double").alias(f"tp_{policy}"), (F.col("tp") + F.col("fp")).cast("double").alias(f"n_{policy}")))
     rows = counts[0].join(counts[1], "example_id", "full").na.fill(0.0).withColumn("task", F.col("example_id") % 4)
-    return S.paired_bootstrap(rows, "task", "example_id", ("tp_fixed_threshold", "n_fixed_threshold"), ("tp_fixed_lag", "n_fixed_lag"), replicates=500)
+    out = S.paired_bootstrap(rows, "task", "example_id", ("tp_fixed_threshold", "n_fixed_threshold"), ("tp_fixed_lag", "n_fixed_lag"))
+    return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
+
+
+@_query("bootstrap_mean", """WITH r AS (SELECT l_returnflag AS task, l_suppkey AS parent, CAST(sum(l_discount) AS DOUBLE) AS a, CAST(sum(l_tax) AS DOUBLE) AS c, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL),
+su AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY parent) - 1 AS i FROM r), sz AS (SELECT task, count(*) AS k FROM su GROUP BY 1),
+dr AS (SELECT rep, task, CAST(('0x' || substr(md5('20260901|' || rep || '|' || task || '|' || j), 1, 8)) AS BIGINT) % k AS i FROM (SELECT task, k, unnest(range(k)) AS j FROM sz) CROSS JOIN (SELECT unnest(range(500)) AS rep)),
+rp AS (SELECT rep, sum(a) / sum(n) AS a, sum(c) / sum(n) AS c FROM dr JOIN su USING (task, i) GROUP BY rep)
+SELECT round(w.a, 9) AS baseline, round(w.c, 9) AS comparison, round(w.c - w.a, 9) AS difference, round(lower, 9) AS lower, round(upper, 9) AS upper
+FROM (SELECT sum(a) / sum(n) AS a, sum(c) / sum(n) AS c FROM su) w CROSS JOIN (SELECT quantile_cont(c - a, 0.025) AS lower, quantile_cont(c - a, 0.975) AS upper FROM rp)""")
+def bootstrap_mean(spark, sf_dir):
+    """Mean discount against mean tax of order lines, suppliers as parents, return flags as strata."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("task"), F.col("l_suppkey").alias("parent"), F.col("l_discount").cast("double").alias("a"), F.col("l_tax").cast("double").alias("c"))
+    out = S.paired_mean_bootstrap(rows, "task", "parent", "a", "c", replicates=500)
+    return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
 
 
 @_query("parent_split", """SELECT doc_id, CASE WHEN list_reduce(list_transform(string_split(sha256('salt:' || source || ':' || lang || ':' || doc_id), ''), lambda c: CAST(strpos('0123456789abcdef', c) - 1 AS BIGINT)), lambda a, c: (a * 16 + c) % 100) < 20 THEN 'dev' ELSE 'test' END AS split FROM documents""")
@@ -587,3 +615,25 @@ def source_diagnostics(spark, sf_dir):
 @_query("task_vocabulary", "SELECT source AS task, array_to_string(list_sort(list_distinct(list(lang))), ',') AS labels FROM documents GROUP BY source")
 def task_vocabulary(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("task")).agg(F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("labels"))
+
+
+@_query("uid_diagnostics", """WITH u AS (SELECT source || lang AS uid, count(*) AS n, count(DISTINCT {'t': n_chars % 2}) AS kinds FROM documents GROUP BY 1)
+SELECT count(*) AS uids, count(*) FILTER (n > 1) AS repeated, count(*) FILTER (kinds > 1) AS conflicting, count(*) FILTER (n > 1 AND kinds = 1) AS copies FROM u""")
+def uid_diagnostics(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.concat("source", "lang").alias("uid"), (F.col("n_chars") % 2).alias("t"))
+    return S.uid_diagnostics(rows, "uid", ["t"])
+
+
+_CORPUS_SQL = """WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS uid, source, text, length(text) AS n, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE lang END AS language, doc_id % 5 - 1 AS sentence_index, doc_id FROM documents)
+SELECT uid, 'blank_language' AS rule FROM c WHERE coalesce(trim(language) = '', true) UNION ALL SELECT uid, 'blank_task_name' FROM c WHERE coalesce(trim(source) = '', true) UNION ALL SELECT uid, 'empty_text' FROM c WHERE coalesce(text = '', true)
+UNION ALL SELECT uid, 'sentence_index' FROM c WHERE sentence_index < 0 UNION ALL SELECT uid, 'entity_offsets' FROM c WHERE n - 1 + doc_id % 3 > n OR n - 1 < 0 OR doc_id % 3 = 0"""
+
+
+@_query("corpus_violations", _CORPUS_SQL)
+def corpus_violations(spark, sf_dir):
+    """Documents as corpus rows, with faults put in by id."""
+    d = table(spark, sf_dir, "documents")
+    n = F.length("text").cast("long")
+    entity = F.struct((n - 1).alias("start"), (n - 1 + F.col("doc_id") % 3).alias("end"), F.lit("x").alias("label"))
+    rows = d.select(F.col("doc_id").cast("string").alias("uid"), F.col("source").alias("task_name"), F.lit("s").alias("source_dataset"), F.lit("u").alias("source_uid"), F.lit("p").alias("parent_id"), (F.col("doc_id") % 5 - 1).alias("sentence_index"), "text", F.array(entity).alias("entities"), F.when(F.col("doc_id") % 7 == 0, " ").otherwise(F.col("lang")).alias("language"))
+    return corpus.corpus_violations(rows)

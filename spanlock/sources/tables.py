@@ -23,6 +23,19 @@ def read_corpus(spark: SparkSession, path: str, tasks: list[str] | None = None)
     return rows.where(F.col("task_name").isin(tasks)) if tasks else rows
 
 
+def corpus_violations(rows: DataFrame) -> DataFrame:
+    """(uid, rule): rows that break a rule of the corpus.
+
+    Names are not blank, text is not empty, numbers are not negative, and an entity selects some of the text.
+    """
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    bad = F.exists("entities", lambda e: e["start"].isNull() | e["end"].isNull() | (e["start"] < 0) | (e["end"] <= e["start"]) | (e["end"] > F.length("text")))
+    rules = {f"blank_{c}": blank(F.col(c)) for c in ("uid", "task_name", "source_dataset", "source_uid", "parent_id", "language")}
+    rules |= {"empty_text": F.coalesce(F.col("text") == "", F.lit(True)), "sentence_index": F.coalesce(F.col("sentence_index") < 0, F.lit(True)), "entity_offsets": F.col("entities").isNull() | F.coalesce(bad, F.lit(False)), "blank_label": F.coalesce(F.exists("entities", lambda e: blank(e["label"])), F.lit(False))}
+    found = F.filter(F.array(*(F.when(condition, F.lit(name)) for name, condition in rules.items())), lambda r: r.isNotNull())
+    return rows.select("uid", F.explode(found).alias("rule"))
+
+
 def conversation_steps(conversations: DataFrame) -> DataFrame:
     """Each turn is one append of a stream: (example_id, step, chunk, visible_char_count, first_char).
 
