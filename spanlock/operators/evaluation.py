@@ -6,7 +6,7 @@ and joined to the streams of each policy; nothing is paired that does not belong
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics as M
@@ -97,7 +97,7 @@ def pareto_rows(groups: DataFrame, specs: DataFrame) -> DataFrame:
     rows = groups.where("task = '__overall__'").join(specs.where("not analysis_only").select("policy_id"), "policy_id")
     rows = rows.withColumn("negative_f1", -F.col("strict_f1"))
     fronts = {"delay_vs_error": "error_rate", "delay_vs_strict_f1": "negative_f1"}
-    parts = [pareto_2d(rows, "mean_context_words", y).select(F.lit(name).alias("objective"), "policy_id") for name, y in fronts.items()]
+    parts = [pareto_2d(rows, "mean_context_words", y).select(F.lit(name).alias("objective"), "policy_id").repartition("policy_id", F.lit(name)) for name, y in fronts.items()]
     return parts[0].unionByName(parts[1])
 
 
@@ -113,14 +113,12 @@ def matched(groups: DataFrame, specs: DataFrame, reference: str, tolerance: floa
     rows = rows.join(F.broadcast(at), F.lit(True))  # one row
     rows = rows.where((F.col("selection_key") != F.col("own_key")) | (F.col("policy_id") == reference))
     orders = {
-        "quality": [(F.col("strict_precision") + tolerance < F.col("p0")).cast("int"), "mean_context_words", "error_rate", F.desc("strict_f1")],
-        "latency": [(F.col("mean_context_words") > F.col("d0") + tolerance).cast("int"), "error_rate", "gold_premature_rate", F.desc("strict_precision"), "mean_context_words"],
+        "quality": [F.col("strict_precision") + tolerance < F.col("p0"), F.col("mean_context_words"), F.col("error_rate"), -F.col("strict_f1")],
+        "latency": [F.col("mean_context_words") > F.col("d0") + tolerance, F.col("error_rate"), F.col("gold_premature_rate"), -F.col("strict_precision"), F.col("mean_context_words")],
     }
-    parts = []
-    for mode, order in orders.items():
-        n = F.row_number().over(Window.partitionBy("selection_key").orderBy(*order, "policy_id"))
-        parts.append(rows.withColumn("n", n).where("n = 1").select("selection_key", F.lit(mode).alias("mode"), "policy_id"))
-    return parts[0].unionByName(parts[1])
+    first = lambda order: F.min_by("policy_id", F.struct(*(c.alias(f"o{i}") for i, c in enumerate([*order, F.col("policy_id")]))))
+    best = rows.groupBy("selection_key").agg(F.array(*(F.struct(F.lit(mode).alias("mode"), first(order).alias("policy_id")) for mode, order in orders.items())).alias("best"))
+    return best.select("selection_key", F.explode("best").alias("b")).select("selection_key", "b.mode", "b.policy_id")
 
 
 def premise_rows(updates: DataFrame, churn: DataFrame, extensions: DataFrame, horizons: DataFrame) -> DataFrame:

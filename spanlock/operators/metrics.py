@@ -35,6 +35,15 @@ def merge_intervals(rows: DataFrame, key: list[str], start: str = "start_char",
     return islands.groupBy(*key, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
 
 
+def side_by_side(marks: DataFrame, rows: DataFrame, position: str) -> DataFrame:
+    """Both tables as one, for a window over their common order.
+
+    The marks are dealt out anew: Spark zips the sides of a union that are partitioned alike, and
+    that fails when adaptive execution has merged the partitions of one side only.
+    """
+    return marks.repartition(position).unionByName(rows, allowMissingColumns=True)
+
+
 def covered_before(points: DataFrame, islands: DataFrame, position: str = "position") -> DataFrame:
     """Adds covered: how much of the disjoint ``islands`` of its stream lies before each point. One window, no pairs.
 
@@ -43,7 +52,7 @@ def covered_before(points: DataFrame, islands: DataFrame, position: str = "posit
     before = Window.partitionBy("example_id").orderBy("start_char").rowsBetween(Window.unboundedPreceding, -1)
     island = F.struct("start_char", "end_char", F.coalesce(F.sum(F.col("end_char") - F.col("start_char")).over(before), F.lit(0)).alias("sum"))
     marks = islands.select("example_id", F.col("start_char").alias(position), F.lit(0).alias("__kind"), island.alias("__island"))
-    rows = marks.unionByName(points.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
+    rows = side_by_side(marks, points.withColumn("__kind", F.lit(1)), position)
     order = Window.partitionBy("example_id").orderBy(position, "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__last", F.last("__island", ignorenulls=True).over(order)).where("__kind = 1")
     covered = F.col("__last.sum") + F.least(F.col(position), F.col("__last.end_char")) - F.col("__last.start_char")
@@ -116,7 +125,7 @@ def visibility(gold: DataFrame, steps: DataFrame) -> DataFrame:
     """
     first = steps.groupBy("example_id", F.col("visible_char_count").alias("position")).agg(F.min(F.struct("step", "visible_word_count")).alias("seen"))
     ends = gold.select(*KEY, "end_char").distinct().withColumn("position", F.col("end_char")).withColumn("kind", F.lit(1))
-    rows = ends.unionByName(first.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    rows = side_by_side(first.withColumn("kind", F.lit(0)), ends, "position")
     ahead = Window.partitionBy("example_id").orderBy(F.desc("position"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("seen", F.last("seen", ignorenulls=True).over(ahead)).where("kind = 1 and seen is not null")
     return rows.select(*KEY, "end_char", F.col("seen.step").alias("visible_step"), F.col("seen.visible_word_count").alias("visible_words"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import side_by_side
+
 
 def chars_to_words(spans: DataFrame, words: DataFrame) -> DataFrame:
     """Adds start_word and end_word to spans with start_char and end_char; null where an offset is no word boundary."""
@@ -19,7 +21,7 @@ def gold_end_words(gold: DataFrame, words: DataFrame) -> DataFrame:
     Words and ends are put in one order per stream; an end looks ahead to the first word that does not end before it.
     """
     marks = words.select("example_id", F.col("end_char").alias("position"), F.struct(F.col("word_index").alias("word"), "start_char").alias("seen"), F.lit(0).alias("kind"))
-    rows = marks.unionByName(gold.withColumn("position", F.col("end_char")).withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    rows = side_by_side(marks, gold.withColumn("position", F.col("end_char")).withColumn("kind", F.lit(1)), "position")
     ahead = Window.partitionBy("example_id").orderBy(F.desc("position"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("seen", F.last("seen", ignorenulls=True).over(ahead)).where("kind = 1")
     return rows.select(*gold.columns, F.when(F.col("seen.start_char") < F.col("end_char"), F.col("seen.word")).alias("end_word"))

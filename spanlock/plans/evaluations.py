@@ -12,6 +12,8 @@ from ..operators import policies as P
 from ..operators import resolve as R
 from ..operators import revisions as V
 from ..operators import spans as W
+from ..operators import updates as U
+from ..sources import tables
 from ..operators import specs as G
 from . import queries as Q
 from .queries import _query, _with, stream
@@ -321,3 +323,32 @@ def parity_entities(spark, sf_dir):
     kept = snap.where("start_word % 5 <> 0").withColumn("score", F.col("score") - F.when(F.col("start_word") % 3 == 0, 0.01).otherwise(0.0))
     more = snap.where("start_word % 7 = 0").withColumns({"start_word": F.col("start_word") + 1_000_000, "end_word": F.col("end_word") + 1_000_000})
     return C.compare_entities(snap, kept.unionByName(more))
+
+
+# --- chunk sizes -------------------------------------------------------------------------
+
+SIZES = (1, 2, 4, 8)
+_SIZED = Q._OBS.replace(Q._STEPS, rf"""
+tx AS (SELECT conv_id AS id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn, role, text) AS text FROM conversations GROUP BY 1),
+cz AS ({" UNION ALL ".join(f"SELECT '{n}:' || id AS example_id, regexp_extract_all(text, '{Q._CHUNK.replace('{1,8}', f'{{1,{n}}}')}') AS l FROM tx" for n in SIZES)}),
+st1 AS (SELECT example_id, generate_subscripts(l, 1) AS step, unnest(l) AS chunk FROM cz),
+st2 AS (SELECT *, len(regexp_extract_all(chunk, '{Q._WORD}')) AS new_words FROM st1),
+steps AS (SELECT example_id, step, chunk, new_words, CAST(sum(new_words) OVER (PARTITION BY example_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS BIGINT) AS visible_word_count FROM st2)""").replace("visible_word_count - 1 - 100", "visible_word_count - 1 - 3")
+
+
+@_query("chunk_conditions", _with(_SIZED.split(",\nobr AS")[0] + f""", ready AS (SELECT {_K}, step, probability, probability AS readiness FROM obs WHERE probability >= 0.8), """ + Q._COMMITS + """,
+n1 AS (SELECT split_part(example_id, ':', 1) AS chunk_words, count(DISTINCT example_id) AS streams, count(*) AS steps FROM steps GROUP BY 1), n2 AS (SELECT split_part(example_id, ':', 1) AS chunk_words, count(*) AS updates FROM updates GROUP BY 1),
+n3 AS (SELECT split_part(example_id, ':', 1) AS chunk_words, count(*) AS commits, avg(step) AS mean_step FROM commits GROUP BY 1)""", "SELECT * REPLACE (round(mean_step, 9) AS mean_step) FROM n1 JOIN n2 USING (chunk_words) JOIN n3 USING (chunk_words)"))
+def chunk_conditions(spark, sf_dir):
+    """The same texts in chunks of 1, 2, 4 and 8 words: steps, score events, and commits of the threshold 0.8."""
+    how = U.Scoring(right_context=3)
+    chunk = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text", chunk.alias("chunk"))))
+    texts = tables.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_join(F.transform(turns, lambda t: t["chunk"]), "").alias("text"))
+    steps = U.with_word_counts(tables.chunk_conditions(texts, list(SIZES)))
+    updates = U.span_updates(U.hash_scorer(U.candidates(steps, how), how), how)
+    committed = R.commits(P.fixed_threshold(U.observations(updates, how), 0.8))
+    size = F.substring_index("example_id", ":", 1).alias("chunk_words")
+    rows = steps.groupBy(size).agg(F.countDistinct("example_id").alias("streams"), F.count(F.lit(1)).alias("steps"))
+    rows = rows.join(updates.groupBy(size).agg(F.count(F.lit(1)).alias("updates")), "chunk_words")
+    return rows.join(committed.groupBy(size).agg(F.count(F.lit(1)).alias("commits"), F.round(F.avg("step"), 9).alias("mean_step")), "chunk_words")

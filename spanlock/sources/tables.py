@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import chunks
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -49,3 +53,17 @@ def conversation_steps(conversations: DataFrame) -> DataFrame:
     rows = rows.withColumn("step", F.row_number().over(order).cast("long"))
     seen = F.sum(F.length("chunk")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long")
     return rows.select("example_id", "step", "chunk", seen.alias("visible_char_count"), (seen - F.length("chunk")).alias("first_char"))
+
+
+def chunk_conditions(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """Steps of every text cut into chunks of each size: (example_id, step, chunk, visible_char_count, first_char).
+
+    A condition is a stream of its own: its example_id is the size, a colon and the id in ``texts``
+    (id, text), so that everything downstream treats conditions apart.
+    """
+    parts = [chunks(texts.withColumn("example_id", F.concat(F.lit(f"{n}:"), F.col("id").cast("string"))), ["example_id"], "text", n) for n in sizes]
+    rows = reduce(DataFrame.unionAll, parts)
+    rows = rows.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "example_id")
+    order = Window.partitionBy("example_id").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.sum(F.length("chunk")).over(order).cast("long")
+    return rows.select("example_id", "step", "chunk", seen.alias("visible_char_count"), (seen - F.length("chunk")).alias("first_char"))

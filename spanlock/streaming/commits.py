@@ -3,14 +3,16 @@
 The state of a stream is its last step and its committed intervals, which never overlap; so it
 grows with the commits and not with the events. Rows of one step of a stream must arrive in
 one micro-batch. Rows of a step that is already closed are not dropped in silence: they come out
-with phase ``late``.
+with phase ``late``, or with ``strict`` they end the query with an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,7 @@ OUTPUT = "example_id long, start_word long, end_word long, label string, step lo
 STATE = "last_step long, start_words array<long>, end_words array<long>"
 
 
-def _commit(key: tuple, batches: Iterator[Any], state: GroupState) -> Iterator[Any]:
+def _commit(key: tuple, batches: Iterator[Any], state: GroupState, strict: bool = False) -> Iterator[Any]:
     import pandas as pd
 
     last, starts, ends = state.get if state.exists else (0, [], [])
@@ -30,6 +32,8 @@ def _commit(key: tuple, batches: Iterator[Any], state: GroupState) -> Iterator[A
     rows = rows.assign(r=-rows["readiness"], p=-rows["probability"]).sort_values(["step", "r", "p", "start_word", "end_word", "label"], kind="stable")
     out = []
     for x in rows.itertuples(index=False):
+        if x.step <= last and strict:
+            raise ValueError(f"stream {x.example_id}: step {x.step} came after step {last}")
         if x.step <= last:
             out.append((x.example_id, x.start_word, x.end_word, x.label, x.step, x.readiness, "late"))
         elif not any(a <= x.end_word and x.start_word <= b for a, b in zip(starts, ends)):
@@ -40,23 +44,26 @@ def _commit(key: tuple, batches: Iterator[Any], state: GroupState) -> Iterator[A
     yield pd.DataFrame(out, columns=["example_id", "start_word", "end_word", "label", "step", "readiness", "phase"])
 
 
-def stream_commits(ready: DataFrame) -> DataFrame:
+def stream_commits(ready: DataFrame, *, strict: bool = False) -> DataFrame:
     """Commits of a streaming DataFrame of ready rows (``READY``), in append mode."""
     columns = [c.split()[0] for c in READY.split(", ")]
-    return ready.select(*columns).groupBy("example_id").applyInPandasWithState(_commit, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return ready.select(*columns).groupBy("example_id").applyInPandasWithState(partial(_commit, strict=strict), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    """A new folder below ``spark.checkpoint.dir``, or a temporary one where that is unset and all runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = folder or tempfile.mkdtemp(prefix="spark-stream-")
     return f"{folder}/{uuid.uuid4().hex}"
 
 
-def run_available(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int | None = None) -> DataFrame:
+def run_available(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int | None = None, *, strict: bool = False) -> DataFrame:
     """Commits of all ready rows that lie in the folder ``source``, written to ``target``; a rerun goes on from the checkpoint."""
     reader = spark.readStream.schema(READY)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    query = stream_commits(reader.parquet(source)).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream_commits(reader.parquet(source), strict=strict).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(OUTPUT).parquet(target)

@@ -124,3 +124,99 @@ def test_balanced_sample_reaches_its_quota_in_a_hot_stratum(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") < 990, "hot").otherwise("cold").alias("s"))
     rows = S.balanced_sample(df, "s", F.sha2(F.col("id").cast("string"), 256), "id", 20)
     assert {r["s"]: r["count"] for r in rows.groupBy("s").count().collect()} == {"hot": 20, "cold": 10}
+
+
+def test_the_grid_is_each_policy_by_itself(spark, sf_dir):
+    from spanlock.operators import specs as G
+    from spanlock.plans import queries as engine
+
+    s = engine.stream(spark, sf_dir).states.where("example_id < 3").cache()
+    chosen = [x for i, x in enumerate(G.expand()) if i % 97 == 0] + G.pilot(G.expand())
+    chosen = list({x.policy_id: x for x in chosen}.values())
+    got = {}
+    for r in P.first_ready(G.ready(s, chosen), ("policy_id",)).collect():
+        got.setdefault(r["policy_id"], {})[tuple(r[k] for k in P.KEY)] = (r["step"], round(r["readiness"], 9))
+    for x in chosen:
+        q = dict(x.parameters)
+        rows = {
+            "fixed-threshold": lambda: P.fixed_threshold(s, q["threshold"]),
+            "fixed-lag": lambda: P.fixed_lag(s, q["threshold"], q["lag_words"]),
+            "snapshot-patience": lambda: P.snapshot_patience(s, q["threshold"], q["patience"]),
+            "rescore-patience": lambda: P.rescore_patience(s, q["threshold"], q["patience"]),
+            "ema": lambda: P.ema(s, q["threshold"], q["alpha"]),
+            "oracle-stable": lambda: P.oracle_stable(s, q["threshold"]),
+            "stability-gate": lambda: P.stability_gate(
+                P.gate_features(s),
+                q["tau"],
+                min_rescores=q["min_rescores"],
+                epsilon=q["epsilon"] if q["use_instability"] else None,
+                min_margin=q["min_label_margin"] if q["use_label_margin"] else None,
+                max_extension=q["max_extension_advantage"] if q["use_extension"] else None,
+            ),
+        }[x.family]()
+        want = {tuple(r[k] for k in P.KEY): (r["step"], round(r["readiness"], 9)) for r in P.first_ready(rows).collect()}
+        assert got.get(x.policy_id, {}) == want, x
+
+
+def test_specs_are_read_back_by_their_id(spark):
+    from spanlock.operators import specs as G
+
+    rows = G.frame(spark, G.expand()).collect()
+    assert len(rows) == 1396 and [G.from_row(r) for r in rows] == G.expand()
+    with pytest.raises(ValueError):
+        G.from_row({**rows[0].asDict(), "variant": "other"})
+    assert len(G.pilot(G.expand())) == 10
+
+
+def test_fronts_by_ranges_and_blocks_are_brute_force(spark):
+    import random
+
+    r = random.Random(7)
+    rows = [(i, round(r.random(), 2), round(r.random(), 2), round(r.random(), 1)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, z double").repartition(5)
+    two = {a[0] for a in rows if not any(b[1] <= a[1] and b[2] <= a[2] and b[1:3] != a[1:3] for b in rows)}
+    assert {x["id"] for x in S.pareto_2d(df, "x", "y").collect()} == two
+    three = {a[0] for a in rows if not any(b[1] <= a[1] and b[2] <= a[2] and b[3] >= a[3] and b[1:] != a[1:] for b in rows)}
+    assert {x["id"] for x in S.pareto(df, ["x", "y"], ["z"], block=64).collect()} == three
+
+
+def test_samples_keep_parents_apart_and_fail_when_short(spark):
+    df = spark.range(400).select("id", (F.col("id") % 2).alias("s"), (F.col("id") / 4).cast("int").cast("string").alias("parent"))
+    draw = lambda split, quota: S.parent_disjoint_sample(df, "s", F.col("parent"), F.sha2(F.col("id").cast("string"), 256), "id", quota, split, dev_percent=50)
+    dev, test = ({r["parent"] for r in draw(split, 30).collect()} for split in ("dev", "test"))
+    assert dev and test and not dev & test
+    with pytest.raises(ValueError):
+        draw("dev", 300)
+
+
+def test_offsets_that_are_no_word_boundary(spark):
+    from spanlock.operators import spans as W
+
+    words = spark.createDataFrame([(1, 0, 0, 3), (1, 1, 4, 8), (1, 2, 9, 12)], "example_id long, word_index long, start_char long, end_char long")
+    gold = spark.createDataFrame([(1, 0, 8), (1, 4, 7), (1, 0, 20), (1, 3, 4), (2, 0, 1)], "example_id long, start_char long, end_char long")
+    assert {(r[0], r[1], r[2], r["end_word"]) for r in W.gold_end_words(gold, words).collect()} == {(1, 0, 8, 1), (1, 4, 7, 1), (1, 0, 20, None), (1, 3, 4, None), (2, 0, 1, None)}
+    assert {(r["start_char"], r["end_char"]): (r["start_word"], r["end_word"]) for r in W.chars_to_words(gold.where("example_id = 1"), words).collect()} == {(0, 8): (0, 1), (4, 7): (1, None), (0, 20): (0, None), (3, 4): (None, None)}
+
+
+def test_masking_is_counted_by_characters(spark):
+    """The published example: 5 of 8 masked characters are gold, 6 are gold, 9 of 15 are none."""
+    span = "example_id long, start_char long, end_char long"
+    predicted = spark.createDataFrame([(1, 0, 2), (1, 2, 4), (1, 8, 12)], span)
+    gold = spark.createDataFrame([(1, 1, 5), (1, 10, 12)], span)
+    rows = M.masking_counts(predicted, gold, spark.createDataFrame([(1, 15), (2, 4)], "example_id long, text_length long"))
+    assert {tuple(r) for r in rows.select("example_id", "tp_chars", "predicted_chars", "gold_chars", "non_pii_chars").collect()} == {(1, 5, 8, 6, 9), (2, 0, 0, 0, 4)}
+    assert rows.select(*M.masking_rates()).where("masking_fpr > 0").first()["masking_fpr"] == pytest.approx(1 / 3)
+
+
+def test_corpus_is_read_strictly(spark, tmp_path):
+    from spanlock.sources import tables
+
+    good = '{"uid":"a","task_name":"t","source_dataset":"s","source_uid":"u","parent_id":"p","sentence_index":0,"text":"Ana met Bo","entities":[{"start":0,"end":3,"label":"person"}],"language":"en"}'
+    path = tmp_path / "c.jsonl"
+    path.write_text(good + "\n" + good.replace('"t"', '"other"').replace('"end":3', '"end":30') + "\n")
+    rows = tables.read_corpus(spark, str(path))
+    assert rows.count() == 2 and tables.read_corpus(spark, str(path), ["t"]).count() == 1
+    assert [tuple(r) for r in tables.corpus_violations(rows).collect()] == [("a", "entity_offsets")]
+    path.write_text(good + "\nnot json\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        tables.read_corpus(spark, str(path)).collect()

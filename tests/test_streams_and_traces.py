@@ -39,6 +39,16 @@ def test_late_rows_come_out_as_late(spark, tmp_path):
     assert {(r["start_word"], r["phase"]) for r in out.collect()} == {(0, "live"), (9, "late")}
 
 
+def test_late_rows_end_a_strict_query(spark, tmp_path):
+    source = str(tmp_path / "ready")
+    run = lambda: C.run_available(spark, source, str(tmp_path / "out"), str(tmp_path / "checkpoint"), strict=True)
+    spark.createDataFrame([(1, 0, 0, "a", 5, 0.9, 0.9)], C.READY).coalesce(1).write.mode("append").parquet(source)
+    assert run().count() == 1
+    spark.createDataFrame([(1, 9, 9, "a", 3, 0.9, 0.9)], C.READY).coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="came after step 5"):
+        run()
+
+
 def buffered(spark, rows, **options):
     df = spark.createDataFrame(rows, STATE)
     return {(r["start_word"], r["end_word"], r["step"], r["phase"]) for r in B.edge_buffer(df, 0.8, **options).collect()}
