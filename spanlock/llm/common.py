@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) is a temporary folder used, once a session.
+    Only where that is unset and all runs on one machine (tests, a laptop) is a temporary folder used, once a session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(spark.sparkContext.applicationId)
+    if folder is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if folder is None:
         folder = _own_folders[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spark-checkpoint-")
     return folder

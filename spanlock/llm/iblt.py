@@ -44,8 +44,8 @@ RUN_ROWS, MAX_RUNS = 2048, 1 << 16
 CHECK_BITS = 20
 CHECK_MASK = (1 << CHECK_BITS) - 1
 
-#: A unit: whole sentences of 30 to 120 characters together, or that many characters up to the next space, or the rest of the line.
-UNIT = r"[^\\n]{30,120}?[.!?](?=\\s)|[^\\n]{30,}?(?=\\s)|[^\\n]+"
+#: A unit: whole sentences of 40 to 160 characters together, or 40 characters up to the next space, or the rest of the line.
+UNIT = r"[^\\n]{40,160}?[.!?](?=\\s)|[^\\n]{40,}?(?=\\s)|[^\\n]+"
 
 
 def digests(text: str) -> Column:
