@@ -9,7 +9,9 @@ meet a span, and these are the loss mask.
 
 Defined cases: null texts and roles are empty; turns are ordered by turn (null first), then
 role, then text; rows of a null conv_id are a conversation of their own; repeated rows are
-repeated turns; an empty table gives an empty result; extra columns do not matter.
+repeated turns, and turns that are equal in number are ordered by role and text; a very long
+conversation is one string and one encoding, which is what the mask needs, and so one task's memory bounds
+its length; an empty table gives an empty result; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -77,19 +79,11 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def read_loss(formatted: str, masked: list[bool], starts: list[int], stops: list[int]) -> list[str]:
+def read_loss(formatted: str, masked, starts, stops) -> list[str]:
     """The texts under the mask: one for each run of masked tokens."""
-    texts, begin, end = [], None, None
-    for m, a, b in zip(masked, starts, stops):
-        if m:
-            begin = a if begin is None else begin
-            end = b
-        elif begin is not None:
-            texts.append(unescape(formatted[begin:end]))
-            begin = None
-    if begin is not None:
-        texts.append(unescape(formatted[begin:end]))
-    return texts
+    edges = np.diff(np.concatenate([[0], np.asarray(masked, dtype=np.int8), [0]]))
+    first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
+    return [unescape(formatted[starts[i] : stops[j]]) for i, j in zip(first.tolist(), last.tolist())]
 
 
 def _tokenizer(path: str):
@@ -103,63 +97,77 @@ def _tokenizer(path: str):
 OUTPUT = "conv_id long, formatted string, token_ids array<int>, starts array<int>, stops array<int>, loss array<boolean>"
 
 
-def format_conversations(rows: DataFrame, *, tokenizer: str = TOKENIZER) -> DataFrame:
-    """One row per conversation: the formatted string, its tokens with offsets, and the loss mask."""
+def _turns(rows: DataFrame) -> DataFrame:
+    """(conv_id, turns): the turns of each conversation in order."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    conversations = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t = _tokenizer(tokenizer)
-
-        def encode(held):
-            encoded = t.encode_batch([h[1] for h in held], add_special_tokens=False)
-            offsets = [np.array(e.offsets, dtype=np.int64).reshape(-1, 2) for e in encoded]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([h[0] for h in held], pa.int64()),
-                    pa.array([h[1] for h in held], pa.string()),
-                    pa.array([e.ids for e in encoded], pa.list_(pa.int32())),
-                    pa.array([o[:, 0] for o in offsets], pa.list_(pa.int32())),
-                    pa.array([o[:, 1] for o in offsets], pa.list_(pa.int32())),
-                    pa.array([mask(h[2], o) for h, o in zip(held, offsets)], pa.list_(pa.bool_())),
-                ],
-                names=["conv_id", "formatted", "token_ids", "starts", "stops", "loss"],
-            )
-
-        for batch in batches:
-            held, chars = [], 0
-            for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.append((conv, *render([(x["role"], x["text"]) for x in turns.as_py()])))
-                chars += len(held[-1][1])
-                if chars >= BATCH_CHARS:
-                    yield encode(held)
-                    held, chars = [], 0
-            if held:
+    return rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+
+
+def _format(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    t = _tokenizer(tokenizer)
+
+    def encode(held):
+        encoded = t.encode_batch([h[1] for h in held], add_special_tokens=False)
+        offsets = [np.array(e.offsets, dtype=np.int64).reshape(-1, 2) for e in encoded]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([h[0] for h in held], pa.int64()),
+                pa.array([h[1] for h in held], pa.string()),
+                pa.array([e.ids for e in encoded], pa.list_(pa.int32())),
+                pa.array([o[:, 0] for o in offsets], pa.list_(pa.int32())),
+                pa.array([o[:, 1] for o in offsets], pa.list_(pa.int32())),
+                pa.array([mask(h[2], o) for h, o in zip(held, offsets)], pa.list_(pa.bool_())),
+            ],
+            names=["conv_id", "formatted", "token_ids", "starts", "stops", "loss"],
+        )
+
+    for batch in batches:
+        held, chars = [], 0
+        for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1)):
+            held.append((conv, *render([(x["role"], x["text"]) for x in turns.as_py()])))
+            chars += len(held[-1][1])
+            if chars >= BATCH_CHARS:
                 yield encode(held)
+                held, chars = [], 0
+        if held:
+            yield encode(held)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of what can be read back from the formatted string, its offsets and its mask."""
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for batch in batches:
+        out = []
+        for conv, text, starts, stops, loss in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("conv_id", "formatted", "starts", "stops", "loss"))):
+            text = text.as_py()
+            turns = read_turns(text)
+            under = "".join(read_loss(text, loss.values.to_numpy(zero_copy_only=False), starts.values.to_numpy(), stops.values.to_numpy()))
+            whole = "".join(f"{role}\n{body}\n" for role, body in turns)
+            out.append((conv.as_py(), len(turns), sha(whole), len(under), sha(under), len(text)))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=[c.split()[0] for c in DIGESTS.split(", ")])
+
+
+OUTPUT = "conv_id long, formatted string, token_ids array<int>, starts array<int>, stops array<int>, loss array<boolean>"
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
 
-    return conversations.mapInArrow(work, OUTPUT)
+def format_conversations(rows: DataFrame, *, tokenizer: str = TOKENIZER) -> DataFrame:
+    """One row per conversation: the formatted string, its tokens with offsets, and the loss mask."""
+    return _turns(rows).mapInArrow(lambda batches: _format(batches, tokenizer), OUTPUT)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Digests of what can be read back from the formatted string, its offsets and its mask."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for conv, text, starts, stops, loss in zip(*(batch.column(c) for c in ("conv_id", "formatted", "starts", "stops", "loss"))):
-                text = text.as_py()
-                turns = read_turns(text)
-                under = "".join(read_loss(text, loss.as_py(), starts.as_py(), stops.as_py()))
-                whole = "".join(f"{role}\n{body}\n" for role, body in turns)
-                sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-                out.append((conv.as_py(), len(turns), sha(whole), len(under), sha(under), len(text)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=names)
-
-    return formatted.select("conv_id", "formatted", "starts", "stops", "loss").mapInArrow(work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """Digests of formatted conversations, as they are read back."""
+    return formatted.select("conv_id", "formatted", "starts", "stops", "loss").mapInArrow(_digests, DIGESTS)
+
+
+def format_digests(rows: DataFrame, *, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The digests of ``format_conversations``, read back where the conversation is formatted: tokens do not leave the task."""
+    return _turns(rows).mapInArrow(lambda batches: _digests(_format(batches, tokenizer)), DIGESTS)
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,4 +175,4 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     says = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
-    return digests(format_conversations(rows.unionAll(more)))
+    return format_digests(rows.unionAll(more))

@@ -9,7 +9,8 @@ each language, chosen by hash. Everything is scored, over the whole text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any
 usable training row every text is ``und``; ties go to the first language by code point;
-repeated rows are scored alike; an empty table gives an empty result; extra columns do not matter.
+repeated rows are scored alike; very long texts are scored whole, in pieces; an empty table gives an empty
+result; extra columns do not matter. More languages than the matrix has room for (1,024 at 16 bits) are an error, not a cut.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ get a weight, and the few entries that hold such buckets are fitted in numpy.
 Defined cases: null and blank texts are documents without sentences and get the score of one
 empty sentence; without labels of both classes every score is the share of toxic labels;
 repeated rows are scored alike; an empty table gives an empty result; extra columns pass
-through, and one that has the name of a result column is replaced by it.
+through, and one that has the name of a result column is replaced by it. Very long texts are scored whole,
+in pieces cut at white space; a document labelled twice counts as toxic if one label says so; a score of
+exactly 0.5 is toxic; buckets with the same statistics are kept in their own order.
 """
 
 from __future__ import annotations

@@ -154,3 +154,12 @@ def test_chat_odd_and_empty(spark):
     assert texts == [t for _, r, t in want if r == "assistant" and t]
     assert chat.read_turns(got[None]["formatted"]) == [("", "")]
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_chat_repeated_turns_and_the_two_ways_to_digest(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "b\\<|end|>"), (1, 1, "assistant", ""), (2, 0, "assistant", "\u0301x" * 70_000), (3, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    one, two = chat.digests(chat.format_conversations(df)), chat.format_digests(df)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    got = {r["conv_id"]: r for r in two.collect()}
+    assert [got[i]["n_turns"] for i in (1, 2, 3)] == [8, 2, 2] and got[1]["loss_chars"] == 2 * len("b\\<|end|>") and got[2]["loss_chars"] == 280_000
