@@ -152,3 +152,17 @@ def premise_report(rows: DataFrame) -> DataFrame:
         M.ratio(c("churn_changed"), c("churn_either")).alias("churn"),
         M.ratio(c("horizon_words"), c("horizons")).alias("mean_horizon_words"),
     )
+
+
+def scalar_rows(examples: DataFrame, policies: tuple[str, str]) -> DataFrame:
+    """(task, example_id, and for each of two policies the sums that rates are made of): rows for the bootstrap, paired by stream."""
+    sides = []
+    for name, policy in zip(("baseline", "comparison"), policies):
+        sides.append(examples.where(F.col("policy_id") == policy).select("task", "example_id", *(F.col(c).cast("double").alias(f"{name}_{c}") for c in ("error_numerator", "error_denominator", "tp", "commits"))))
+    return sides[0].join(sides[1], ["task", "example_id"])
+
+
+def pivoted(groups: DataFrame, specs: DataFrame, keys: list[str], value: str = "strict_f1") -> DataFrame:
+    """Tasks as rows and kinds of policies as columns: the best value of each kind."""
+    rows = groups.join(F.broadcast(specs.select("policy_id", "selection_key")), "policy_id")
+    return rows.groupBy("task").pivot("selection_key", keys).agg(F.max(value))

@@ -107,3 +107,12 @@ def compare_entities(expected: DataFrame, actual: DataFrame, score_error: float
         F.count_if(F.col("e").isNull()).alias("unexpected"),
         F.count_if(F.abs(F.col("e") - F.col("a")) > score_error).alias("other_score"),
     )
+
+
+def agreement_matrix(compared: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Per kind of event: the part of the expected rows whose best label, threshold side and numbers agree."""
+    key = ["example_id", "step", "start_word", "end_word"]
+    has = lambda *reasons: F.arrays_overlap("differences", F.array(*map(F.lit, reasons)))
+    part = lambda *reasons: F.avg((~has("missing", *reasons)).cast("double"))
+    rows = kinds.select(*key, "update_kind").join(compared, key)
+    return rows.groupBy("update_kind").agg(F.count(F.lit(1)).alias("rows"), part("top_label", "near_tie").alias("label"), part("threshold", "near_threshold").alias("side"), part("cosine", "probability", "margin", "delta", "width").alias("numbers"))

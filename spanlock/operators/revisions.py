@@ -65,3 +65,8 @@ def state_differences(actual: DataFrame, expected: DataFrame, *, rel_tol: float
     far = F.exists(F.arrays_zip("a", "e"), lambda z: ~(F.abs(z["a"] - z["e"]) <= F.greatest(F.lit(abs_tol), F.greatest(F.abs(z["a"]), F.abs(z["e"])) * rel_tol)))
     kind = F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "unexpected").when(F.size("a") != F.size("e"), "width").when(far, "value")
     return rows.select(*span, kind.alias("difference")).where("difference is not null")
+
+
+def hashed_horizons(horizons: DataFrame) -> DataFrame:
+    """Horizons for publication: streams are named by a digest, texts by nothing."""
+    return horizons.select(F.sha2(F.col("example_id").cast("string"), 256).alias("example_sha256"), "start_word", "end_word", "horizon_words")

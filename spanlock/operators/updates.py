@@ -137,3 +137,38 @@ def candidate_states(obs: DataFrame, steps: DataFrame) -> DataFrame:
     rows = obs.drop("visible_word_count").join(seen, "example_id")
     rows = rows.select(*obs.drop("visible_word_count").columns, F.posexplode(held).alias("snapshot_age", "words_now")).withColumn("snapshot_age", F.col("snapshot_age").cast("long"))
     return rows.select("example_id", (F.col("step") + F.col("snapshot_age")).alias("step"), "start_word", "end_word", "label", "probability", "rescore_count", "snapshot_age", (F.col("snapshot_age") == 0).alias("was_rescored"), (F.col("words_now") - 1 - F.col("end_word")).alias("tail_distance_words"), "rolling_deltas", "instability", "label_margin")
+
+
+def states_by_step(updates: DataFrame) -> DataFrame:
+    """The state after every step that has an event: the last vector of each span seen so far.
+
+    A vector holds from its step to the event step before the span's next score; event steps are numbered, so
+    those are a slice of the stream's event steps.
+    """
+    at = updates.groupBy("example_id").agg(F.array_sort(F.collect_set("step")).alias("at"))
+    span = Window.partitionBy("example_id", "start_word", "end_word").orderBy("step")
+    rows = updates.select("example_id", "step", "start_word", "end_word", "probs", F.lead("step").over(span).alias("next")).join(at, "example_id")
+    held = F.filter("at", lambda s: (s >= F.col("step")) & (F.col("next").isNull() | (s < F.col("next"))))
+    return rows.select("example_id", F.explode(held).alias("at"), "start_word", "end_word", "probs").withColumnRenamed("at", "step")
+
+
+def state_digests(state: DataFrame, digits: int = 9) -> DataFrame:
+    """(example_id, sha256): a digest of each stream's state, over its spans in order with rounded vectors."""
+    number = lambda p: F.round(p * 10**digits, 0).cast("long").cast("string")
+    line = F.concat_ws(",", F.col("start_word").cast("string"), F.col("end_word").cast("string"), F.array_join(F.transform("probs", number), ","))
+    rows = state.select("example_id", F.struct("start_word", "end_word", line.alias("line")).alias("s"))
+    lines = F.transform(F.array_sort(F.collect_list("s")), lambda s: s["line"])
+    return rows.groupBy("example_id").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"))
+
+
+def cold_candidates(words: DataFrame, max_width: int) -> DataFrame:
+    """All spans of up to ``max_width`` words of the whole text of each stream."""
+    last = words.groupBy("example_id").agg(F.max("word_index").alias("last"))
+    rows = last.select("example_id", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("start_word"))
+    return rows.select("example_id", "start_word", F.explode(F.sequence("start_word", F.least("last", F.col("start_word") + max_width - 1))).alias("end_word"))
+
+
+def family_states(states: DataFrame) -> DataFrame:
+    """At every step the spans that begin at a word with a label: how many, the longest, and the best."""
+    best = F.max_by("end_word", F.struct("probability", "end_word"))
+    return states.groupBy("example_id", "step", "start_word", "label").agg(F.count(F.lit(1)).alias("members"), F.max("end_word").alias("longest_end_word"), best.alias("best_end_word"), F.max("probability").alias("best_probability"))

@@ -13,6 +13,7 @@ from ..operators import resolve as R
 from ..operators import revisions as V
 from ..operators import spans as W
 from ..operators import updates as U
+from ..sources import manifest as N
 from ..sources import tables
 from ..operators import specs as G
 from . import queries as Q
@@ -352,3 +353,110 @@ def chunk_conditions(spark, sf_dir):
     rows = steps.groupBy(size).agg(F.countDistinct("example_id").alias("streams"), F.count(F.lit(1)).alias("steps"))
     rows = rows.join(updates.groupBy(size).agg(F.count(F.lit(1)).alias("updates")), "chunk_words")
     return rows.join(committed.groupBy(size).agg(F.count(F.lit(1)).alias("commits"), F.round(F.avg("step"), 9).alias("mean_step")), "chunk_words")
+
+
+# --- states, manifests and report tables -------------------------------------------------
+
+
+@_query("states_by_step", _with(Q._UPDATES, """, ev AS (SELECT DISTINCT example_id, step FROM updates)
+SELECT ev.example_id, ev.step, u.start_word, u.end_word, round(arg_max(u.probs[1], u.step), 9) AS p_person, round(arg_max(u.probs[2], u.step), 9) AS p_place FROM ev JOIN updates u ON u.example_id = ev.example_id AND u.step <= ev.step GROUP BY ALL"""))
+def states_by_step(spark, sf_dir):
+    rows = U.states_by_step(stream(spark, sf_dir).updates)
+    return rows.select("example_id", "step", "start_word", "end_word", F.round(F.col("probs")[0], 9).alias("p_person"), F.round(F.col("probs")[1], 9).alias("p_place"))
+
+
+@_query("state_digests", _with(Q._UPDATES, """, st AS (SELECT example_id, start_word, end_word, arg_max(probs, step) AS p FROM updates GROUP BY ALL)
+SELECT example_id, sha256(string_agg(start_word || ',' || end_word || ',' || CAST(round(p[1] * 1e9) AS BIGINT) || ',' || CAST(round(p[2] * 1e9) AS BIGINT), chr(10) ORDER BY start_word, end_word)) AS sha256 FROM st GROUP BY 1"""))
+def state_digests(spark, sf_dir):
+    return U.state_digests(U.replay(stream(spark, sf_dir).updates))
+
+
+@_query("cold_candidates", _with(Q._STEPS, "SELECT a.example_id, a.word_index AS start_word, b.word_index AS end_word FROM words a JOIN words b ON a.example_id = b.example_id AND b.word_index BETWEEN a.word_index AND a.word_index + 2"))
+def cold_candidates(spark, sf_dir):
+    return U.cold_candidates(stream(spark, sf_dir).words, 3)
+
+
+@_query("family_states", _with(Q._OBS, "SELECT example_id, step, start_word, label, count(*) AS members, max(end_word) AS longest_end_word, arg_max(end_word, {'p': probability, 'e': end_word}) AS best_end_word, max(probability) AS best_probability FROM states GROUP BY ALL"))
+def family_states(spark, sf_dir):
+    return U.family_states(stream(spark, sf_dir).states)
+
+
+@_query("public_entities", _with(Q._OBS + Q._SNAPSHOTS, """, tx AS (SELECT example_id, string_agg(chunk, '' ORDER BY step) AS text FROM steps GROUP BY 1),
+la AS (SELECT s.* FROM snap s JOIN (SELECT example_id, max(step) AS step FROM steps GROUP BY 1) l USING (example_id, step))
+SELECT la.example_id, a.start_char, b.end_char, label, score, substr(tx.text, a.start_char + 1, b.end_char - a.start_char) AS text FROM la JOIN words a ON a.example_id = la.example_id AND a.word_index = la.start_word
+JOIN words b ON b.example_id = la.example_id AND b.word_index = la.end_word JOIN tx ON tx.example_id = la.example_id"""))
+def public_entities(spark, sf_dir):
+    """Entities of the last snapshot by characters, with their text."""
+    s = stream(spark, sf_dir)
+    last = s.steps.groupBy("example_id").agg(F.max("step").alias("step"))
+    rows = Q.spans_in_chars(R.greedy_decode(s.states, 0.9).join(last, ["example_id", "step"]), s.words)
+    return W.span_texts(rows.select("example_id", "start_char", "end_char", "label", "score"), W.stream_texts(s.steps))
+
+
+@_query("horizon_rows", _with(Q._UPDATES, "SELECT sha256(CAST(example_id AS VARCHAR)) AS example_sha256, start_word, end_word, arg_max(tail_distance_words, step) AS horizon_words FROM updates WHERE update_kind = 'rescore' GROUP BY example_id, start_word, end_word"))
+def horizon_rows(spark, sf_dir):
+    return V.hashed_horizons(M.revision_horizons(stream(spark, sf_dir).updates))
+
+
+@_query("parity_matrix", _with(_COMPARED, f"""SELECT ek AS update_kind, count(*) AS rows, round(avg(CASE WHEN ap IS NULL OR other_top THEN 0.0 ELSE 1.0 END), 9) AS label,
+round(avg(CASE WHEN ap IS NULL OR ({_REASONS["threshold"]}) OR ({_REASONS["near_threshold"]}) THEN 0.0 ELSE 1.0 END), 9) AS side,
+round(avg(CASE WHEN ap IS NULL OR coalesce(cosine < 0.9999, false) OR coalesce(probability_error > 5e-3, false) OR coalesce(margin_error > 5e-3, false) OR coalesce(delta_error > 5e-3, false) THEN 0.0 ELSE 1.0 END), 9) AS numbers FROM er WHERE ek IS NOT NULL GROUP BY ek"""))
+def parity_matrix(spark, sf_dir):
+    updates = stream(spark, sf_dir).updates
+    rows = C.agreement_matrix(C.compare_updates(updates, _rounded(updates)), updates)
+    return rows.select("update_kind", "rows", *(F.round(c, 9).alias(c) for c in ("label", "side", "numbers")))
+
+
+@_query("policy_pivot", _with(_GROUPS, "SELECT task, round(max(strict_f1) FILTER (selection_key = 'fixed-threshold'), 9) AS fixed_threshold, round(max(strict_f1) FILTER (selection_key = 'fixed-lag'), 9) AS fixed_lag FROM groups JOIN pol USING (policy_id) GROUP BY task"))
+def policy_pivot(spark, sf_dir):
+    """The best F1 of each kind of policy by task."""
+    rows = E.pivoted(E.group_rows(*evaluated(spark, sf_dir)), G.frame(spark, CHOSEN), ["fixed-threshold", "fixed-lag"])
+    return rows.select("task", F.round("fixed-threshold", 9).alias("fixed_threshold"), F.round("fixed-lag", 9).alias("fixed_lag"))
+
+
+_LAST = CHOSEN[-1].policy_id if CHOSEN[-1].policy_id != REFERENCE else CHOSEN[0].policy_id
+
+
+@_query("scalar_rows", _with(_EXAMPLES, ", ".join(["SELECT b.task, b.example_id"] + [f"CAST({side}.{c} AS DOUBLE) AS {name}_{c}" for side, name in (("b", "baseline"), ("c", "comparison")) for c in ("error_numerator", "error_denominator", "tp", "commits")]) + f" FROM er b JOIN er c USING (example_id) WHERE b.policy_id = '{REFERENCE}' AND c.policy_id = '{_LAST}'"))
+def scalar_rows(spark, sf_dir):
+    return E.scalar_rows(evaluated(spark, sf_dir)[0], (REFERENCE, _LAST))
+
+
+_CORPUS = "co AS (SELECT 'u' || doc_id % 400 AS uid, doc_id AS source_row_index, source AS task_name, source || doc_id % 50 AS parent_id, lang AS language, text FROM documents)"
+_DIGEST = "sha256(coalesce(uid, '') || '|' || source_row_index || '|' || coalesce(task_name, '') || '|' || coalesce(parent_id, '') || '|' || coalesce(language, ''))"
+
+
+def _corpus(spark, sf_dir):
+    """Documents as corpus rows whose uids repeat."""
+    d = tables.table(spark, sf_dir, "documents")
+    return d.select(F.concat(F.lit("u"), F.col("doc_id") % 400).alias("uid"), F.col("doc_id").alias("source_row_index"), F.col("source").alias("task_name"), F.concat("source", F.col("doc_id") % 50).alias("parent_id"), F.col("lang").alias("language"), "text")
+
+
+@_query("manifest_records", f"WITH {_CORPUS} SELECT uid, source_row_index, task_name, parent_id, language, {_DIGEST} AS metadata_sha256 FROM co")
+def manifest_records(spark, sf_dir):
+    return N.manifest(_corpus(spark, sf_dir))
+
+
+@_query("reconstructed", f"""WITH {_CORPUS}, ma AS (SELECT uid, source_row_index, task_name, parent_id, language, {_DIGEST} AS metadata_sha256 FROM co),
+li AS (SELECT * REPLACE (CASE WHEN source_row_index % 7 = 0 THEN uid || 'x' ELSE uid END AS uid, CASE WHEN source_row_index % 5 = 0 THEN 'other' ELSE metadata_sha256 END AS metadata_sha256) FROM ma)
+SELECT li.*, 'corpus:' || li.task_name || ':' || li.source_row_index || ':' || li.uid AS example_id, co.text, CASE WHEN co.uid IS NULL THEN 'missing' WHEN li.metadata_sha256 = 'other' THEN 'differs' ELSE 'ok' END AS status FROM li LEFT JOIN co USING (uid, source_row_index)""")
+def reconstructed(spark, sf_dir):
+    """A manifest with unknown uids and false digests against its corpus."""
+    rows = _corpus(spark, sf_dir)
+    listed = N.manifest(rows).withColumn("uid", F.when(F.col("source_row_index") % 7 == 0, F.concat("uid", F.lit("x"))).otherwise(F.col("uid")))
+    listed = listed.withColumn("metadata_sha256", F.when(F.col("source_row_index") % 5 == 0, "other").otherwise(F.col("metadata_sha256")))
+    return N.reconstruct(listed, rows)
+
+
+@_query("selection_faults", f"""WITH {_CORPUS}, se AS (SELECT *, CASE WHEN source_row_index % 3 = 0 THEN 'dev' ELSE 'test' END AS split FROM co),
+rk AS (SELECT *, row_number() OVER (PARTITION BY split, task_name ORDER BY source_row_index) + CASE WHEN task_name = 'web' THEN 1 ELSE 0 END AS rank FROM se QUALIFY row_number() OVER (PARTITION BY split, task_name ORDER BY source_row_index) <= 8),
+li AS (SELECT * FROM rk UNION ALL SELECT * FROM rk WHERE source_row_index % 11 = 0),
+pe AS (SELECT split || '/' || task_name AS what, count(*) AS n, count(DISTINCT rank) AS ranks, min(rank) AS low, max(rank) AS high FROM li GROUP BY 1)
+SELECT 'quota' AS rule, what FROM pe WHERE n <> 8 UNION ALL SELECT 'rank', what FROM pe WHERE ranks <> n OR low <> 1 OR high <> n UNION ALL SELECT 'parent', parent_id FROM li GROUP BY parent_id HAVING count(DISTINCT split) > 1
+UNION ALL SELECT 'twice', uid || '#' || source_row_index FROM li GROUP BY uid, source_row_index HAVING count(*) > 1""")
+def selection_faults(spark, sf_dir):
+    """A selection that breaks every rule somewhere."""
+    rows = _corpus(spark, sf_dir).withColumn("split", F.when(F.col("source_row_index") % 3 == 0, "dev").otherwise("test"))
+    place = F.row_number().over(Window.partitionBy("split", "task_name").orderBy("source_row_index"))
+    rows = rows.withColumn("rank", place).where("rank <= 8").withColumn("rank", F.col("rank") + (F.col("task_name") == "web").cast("int"))
+    return N.selection_faults(rows.withColumn("again", F.explode(F.when(F.col("source_row_index") % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))), 8)

@@ -88,3 +88,45 @@ def test_violations_are_named(spark):
     updates = spark.createDataFrame([(1, 1, 0, 5, [0.5]), (1, 3, 1, 0, [1.5]), (1, 3, 1, 0, [0.1]), (1, 9, 0, 0, [0.1])], "example_id long, step long, start_word long, end_word long, probs array<double>")
     got = {(r["rule"], r["step"]) for r in traces.violations(steps, updates).collect()}
     assert got == {("step_gap", 3), ("step_gap", 4), ("text_shrinks", 4), ("chunk_length", 3), ("chunk_length", 4), ("unseen_word", 1), ("word_order", 3), ("probability", 3), ("scored_twice", 3), ("unknown_step", 9)}
+
+
+def test_sweeps_go_on_where_they_stopped(spark, tmp_path):
+    from spanlock.sources import manifest as N
+
+    ran = []
+
+    def evaluate(keys):
+        if len(ran) == 2 and not ran[-1:] == ["again"]:
+            raise RuntimeError("the machine is gone")
+        ran.append(keys)
+        return spark.createDataFrame([(k, len(k)) for k in keys], "policy_id string, n int")
+
+    keys = [f"p{i}" for i in range(10)]
+    with pytest.raises(RuntimeError):
+        N.sweep(spark, str(tmp_path / "s"), keys, evaluate, batch=3)
+    ran.append("again")
+    assert {r["policy_id"] for r in N.sweep(spark, str(tmp_path / "s"), keys, lambda k: (ran.append(k), spark.createDataFrame([(x, len(x)) for x in k], "policy_id string, n int"))[1], batch=3).collect()} == set(keys)
+    assert len(ran) == 5  # two batches before, two after, none twice
+    path = next((tmp_path / "s" / "results").iterdir())
+    spark.createDataFrame([("x", 1)], "policy_id string, n int").write.mode("append").parquet(str(path))
+    with pytest.raises(ValueError, match="differ from their note"):
+        N.sweep(spark, str(tmp_path / "s"), keys, evaluate, batch=3)
+
+
+def test_conditions_are_found_once(spark, tmp_path):
+    from spanlock.sources import manifest as N
+
+    rows = [("a", "dev", 1), ("b", "dev", 2), ("c", "test", 1), ("d", "dev", 4), ("e", "dev", 4)]
+    spark.createDataFrame(rows, "run_id string, split string, chunk_words int").write.partitionBy("split", "chunk_words").parquet(str(tmp_path / "runs"))
+    runs = spark.read.parquet(str(tmp_path / "runs"))
+    assert {r["run_id"] for r in N.conditions(runs, split="dev", sizes=[1, 2]).collect()} == {"a", "b"}
+    for sizes in ([4], [8]):
+        with pytest.raises(ValueError):
+            N.conditions(runs, split="dev", sizes=sizes)
+
+
+def test_content_is_refused_in_reports(spark):
+    from spanlock.sources import manifest as N
+
+    with pytest.raises(ValueError, match="text"):
+        N.without_content(spark.createDataFrame([(1, [("x", 1)])], "id long, rows array<struct<text:string,n:int>>"))
