@@ -89,28 +89,33 @@ RESULTS = ("license", "cosine", "how", "from_dir")
 
 def words(text: str) -> str:
     """SQL of the words of a text: letters, digits and inner dots, lower case."""
-    return f"filter(split(regexp_replace(lower({text}), '\\\\.(?![0-9])', ' '), '[^\\\\p{{L}}\\\\p{{N}}.]+'), w -> w <> '')"
+    return f"filter(split(lower({text}), '(?:[^\\\\p{{L}}\\\\p{{N}}.]|\\\\.(?![0-9]))+'), w -> w <> '')"
 
 
 def _templates(spark: SparkSession, templates) -> DataFrame:
     """(template, license, word, tf)."""
-    rows = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(n).alias("license"), F.lit(t).alias("text")) for i, n, t in templates))
-    rows = spark.range(1).select(F.explode(rows).alias("t")).select("t.template", "t.license", "t.text")
+    rows = _values(spark, "template, license, text", templates)
     return rows.select("template", "license", F.explode(F.expr(words("text"))).alias("word")).groupBy("template", "license", "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _strings(values) -> str:
-    return "array(" + ",".join("'" + v.replace("'", "\\'") + "'" for v in values) + ")"
+    return ",".join("'" + v.replace("'", "\\'") + "'" for v in values)
+
+
+def _values(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
+    """A small table written into the plan; numbers are doubles or ints, the rest strings."""
+    cell = lambda v: _strings([v]) if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else str(v)
+    return spark.sql(f"SELECT * FROM VALUES {','.join('(' + ','.join(map(cell, r)) + ')' for r in rows)} AS v({columns})")
 
 
 def weighted_templates(pieces: DataFrame, templates) -> tuple[list, float]:
     """[(template, license, word, weight over norm, idf)] and the idf of unseen words: a bounded list, one row for each word of a template."""
     terms = _templates(pieces.sparkSession, templates).collect()
     vocabulary = sorted({r["word"] for r in terms})
-    n = F.count(F.lit(1))
-    seen = pieces.select(F.expr(f"array_intersect(words, {_strings(vocabulary)})").alias("w"))
-    # the empty word counts the pieces
-    counts = {r["w"]: r["n"] for r in seen.select(F.explode(F.concat(F.array(F.lit("")), "w")).alias("w")).groupBy("w").agg(n.alias("n")).collect()}
+    # The empty word counts the pieces. No array here is empty, and the outer form of explode keeps Spark from
+    # filtering on it first, which would cut the text into words once more.
+    seen = pieces.select(F.explode_outer(F.concat(F.array(F.lit("")), F.array_distinct("words"))).alias("w")).where(F.col("w").isin(["", *vocabulary]))
+    counts = {r["w"]: r["n"] for r in seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = counts.get("", 0)
     idf = lambda df: math.log((total + 1) / (df + 1)) + 1
     squares: dict[int, float] = {}
@@ -151,17 +156,14 @@ def headers(files: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHO
     """(key, line, run, part, license, cosine): the licence that a unit of a file declares, and what part of the file's words it is. ``files`` has key and text."""
     spark = files.sparkSession
     files = files.where("text is not null").select("key", F.expr(f"transform({PIECES}, p -> {words('p')})").alias("pieces"))
-    weights, unseen = weighted_templates(files.select(F.explode("pieces").alias("words")), templates)
+    weights, unseen = weighted_templates(files.select(F.explode_outer("pieces").alias("words")), templates)
     idf = {word: i for *_, word, _, i in weights}
-    anchored = _strings(anchors(weights, threshold))
-    units = files.where(F.expr(f"exists(pieces, p -> arrays_overlap(p, {anchored}))"))
-    units = units.select("key", F.expr("size(flatten(pieces))").alias("of"), F.explode(F.expr(f"filter({_units('pieces')}, u -> arrays_overlap(u.words, {anchored}))")).alias("u"))
+    anchored = f"w -> w in ({_strings(anchors(weights, threshold))})"
+    units = files.where(F.expr(f"exists(pieces, p -> exists(p, {anchored}))"))
+    units = units.select("key", F.expr("size(flatten(pieces))").alias("of"), F.explode_outer(F.expr(f"filter({_units('pieces')}, u -> exists(u.words, {anchored}))")).alias("u"))
     units = units.groupBy("key", "u.line", "u.run").agg(F.first("of").alias("of"), F.first("u.words").alias("words"))  # repeated rows are one
-    vocabulary = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(i).alias("idf")) for w, i in sorted(idf.items())))
-    vectors = F.array(*(F.struct(F.lit(t).alias("template"), F.lit(lic).alias("license"), F.lit(w).alias("word"), F.lit(x).alias("weight")) for t, lic, w, x, _ in sorted(weights)))
-    one = spark.range(1)
-    vocabulary = F.broadcast(one.select(F.explode(vocabulary).alias("v")).select("v.*"))  # the words of the templates
-    vectors = F.broadcast(one.select(F.explode(vectors).alias("v")).select("v.*"))
+    vocabulary = F.broadcast(_values(spark, "word, idf", sorted(idf.items())))  # the words of the templates
+    vectors = F.broadcast(_values(spark, "template, license, word, weight", [(t, lic, w, x) for t, lic, w, x, _ in sorted(weights)]))
     unit = ["key", "line", "run"]
     terms = units.select(*unit, "of", F.size("words").alias("n"), F.explode("words").alias("word")).join(vocabulary, "word")
     terms = terms.groupBy(*unit, "of", "n", "word", "idf").agg(F.count(F.lit(1)).alias("tf"))
