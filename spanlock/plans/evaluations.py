@@ -82,11 +82,44 @@ def commits_mixed_grid(spark, sf_dir):
     return R.commits(G.ready(stream(spark, sf_dir).states, MIXED), policy=("policy_id",))
 
 
-@_query("grid_commit_counts")
-def grid_commit_counts(spark, sf_dir):
-    """Commits of each of the 1,396 configurations over the whole table; see the tests for its brute-force check."""
-    rows = P.first_ready(G.ready(stream(spark, sf_dir).states, G.expand()), ("policy_id",))
-    return R.commits(rows, policy=("policy_id",)).groupBy("policy_id").agg(F.count(F.lit(1)).alias("commits"))
+PILOT = G.pilot(G.expand())
+_P = {s.family: dict(s.parameters) for s in PILOT}
+
+
+def _pilot_condition(s: G.Spec) -> tuple[str, str]:
+    """SQL of readiness, and of the score, of a pilot configuration."""
+    q = dict(s.parameters)
+    if s.family == "fixed-threshold":
+        return f"probability >= {q['threshold']}", "probability"
+    if s.family == "fixed-lag":
+        return f"probability >= {q['threshold']} AND tail_distance_words >= {q['lag_words']}", "probability"
+    if s.family == "snapshot-patience":
+        return f"probability >= {q['threshold']} AND held >= {q['patience']}", "probability"
+    if s.family == "rescore-patience":
+        return f"probability >= {q['threshold']} AND rescore_count >= {q['patience']}", "probability"
+    if s.family == "ema":
+        return f"ema >= {q['threshold']}", "ema"
+    if s.family == "oracle-stable":
+        return "low IS NULL OR step > low", "probability"
+    gates = [f"probability >= {q['tau']}", f"rescore_count >= {q['min_rescores']}"]
+    gates += [f"instability <= {q['epsilon']}"] if q["use_instability"] else []
+    gates += [f"label_margin >= {q['min_label_margin']}"] if q["use_label_margin"] else []
+    gates += [f"extension_advantage <= {q['max_extension_advantage']}"] if q["use_extension"] else []
+    return " AND ".join(gates), "probability"
+
+
+_PILOT_SQL = Q._OBS + ", " + Q._GATE + f""", runs AS (SELECT *, sum(CASE WHEN probability < {_P["snapshot-patience"]["threshold"]} THEN 1 ELSE 0 END) OVER (PARTITION BY {_K} ORDER BY step ROWS UNBOUNDED PRECEDING) AS run,
+max(step) FILTER (probability < {_P["oracle-stable"]["threshold"]}) OVER (PARTITION BY {_K}) AS low, list(probability) FILTER (was_rescored) OVER (PARTITION BY {_K} ORDER BY step ROWS UNBOUNDED PRECEDING) AS scores FROM gate),
+feat AS (SELECT *, row_number() OVER (PARTITION BY {_K}, run, probability >= {_P["snapshot-patience"]["threshold"]} ORDER BY step) AS held, list_reduce(scores, lambda e, p: p * {_P["ema"]["alpha"]}::DOUBLE + e * (1.0::DOUBLE - {_P["ema"]["alpha"]}::DOUBLE)) AS ema FROM runs),
+met AS ({" UNION ALL ".join(f"SELECT '{s.policy_id}' AS policy_id, {_K}, step, probability, {_pilot_condition(s)[1]} AS readiness FROM feat WHERE {_pilot_condition(s)[0]}" for s in PILOT)}),
+ready AS (SELECT policy_id || '|' || example_id AS example_id, start_word, end_word, label, step, probability, readiness FROM met), """ + Q._COMMITS
+
+
+@_query("pilot_commit_counts", _with(_PILOT_SQL, "SELECT split_part(example_id, '|', 1) AS policy_id, count(*) AS commits, CAST(sum(step) AS BIGINT) AS steps FROM commits GROUP BY 1"))
+def pilot_commit_counts(spark, sf_dir):
+    """Commits of one configuration of each kind, all in one pass; the same call takes the whole grid."""
+    rows = P.first_ready(G.ready(stream(spark, sf_dir).states, PILOT), ("policy_id",))
+    return R.commits(rows, policy=("policy_id",)).groupBy("policy_id").agg(F.count(F.lit(1)).alias("commits"), F.sum("step").alias("steps"))
 
 
 # --- evaluation --------------------------------------------------------------------------
