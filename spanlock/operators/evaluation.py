@@ -25,7 +25,7 @@ def example_rows(policies: list[str], streams: DataFrame, committed: DataFrame,
     """(policy_id, example_id, task, ``COUNTS``): the evaluation record of every policy and stream.
 
     streams: example_id, task, text_length. committed: policy_id, key, step, start_char, end_char, each key once
-    for a policy. ready: policy_id, key. gold: key, start_char, end_char, maybe repeated. silver: key.
+    for a policy. ready: policy_id, key, rows (how many ready rows it has). gold: key, start_char, end_char, maybe repeated. silver: key.
     A commit is correct if it is a gold entity; premature if a reference with its start and label is longer.
     The selection error counts wrong, premature and missed ones over commits and gold.
     """
@@ -40,7 +40,7 @@ def example_rows(policies: list[str], streams: DataFrame, committed: DataFrame,
         F.count_if(F.col("end_word") < F.col("gold_end")).alias("gold_premature"),
         F.count_if(F.col("end_word") < F.col("silver_end")).alias("silver_premature"),
     )
-    blocked = ready.join(committed.select("policy_id", *KEY), ["policy_id", *KEY], "left_anti").groupBy(*per).agg(F.count(F.lit(1)).alias("blocked"))
+    blocked = ready.join(committed.select("policy_id", *KEY), ["policy_id", *KEY], "left_anti").groupBy(*per).agg(F.sum("rows").alias("blocked"))
     of_gold = known.groupBy("example_id").agg(F.sum("copies").alias("gold"), F.count(F.lit(1)).alias("gold_keys"))
     every = M.gold_lengths(gold, streams.select("example_id", "text_length")).drop("text_length").join(streams.select("example_id", "task"), "example_id")
     every = every.join(of_gold, "example_id", "left")
@@ -53,6 +53,12 @@ def example_rows(policies: list[str], streams: DataFrame, committed: DataFrame,
     return rows.select(*per, "task", *COUNTS)
 
 
+def counted(ready: DataFrame) -> DataFrame:
+    """(policy_id, key, step, probability, readiness, rows): the first ready row of each key, and how many it has."""
+    first = F.min_by(F.struct("step", "probability", "readiness"), "step").alias("r")
+    return ready.groupBy("policy_id", *KEY).agg(F.count(F.lit(1)).alias("rows"), first).select("policy_id", *KEY, "r.*", "rows")
+
+
 def rates() -> dict[str, Column]:
     """Rates of summed ``COUNTS``."""
     c = F.col

@@ -141,9 +141,9 @@ def _task():
 def evaluated(spark, sf_dir):
     """Evaluation records and delays of the chosen policies."""
     s = stream(spark, sf_dir)
-    ready = G.ready(s.states, CHOSEN)
-    committed = R.commits(ready, policy=("policy_id",))
-    snapshots = R.greedy_decode(s.states, 0.9)
+    ready = E.counted(G.ready(s.states, CHOSEN)).persist()  # these are used by several parts; lost blocks are worked out again
+    committed = R.commits(ready.drop("rows"), policy=("policy_id",)).persist()
+    snapshots = R.greedy_decode(s.states, 0.9).persist()
     streams = s.steps.groupBy("example_id", _task()).agg(F.max("visible_char_count").alias("text_length"))
     rows = E.example_rows([p.policy_id for p in CHOSEN], streams, Q.spans_in_chars(committed, s.words), ready, s.gold, V.last_snapshot(snapshots, s.steps), M.churn(snapshots, s.steps), V.boundary_revisions(snapshots))
     return rows, _delays(s, committed, snapshots)
