@@ -45,9 +45,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, join_small, table
 
-#: Elements without an end tag, and those that are part of the text around them.
-VOID = frozenset("area base basefont bgsound col embed frame hr img input keygen link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Block elements. All others, unknown ones too, are part of the text around them.
+BLOCK = frozenset(
+    "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav"
+    " ol optgroup option p pre search section summary table caption colgroup tbody td tfoot th thead tr ul template svg math object select button datalist canvas audio video".split()
+)
 #: Elements whose content is raw text up to their end tag, never text of the page.
 RAW = frozenset("script style title textarea iframe noscript noembed noframes xmp".split())
 #: Elements that end when the next one of them (or of their list) begins.
@@ -58,8 +60,8 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset figure foot
 BOILERPLATE = frozenset("head nav footer aside dialog menu template svg math object select button datalist canvas audio video".split())
 #: Words of class, id or role of what is not the article, and words that say only where or how it is set.
 NAMED = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising alert alerts banner banners breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies"
-    " dialog disclaimer disqus footer footers form gdpr header headers hidden login masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications pagination pager popup"
+    "ad ads adsbygoogle advert adverts advertisement advertisements advertising alert alerts banner banners breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies"
+    " copyright dialog disclaimer disqus footer footers form gdpr header headers hidden login masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications pagination pager popup"
     " promo promos promoted promotion promotions recommended related replies reply responses search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 PLACED = frozenset("left right top bottom upper lower main site page global primary secondary box area container wrapper wrap block section list links link inner outer bar item items unit slot buttons icons posts articles stories panel column col row text title content group region zone space size small large mobile desktop".split())
@@ -222,7 +224,7 @@ def tokens(page: str) -> Stream:
                 stop = RAW_END[tag].search(page, at)
                 at = stop.end() if stop else n
             continue
-        if tag in INLINE:
+        if tag not in BLOCK:
             if tag == "br":
                 say(" ")
             elif tag == "a":
@@ -236,7 +238,7 @@ def tokens(page: str) -> Stream:
             else:
                 flush()
             continue
-        if tag in VOID:
+        if tag == "hr":  # it has no content
             flush()
             continue
         if tag in ENDS_P and stack[-1].tag == "p":

@@ -106,9 +106,10 @@ def test_broken_pages_are_read_in_linear_time():
     assert alone("<p>a</p><!-- b") == "a"
     assert alone("<p>a</p><a href='b") == "a"
     assert alone("1 < 2 <3 &lt;b&gt;") == "1 < 2 <3 <b>"
+    assert alone("<p>a<x-y>b</x-y>c<wbr>d<br>e<hr>f<font>g</font></p>") == "abcd e fg"
     began = time.perf_counter()
     assert alone("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
-    assert alone("".join(f"<x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}>" for i in range(5000)) + "x" + "</y></p>" * 5000) == "x"
+    assert alone("".join(f"<div class=x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}>" for i in range(5000)) + "x" + "</y></p>" * 5000) == "x"
     assert alone("<p>a</p>" + "<a " * 350_000) == "a"
     assert alone("<p>a</p>" + '<a x="' * 200_000) == "a"
     assert alone("<p>a " + "<a <b " * 100_000 + 'x=">"') == "a"
