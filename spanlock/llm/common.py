@@ -93,3 +93,11 @@ def text_or_empty(name: str = "text") -> Column:
 def crc_of_id() -> Column:
     """crc32 of doc_id written as text, the fold key of the learned operators."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case and every other character as it is."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

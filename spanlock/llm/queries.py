@@ -6,6 +6,7 @@ from .chat import op8_chat_format
 from .decontamination import op4_decontamination
 from .html_wrappers import op2_html_wrappers
 from .iblt import op10_iblt_fingerprints
+from .importance import OP11_SQL, op11_resample
 from .language_id import op6_language_id
 from .licenses import OP5_SQL, op5_license_scan
 from .mixing import OP1_SQL, op1_mix_sources
@@ -26,7 +27,8 @@ QUERIES = {
         op8_chat_format,
         op9_simhash_components,
         op10_iblt_fingerprints,
+        op11_resample,
     )
 }
 
-ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op5_license_scan": OP5_SQL}
+ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op5_license_scan": OP5_SQL, "op11_resample": OP11_SQL}
