@@ -9,6 +9,7 @@ from .iblt import op10_iblt_fingerprints
 from .importance import OP11_SQL, op11_resample
 from .language_id import op6_language_id
 from .licenses import OP5_SQL, op5_license_scan
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .mixing import OP1_SQL, op1_mix_sources
 from .sharding import op7_shuffle_shards
 from .simhash import op9_simhash_components
@@ -28,7 +29,8 @@ QUERIES = {
         op9_simhash_components,
         op10_iblt_fingerprints,
         op11_resample,
+        op12_merkle_manifest,
     )
 }
 
-ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op5_license_scan": OP5_SQL, "op11_resample": OP11_SQL}
+ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op5_license_scan": OP5_SQL, "op11_resample": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
