@@ -11,6 +11,7 @@ from .language_id import op6_language_id
 from .licenses import OP5_SQL, op5_license_scan
 from .merkle import OP12_SQL, op12_merkle_manifest
 from .mixing import OP1_SQL, op1_mix_sources
+from .neighbours import op13_nearest
 from .sharding import op7_shuffle_shards
 from .simhash import op9_simhash_components
 from .toxicity import op3_toxicity
@@ -30,6 +31,7 @@ QUERIES = {
         op10_iblt_fingerprints,
         op11_resample,
         op12_merkle_manifest,
+        op13_nearest,
     )
 }
 
