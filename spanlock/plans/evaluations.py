@@ -414,15 +414,15 @@ def family_states(spark, sf_dir):
     return U.family_states(stream(spark, sf_dir).states)
 
 
-@_query("public_entities", _with(Q._OBS + Q._SNAPSHOTS, """, tx AS (SELECT example_id, string_agg(chunk, '' ORDER BY step) AS text FROM steps GROUP BY 1),
-la AS (SELECT s.* FROM snap s JOIN (SELECT example_id, max(step) AS step FROM steps GROUP BY 1) l USING (example_id, step))
+@_query("public_entities", _with(Q._OBS + Q._SNAPSHOTS.replace("FROM states WHERE", "FROM states JOIN (SELECT example_id, max(step) AS step FROM steps GROUP BY 1) USING (example_id, step) WHERE"), """, tx AS (SELECT example_id, string_agg(chunk, '' ORDER BY step) AS text FROM steps GROUP BY 1),
+la AS (SELECT * FROM snap)
 SELECT la.example_id, a.start_char, b.end_char, label, score, substr(tx.text, a.start_char + 1, b.end_char - a.start_char) AS text FROM la JOIN words a ON a.example_id = la.example_id AND a.word_index = la.start_word
 JOIN words b ON b.example_id = la.example_id AND b.word_index = la.end_word JOIN tx ON tx.example_id = la.example_id"""))
 def public_entities(spark, sf_dir):
     """Entities of the last snapshot by characters, with their text."""
     s = stream(spark, sf_dir)
-    last = s.steps.groupBy("example_id").agg(F.max("step").alias("step"))
-    rows = Q.spans_in_chars(R.greedy_decode(s.states, 0.9).join(last, ["example_id", "step"]), s.words)
+    last = s.obs.where("next_step is null").withColumn("step", F.lit(0))  # a candidate's last score holds to the end: one snapshot a stream
+    rows = Q.spans_in_chars(R.greedy_decode(last, 0.9), s.words)
     return W.span_texts(rows.select("example_id", "start_char", "end_char", "label", "score"), W.stream_texts(s.steps))
 
 

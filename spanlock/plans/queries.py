@@ -175,7 +175,7 @@ _FIXED = _OBS + _GOLD + ", " + _READY["fixed_threshold"] + ", " + _COMMITS
 
 
 def _with(ctes: str, select: str) -> str:
-    return f"WITH {ctes.strip()}\n{select}"
+    return f"WITH {'RECURSIVE ' if ' FROM sf WHERE kept' in ctes else ''}{ctes.strip()}\n{select}"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -399,10 +399,21 @@ def delay_summary(spark, sf_dir):
     return M.delay_summary(M.delays(c, M.visibility(s.gold, s.steps), s.steps), ["label"])
 
 
-_SNAPSHOTS = f""", sr AS (SELECT example_id, step, list({{'s': -probability, 'start_word': start_word, 'end_word': end_word, 'label': label}} ORDER BY -probability, start_word, end_word, label) AS rows FROM states WHERE probability > 0.9 GROUP BY ALL),
-sf AS (SELECT example_id, step, list_reduce(list_transform(rows, lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: k.start_word <= x[1].end_word AND x[1].start_word <= k.end_word)) > 0 THEN kept ELSE list_concat(kept, x) END) AS kept FROM sr),
-su AS (SELECT example_id, step, unnest(kept) AS k FROM sf),
-snap AS (SELECT example_id, step, k.start_word AS start_word, k.end_word AS end_word, k.label AS label, -k.s AS score FROM su)"""
+_OVERLAP = "k.start_word <= x.end_word AND x.start_word <= k.end_word"
+
+
+def _snapshots(blocks: str) -> str:
+    """SQL of the decoded states, by rounds: rows that no better undecided row blocks are kept, and what those block goes."""
+    met = f"JOIN {{}} k ON k.example_id = x.example_id AND k.step = x.step AND k.rank {{}} x.rank AND {blocks}"
+    return f""", sr AS MATERIALIZED (SELECT example_id, step, start_word, end_word, label, probability AS score, row_number() OVER (PARTITION BY example_id, step ORDER BY probability DESC, start_word, end_word, label) AS rank FROM states WHERE probability > 0.9),
+sf AS (SELECT *, false AS kept FROM sr UNION ALL
+(WITH u AS (SELECT * FROM sf WHERE NOT kept), b AS (SELECT DISTINCT x.example_id, x.step, x.rank FROM u x {met.format("u", "<")}),
+f AS (SELECT * FROM u ANTI JOIN b USING (example_id, step, rank)), d AS (SELECT DISTINCT x.example_id, x.step, x.rank FROM u x {met.format("f", "<=")})
+SELECT * EXCLUDE (kept), true FROM f UNION ALL SELECT * EXCLUDE (kept), false FROM u ANTI JOIN d USING (example_id, step, rank))),
+snap AS (SELECT example_id, step, start_word, end_word, label, score FROM sf WHERE kept)"""
+
+
+_SNAPSHOTS = _snapshots(_OVERLAP)
 
 
 @_query("snapshots", _with(_OBS + _SNAPSHOTS, "SELECT * FROM snap"))
@@ -410,8 +421,11 @@ def snapshots(spark, sf_dir):
     return R.greedy_decode(stream(spark, sf_dir).states, 0.9)
 
 
-@_query("nested_snapshots", _with(_OBS + _SNAPSHOTS.replace("k.start_word <= x[1].end_word AND x[1].start_word <= k.end_word", """k.start_word <= x[1].end_word AND x[1].start_word <= k.end_word
-AND (NOT ((k.start_word <= x[1].start_word AND x[1].end_word <= k.end_word) OR (x[1].start_word <= k.start_word AND k.end_word <= x[1].end_word)) OR (k.start_word = x[1].start_word AND k.end_word = x[1].end_word))"""), "SELECT * FROM snap"))
+_NESTED = f"""{_OVERLAP}
+AND (NOT ((k.start_word <= x.start_word AND x.end_word <= k.end_word) OR (x.start_word <= k.start_word AND k.end_word <= x.end_word)) OR (k.start_word = x.start_word AND k.end_word = x.end_word))"""
+
+
+@_query("nested_snapshots", _with(_OBS + _snapshots(_NESTED), "SELECT * FROM snap"))
 def nested_snapshots(spark, sf_dir):
     return R.greedy_decode(stream(spark, sf_dir).states, 0.9, flat=False)
 
