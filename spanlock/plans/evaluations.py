@@ -12,6 +12,7 @@ from ..operators import policies as P
 from ..operators import resolve as R
 from ..operators import revisions as V
 from ..operators import spans as W
+from ..operators import sweep as X
 from ..operators import updates as U
 from ..sources import manifest as N
 from ..sources import tables
@@ -83,7 +84,6 @@ def commits_mixed_grid(spark, sf_dir):
 
 
 PILOT = G.pilot(G.expand())
-_P = {s.family: dict(s.parameters) for s in PILOT}
 
 
 def _pilot_condition(s: G.Spec) -> tuple[str, str]:
@@ -108,18 +108,25 @@ def _pilot_condition(s: G.Spec) -> tuple[str, str]:
     return " AND ".join(gates), "probability"
 
 
-_PILOT_SQL = Q._OBS + ", " + Q._GATE + f""", runs AS (SELECT *, sum(CASE WHEN probability < {_P["snapshot-patience"]["threshold"]} THEN 1 ELSE 0 END) OVER (PARTITION BY {_K} ORDER BY step ROWS UNBOUNDED PRECEDING) AS run,
-max(step) FILTER (probability < {_P["oracle-stable"]["threshold"]}) OVER (PARTITION BY {_K}) AS low, list(probability) FILTER (was_rescored) OVER (PARTITION BY {_K} ORDER BY step ROWS UNBOUNDED PRECEDING) AS scores FROM gate),
-feat AS (SELECT *, row_number() OVER (PARTITION BY {_K}, run, probability >= {_P["snapshot-patience"]["threshold"]} ORDER BY step) AS held, list_reduce(scores, lambda e, p: p * {_P["ema"]["alpha"]}::DOUBLE + e * (1.0::DOUBLE - {_P["ema"]["alpha"]}::DOUBLE)) AS ema FROM runs),
-met AS ({" UNION ALL ".join(f"SELECT '{s.policy_id}' AS policy_id, {_K}, step, probability, {_pilot_condition(s)[1]} AS readiness FROM feat WHERE {_pilot_condition(s)[0]}" for s in PILOT)}),
+def _few_sql(specs: list[G.Spec]) -> str:
+    """SQL of the commits of some configurations: at most one threshold of patience, one alpha and one threshold of the oracle."""
+    q = {"snapshot-patience": {"threshold": 0.5}, "oracle-stable": {"threshold": 0.5}, "ema": {"alpha": 0.5}} | {s.family: dict(s.parameters) for s in specs}
+    held, low, alpha = q["snapshot-patience"]["threshold"], q["oracle-stable"]["threshold"], q["ema"]["alpha"]
+    met = " UNION ALL ".join(f"SELECT '{s.policy_id}' AS policy_id, {_K}, step, probability, {_pilot_condition(s)[1]} AS readiness FROM feat WHERE {_pilot_condition(s)[0]}" for s in specs)
+    return Q._OBS + ", " + Q._GATE + f""", runs AS (SELECT *, sum(CASE WHEN probability < {held} THEN 1 ELSE 0 END) OVER (PARTITION BY {_K} ORDER BY step ROWS UNBOUNDED PRECEDING) AS run,
+max(step) FILTER (probability < {low}) OVER (PARTITION BY {_K}) AS low, list(probability) FILTER (was_rescored) OVER (PARTITION BY {_K} ORDER BY step ROWS UNBOUNDED PRECEDING) AS scores FROM gate),
+feat AS (SELECT *, row_number() OVER (PARTITION BY {_K}, run, probability >= {held} ORDER BY step) AS held, list_reduce(scores, lambda e, p: p * {alpha}::DOUBLE + e * (1.0::DOUBLE - {alpha}::DOUBLE)) AS ema FROM runs),
+met AS ({met}),
 ready AS (SELECT policy_id || '|' || example_id AS example_id, start_word, end_word, label, step, probability, readiness FROM met), """ + Q._COMMITS
 
 
-@_query("pilot_commit_counts", _with(_PILOT_SQL, "SELECT split_part(example_id, '|', 1) AS policy_id, count(*) AS commits, CAST(sum(step) AS BIGINT) AS steps FROM commits GROUP BY 1"))
+@_query("pilot_commit_counts", _with(_few_sql(PILOT), f"""SELECT policy_id, count(step) AS commits, CAST(coalesce(sum(step), 0) AS BIGINT) AS steps FROM (SELECT unnest([{", ".join(f"'{s.policy_id}'" for s in PILOT)}]) AS policy_id)
+LEFT JOIN (SELECT split_part(example_id, '|', 1) AS policy_id, step FROM commits) USING (policy_id) GROUP BY 1"""))
 def pilot_commit_counts(spark, sf_dir):
-    """Commits of one configuration of each kind, all in one pass; the same call takes the whole grid."""
+    """Commits of one configuration of each kind, all in one pass, with zeros for one that commits nothing."""
     rows = P.first_ready(G.ready(stream(spark, sf_dir).states, PILOT), ("policy_id",))
-    return R.commits(rows, policy=("policy_id",)).groupBy("policy_id").agg(F.count(F.lit(1)).alias("commits"), F.sum("step").alias("steps"))
+    counts = R.commits(rows, policy=("policy_id",)).groupBy("policy_id").agg(F.count(F.lit(1)).alias("commits"), F.sum("step").alias("steps"))
+    return G.frame(spark, PILOT).select("policy_id").join(counts, "policy_id", "left").na.fill(0)
 
 
 # --- evaluation --------------------------------------------------------------------------
@@ -375,17 +382,33 @@ n1 AS (SELECT split_part(example_id, ':', 1) AS chunk_words, count(DISTINCT exam
 n3 AS (SELECT split_part(example_id, ':', 1) AS chunk_words, count(*) AS commits, avg(step) AS mean_step FROM commits GROUP BY 1)""", "SELECT * REPLACE (round(mean_step, 9) AS mean_step) FROM n1 JOIN n2 USING (chunk_words) JOIN n3 USING (chunk_words)"))
 def chunk_conditions(spark, sf_dir):
     """The same texts in chunks of 1, 2, 4 and 8 words: steps, score events, and commits of the threshold 0.8."""
+    steps, updates, obs = _sized(spark, sf_dir)
+    committed = R.commits(P.fixed_threshold(obs, 0.8))
+    size = F.substring_index("example_id", ":", 1).alias("chunk_words")
+    rows = steps.groupBy(size).agg(F.countDistinct("example_id").alias("streams"), F.count(F.lit(1)).alias("steps"))
+    rows = rows.join(updates.groupBy(size).agg(F.count(F.lit(1)).alias("updates")), "chunk_words")
+    return rows.join(committed.groupBy(size).agg(F.count(F.lit(1)).alias("commits"), F.round(F.avg("step"), 9).alias("mean_step")), "chunk_words")
+
+
+def _sized(spark, sf_dir):
+    """Steps, score events and observations of the conversations as whole texts, in chunks of each size."""
     how = U.Scoring(right_context=3)
     chunk = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text", chunk.alias("chunk"))))
     texts = tables.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_join(F.transform(turns, lambda t: t["chunk"]), "").alias("text"))
     steps = U.with_word_counts(tables.chunk_conditions(texts, list(SIZES)))
     updates = U.span_updates(U.hash_scorer(U.candidates(steps, how), how), how)
-    committed = R.commits(P.fixed_threshold(U.observations(updates, how), 0.8))
-    size = F.substring_index("example_id", ":", 1).alias("chunk_words")
-    rows = steps.groupBy(size).agg(F.countDistinct("example_id").alias("streams"), F.count(F.lit(1)).alias("steps"))
-    rows = rows.join(updates.groupBy(size).agg(F.count(F.lit(1)).alias("updates")), "chunk_words")
-    return rows.join(committed.groupBy(size).agg(F.count(F.lit(1)).alias("commits"), F.round(F.avg("step"), 9).alias("mean_step")), "chunk_words")
+    return steps, updates, U.observations(updates, how)
+
+
+@_query("grid_commit_counts")
+def grid_commit_counts(spark, sf_dir):
+    """All configurations of the published search in chunks of 1, 2, 4 and 8 words: commits, how many are gold, when they are made, and how far behind."""
+    steps, _, obs = _sized(spark, sf_dir)
+    words = U.stream_words(steps)
+    counts = X.commit_counts(obs, steps, words, Q.gold_entities(words), G.expand())
+    counts = counts.withColumn("chunk_words", F.substring_index("example_id", ":", 1))
+    return X.totals(counts, G.frame(spark, G.expand()), "chunk_words", [str(n) for n in SIZES])
 
 
 # --- states, manifests and report tables -------------------------------------------------

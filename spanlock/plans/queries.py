@@ -598,14 +598,14 @@ def bootstrap_difference(spark, sf_dir):
 
 @_query("bootstrap_mean", """WITH r AS (SELECT l_returnflag AS task, l_suppkey AS parent, CAST(sum(l_discount) AS DOUBLE) AS a, CAST(sum(l_tax) AS DOUBLE) AS c, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL),
 su AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY parent) - 1 AS i FROM r), sz AS (SELECT task, count(*) AS k FROM su GROUP BY 1),
-dr AS (SELECT rep, task, CAST(('0x' || substr(md5('20260901|' || rep || '|' || task || '|' || j), 1, 8)) AS BIGINT) % k AS i FROM (SELECT task, k, unnest(range(k)) AS j FROM sz) CROSS JOIN (SELECT unnest(range(500)) AS rep)),
+dr AS (SELECT rep, task, CAST(('0x' || substr(md5('20260901|' || rep || '|' || task || '|' || j), 1, 8)) AS BIGINT) % k AS i FROM (SELECT task, k, unnest(range(k)) AS j FROM sz) CROSS JOIN (SELECT unnest(range(2000)) AS rep)),
 rp AS (SELECT rep, sum(a) / sum(n) AS a, sum(c) / sum(n) AS c FROM dr JOIN su USING (task, i) GROUP BY rep)
 SELECT round(w.a, 9) AS baseline, round(w.c, 9) AS comparison, round(w.c - w.a, 9) AS difference, round(lower, 9) AS lower, round(upper, 9) AS upper
 FROM (SELECT sum(a) / sum(n) AS a, sum(c) / sum(n) AS c FROM su) w CROSS JOIN (SELECT quantile_cont(c - a, 0.025) AS lower, quantile_cont(c - a, 0.975) AS upper FROM rp)""")
 def bootstrap_mean(spark, sf_dir):
     """Mean discount against mean tax of order lines, suppliers as parents, return flags as strata."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("task"), F.col("l_suppkey").alias("parent"), F.col("l_discount").cast("double").alias("a"), F.col("l_tax").cast("double").alias("c"))
-    out = S.paired_mean_bootstrap(rows, "task", "parent", "a", "c", replicates=500)
+    out = S.paired_mean_bootstrap(rows, "task", "parent", "a", "c")
     return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
 
 
