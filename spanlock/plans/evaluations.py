@@ -17,6 +17,8 @@ from ..operators import updates as U
 from ..sources import manifest as N
 from ..sources import tables
 from ..operators import specs as G
+from ..streaming import commits as stream_
+from ..streaming import tracker as T
 from . import queries as Q
 from .queries import _query, _with, stream
 
@@ -129,6 +131,35 @@ def pilot_commit_counts(spark, sf_dir):
     return G.frame(spark, PILOT).select("policy_id").join(counts, "policy_id", "left").na.fill(0)
 
 
+# --- the stream --------------------------------------------------------------------------
+
+#: A gate with bounds that the hash scorer's probabilities meet, beside the families of ``MIXED`` that do not look ahead.
+_GATE_POINT = {"epsilon": 0.5, "instability_horizon": 3, "max_extension_advantage": 0.3, "min_label_margin": 0.1, "min_rescores": 1, "min_tail_distance_words": None, "tau": 0.6, "use_extension": True, "use_instability": True, "use_label_margin": True}
+TRACKED = [s for s in MIXED if not s.analysis_only] + [G.Spec("stability-gate", "full", tuple(sorted(_GATE_POINT.items())))]
+
+
+def _tracked(spark, sf_dir, states: bool):
+    """The score events of the conversations in three portions, each tracked by a query of its own that goes on where the one before stopped."""
+    s, folder = stream(spark, sf_dir), stream_.shared_folder(spark)
+    rows = T.events(s.steps, s.obs)
+    for portion in ("step <= 2", "step in (3, 4)", "step > 4"):
+        rows.where(portion).write.mode("append").parquet(f"{folder}/events")
+        out = T.run_available(spark, f"{folder}/events", f"{folder}/out", f"{folder}/checkpoint", TRACKED, states=states, strict=True)
+    return out
+
+
+@_query("tracked_states", Q.ORACLE_SQL["candidate_states"].replace(", was_rescored", ""))
+def tracked_states(spark, sf_dir):
+    """All candidates at every step, from the stateful stream."""
+    return _tracked(spark, sf_dir, True).where("kind = 'state'").select(*P.KEY, "step", "probability", "rescore_count", "snapshot_age", "tail_distance_words")
+
+
+@_query("tracked_commits", _with(_few_sql(TRACKED), "SELECT 'commit' AS kind, split_part(example_id, '|', 1) AS policy_id, CAST(split_part(example_id, '|', 2) AS BIGINT) AS example_id, start_word, end_word, label, step, readiness FROM commits\nUNION ALL SELECT 'ready', split_part(example_id, '|', 1), CAST(split_part(example_id, '|', 2) AS BIGINT), start_word, end_word, label, step, readiness FROM first"))
+def tracked_commits(spark, sf_dir):
+    """First ready rows and commits of six configurations, from the stateful stream."""
+    return _tracked(spark, sf_dir, False).select("kind", "policy_id", *P.KEY, "step", "readiness")
+
+
 # --- evaluation --------------------------------------------------------------------------
 
 
