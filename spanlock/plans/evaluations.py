@@ -15,6 +15,7 @@ from ..operators import spans as W
 from ..operators import sweep as X
 from ..operators import updates as U
 from ..sources import manifest as N
+from ..sources import runs as D
 from ..sources import tables
 from ..operators import specs as G
 from ..streaming import commits as stream_
@@ -442,6 +443,23 @@ def grid_commit_counts(spark, sf_dir):
     return X.totals(counts, G.frame(spark, G.expand()), "chunk_words", [str(n) for n in SIZES])
 
 
+_RUN_COLUMNS = ["run_chunk_words", "example_id", "step", "start_word", "end_word", "top_label", "top_probability"]
+
+
+@_query("run_updates", _with(_SIZED.split(",\nob0 AS")[0], "SELECT split_part(example_id, ':', 1) AS run_chunk_words, example_id, step, start_word, end_word, top_label, top_probability FROM updates WHERE split_part(example_id, ':', 1) IN ('2', '8')"))
+def run_updates(spark, sf_dir):
+    """Score events of the chunk sizes 2 and 8, read from runs that were written for all sizes, one of them a second time, and chosen by their manifests."""
+    steps, updates, _ = _sized(spark, sf_dir)
+    root, rolling = stream_.shared_folder(spark), {"observations": lambda t: U.observations(t["updates"], U.Scoring(right_context=3)).drop("rolling_deltas")}
+    texts = tables.table(spark, sf_dir, "conversations")
+    for size in (*SIZES, 8):
+        of = D.fingerprint({"chunk_words": size, "split": "all"}, {"right_context": 3, "labels": ["person", "place"]}, {"conversations": texts})
+        own = F.col("example_id").startswith(f"{size}:")
+        D.write_run(spark, root, of, {"steps": steps.where(own), "updates": updates.where(own)}, derived=rolling)
+    rows = D.scan(spark, root, "updates", split="all", chunk_words=[2, 8])
+    return rows.select(F.col("chunk_words").alias("run_chunk_words"), *_RUN_COLUMNS[1:])
+
+
 # --- states, manifests and report tables -------------------------------------------------
 
 

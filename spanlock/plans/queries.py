@@ -298,12 +298,41 @@ def stream_commits(spark, sf_dir):
     return stream_.run_available(spark, f"{folder}/ready", f"{folder}/commits", f"{folder}/checkpoint")
 
 
-@_query("trace_violations", _with(_UPDATES, """SELECT 'unknown_step' AS rule, example_id, step FROM updates ANTI JOIN steps USING (example_id, step)
-UNION ALL SELECT 'unseen_word', example_id, step FROM updates WHERE end_word >= visible_word_count
-UNION ALL SELECT 'word_order', example_id, step FROM updates WHERE start_word < 0 OR end_word < start_word"""))
+_FAULTY = _UPDATES + """,
+fs AS (SELECT example_id, step + CASE WHEN example_id % 5 = 0 AND step >= 3 THEN 1 ELSE 0 END AS step, chunk, CASE WHEN example_id % 7 = 0 AND step = 2 THEN 0 ELSE visible_char_count END AS visible_char_count,
+CASE WHEN example_id % 11 = 0 AND step = 3 THEN 1 ELSE visible_word_count END AS visible_word_count FROM steps),
+fo AS (SELECT *, row_number() OVER o AS number, lag(visible_char_count) OVER o AS was, lag(visible_word_count) OVER o AS words_were FROM fs WINDOW o AS (PARTITION BY example_id ORDER BY step)),
+fu AS (SELECT example_id, CASE WHEN start_word = 3 THEN step + 1000 ELSE step END AS step, CASE WHEN start_word = 7 THEN end_word + 1 ELSE start_word END AS start_word, CASE WHEN start_word = 5 THEN end_word + 100000 ELSE end_word END AS end_word,
+start_word = 11 AS bad, unnest(CASE WHEN start_word = 9 THEN [1, 2] ELSE [1] END) AS copy FROM updates),
+fj AS (SELECT fu.*, fs.visible_word_count AS seen FROM fu LEFT JOIN fs USING (example_id, step))"""
+
+
+@_query("trace_violations", _with(_FAULTY, """SELECT 'step_gap' AS rule, example_id, step FROM fo WHERE step <> number UNION ALL SELECT 'text_shrinks', example_id, step FROM fo WHERE visible_char_count < was
+UNION ALL SELECT 'words_shrink', example_id, step FROM fo WHERE visible_word_count < words_were UNION ALL SELECT 'chunk_length', example_id, step FROM fo WHERE visible_char_count - coalesce(was, 0) <> length(chunk)
+UNION ALL SELECT 'unknown_step', example_id, step FROM fj WHERE seen IS NULL UNION ALL SELECT 'word_order', example_id, step FROM fj WHERE start_word < 0 OR end_word < start_word
+UNION ALL SELECT 'unseen_word', example_id, step FROM fj WHERE end_word >= seen UNION ALL SELECT 'probability', example_id, step FROM fj WHERE bad
+UNION ALL SELECT 'scored_twice', example_id, step FROM (SELECT example_id, step, start_word, end_word FROM fu GROUP BY ALL HAVING count(*) > 1)"""))
 def trace_violations(spark, sf_dir):
+    """A log that breaks every rule somewhere: steps with gaps and shrinking text, and score events moved, turned round, repeated and out of range."""
     s = stream(spark, sf_dir)
-    return traces.violations(s.steps, s.updates)
+    put = lambda name, when, value: F.when(when, value).otherwise(F.col(name)).alias(name)
+    at, start, conv = F.col("step"), F.col("start_word"), F.col("example_id")
+    steps = s.steps.select(
+        "example_id",
+        put("step", (conv % 5 == 0) & (at >= 3), at + 1),
+        "chunk",
+        put("visible_char_count", (conv % 7 == 0) & (at == 2), F.lit(0)),
+        put("visible_word_count", (conv % 11 == 0) & (at == 3), F.lit(1)),
+    )
+    updates = s.updates.select(
+        "example_id",
+        put("step", start == 3, at + 1000),
+        put("start_word", start == 7, F.col("end_word") + 1),
+        put("end_word", start == 5, F.col("end_word") + 100_000),
+        F.when(start == 11, F.array(F.lit(1.5), F.lit(None))).otherwise(F.col("probs")).alias("probs"),
+        F.explode(F.when(start == 9, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+    return traces.violations(steps, updates)
 
 
 # --- metrics -----------------------------------------------------------------------------
