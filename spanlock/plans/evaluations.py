@@ -14,6 +14,7 @@ from ..operators import revisions as V
 from ..operators import spans as W
 from ..operators import sweep as X
 from ..operators import updates as U
+from ..sources import examples as K
 from ..sources import manifest as N
 from ..sources import runs as D
 from ..sources import tables
@@ -460,6 +461,29 @@ def run_updates(spark, sf_dir):
     return rows.select(F.col("chunk_words").alias("run_chunk_words"), *_RUN_COLUMNS[1:])
 
 
+def run_tables(s: Q.Stream) -> dict:
+    """The five tables of a run over the conversations."""
+    texts = W.stream_texts(s.steps)
+    return {"examples": texts, "steps": s.steps.select("example_id", "step", "chunk", "visible_word_count"), "updates": s.updates.select("example_id", "step", "start_word", "end_word", "top_label", "top_probability"), "gold": s.gold.select("example_id", "start_char", "end_char", "label"), "cold": texts.withColumnRenamed("text", "full_text")}
+
+
+@_query("examples_nested", _with(Q._UPDATES + Q._GOLD, """, ex AS (SELECT example_id, string_agg(chunk, '' ORDER BY step) AS text FROM steps GROUP BY 1),
+e2 AS (SELECT *, 1 AS n FROM ex WHERE example_id % 11 <> 3), s2 AS (SELECT * FROM steps WHERE example_id % 7 <> 2 AND NOT (example_id % 5 = 1 AND step = 2)), c2 AS (SELECT example_id, CASE WHEN example_id % 13 = 4 THEN text || '!' ELSE text END AS full_text FROM ex WHERE example_id % 17 <> 5),
+sn AS (SELECT example_id, count(*) AS steps, string_agg(chunk, '' ORDER BY step) AS streamed, max(step) <> count(*) AS gap FROM s2 GROUP BY 1), un AS (SELECT example_id, count(*) AS updates, count(*) FILTER (s2.step IS NULL) > 0 AS unknown FROM updates LEFT JOIN s2 USING (example_id, step) GROUP BY 1),
+gn AS (SELECT example_id, count(*) AS gold FROM gold GROUP BY 1), f AS (SELECT ex.example_id, coalesce(steps, 0) AS steps, coalesce(updates, 0) AS updates, coalesce(gold, 0) AS gold,
+concat_ws(',', CASE WHEN n IS NULL THEN 'unknown_example' END, CASE WHEN n IS NOT NULL AND steps IS NULL THEN 'no_steps' END, CASE WHEN n IS NOT NULL AND full_text IS NULL THEN 'cold_missing' END, CASE WHEN full_text IS NOT NULL AND full_text IS DISTINCT FROM e2.text THEN 'cold_text' END,
+CASE WHEN steps > 0 AND n IS NOT NULL AND streamed IS DISTINCT FROM e2.text THEN 'stream_text' END, CASE WHEN gap THEN 'step_gap' END, CASE WHEN unknown THEN 'unknown_step' END) AS faults
+FROM ex LEFT JOIN e2 USING (example_id) LEFT JOIN sn USING (example_id) LEFT JOIN un USING (example_id) LEFT JOIN gn USING (example_id) LEFT JOIN c2 USING (example_id)) SELECT * FROM f"""))
+def examples_nested(spark, sf_dir):
+    """The tables of the conversations by example, some rows taken out or changed: how many rows each example has, and which rules it breaks."""
+    t, of = run_tables(stream(spark, sf_dir)), F.col("example_id")
+    t["examples"] = t["examples"].where(of % 11 != 3)
+    t["steps"] = t["steps"].where((of % 7 != 2) & ~((of % 5 == 1) & (F.col("step") == 2)))
+    t["cold"] = t["cold"].where(of % 17 != 5).withColumn("full_text", F.when(of % 13 == 4, F.concat("full_text", F.lit("!"))).otherwise(F.col("full_text")))
+    rows = K.reconstruct(**t)
+    return rows.select("example_id", *(F.size(c).cast("long").alias(c) for c in ("steps", "updates", "gold")), F.array_join("faults", ",").alias("faults"))
+
+
 # --- states, manifests and report tables -------------------------------------------------
 
 
