@@ -10,6 +10,7 @@ from ..operators import metrics as M
 from ..operators import parity as C
 from ..operators import policies as P
 from ..operators import resolve as R
+from ..operators import resampling as B
 from ..operators import revisions as V
 from ..operators import spans as W
 from ..operators import sweep as X
@@ -444,6 +445,62 @@ def grid_commit_counts(spark, sf_dir):
     return X.totals(counts, G.frame(spark, G.expand()), "chunk_words", [str(n) for n in SIZES])
 
 
+_POINT = lambda family, **q: G.Spec(family, "main", tuple(sorted(q.items())))
+_GATE_OF = lambda **q: G.Spec("stability-gate", "full", tuple(sorted((_GATE_POINT | q).items())))
+#: The gate and its baselines as they are matched in each mode.
+MATCHED = {
+    "matched_quality": {"stability-gate/full": _GATE_OF(), "fixed-threshold": _POINT("fixed-threshold", threshold=0.7), "fixed-lag": _POINT("fixed-lag", threshold=0.7, lag_words=4), "rescore-patience": _POINT("rescore-patience", threshold=0.7, patience=1)},
+    "matched_latency": {"stability-gate/full": _GATE_OF(tau=0.5, max_extension_advantage=0.1), "fixed-threshold": _POINT("fixed-threshold", threshold=0.5), "fixed-lag": _POINT("fixed-lag", threshold=0.5, lag_words=1), "rescore-patience": _POINT("rescore-patience", threshold=0.5, patience=2)},
+}
+_MATCHED = list({s.policy_id: s for of in MATCHED.values() for s in of.values()}.values())
+_SPARSE = _SIZED.split(",\nstates AS")[0] + """,
+came AS (SELECT example_id, step, unnest(range(visible_word_count - new_words, visible_word_count)) AS word FROM steps),
+fe AS (SELECT DISTINCT example_id, start_word, label, step FROM obs),
+s0 AS (SELECT o.example_id, o.start_word, o.end_word, o.label, e.step, o.probability, o.rescore_count, o.next_step, coalesce(list_max(list_transform(o.rolling, lambda d: abs(d))), 0.0) AS instability, u.label_margin
+FROM obr o JOIN updates u ON u.example_id = o.example_id AND u.step = o.step AND u.start_word = o.start_word AND u.end_word = o.end_word
+JOIN fe e ON e.example_id = o.example_id AND e.start_word = o.start_word AND e.label = o.label AND e.step >= o.step AND (o.next_step IS NULL OR e.step < o.next_step)),
+feat AS (SELECT *, coalesce(max(probability) OVER (PARTITION BY example_id, step, start_word, label ORDER BY end_word ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - probability, 0.0) AS extension_advantage FROM s0)"""
+
+
+def _sparse_ready(s: G.Spec) -> str:
+    """SQL of rows among which is the first at which a configuration is ready: a lag is over at the step its word came, if the score still holds."""
+    q = dict(s.parameters)
+    if s.family == "fixed-lag":
+        return f"SELECT '{s.policy_id}' AS policy_id, o.example_id, start_word, end_word, label, greatest(o.step, c.step) AS step, probability, probability AS readiness FROM obs o JOIN came c ON c.example_id = o.example_id AND c.word = o.end_word + {q['lag_words']} WHERE probability >= {q['threshold']} AND (next_step IS NULL OR c.step < next_step)"
+    return f"SELECT '{s.policy_id}' AS policy_id, {_K}, step, probability, probability AS readiness FROM feat WHERE {_pilot_condition(s)[0]}"
+
+
+_COMPARED_SIDES = [(mode, size, key, MATCHED[mode][key].policy_id, MATCHED[mode]["stability-gate/full"].policy_id) for mode in MATCHED for size in map(str, SIZES) for key in ("fixed-threshold", "fixed-lag", "rescore-patience")]
+_BOOTSTRAP_SQL = _with(_SPARSE + ",\nmet AS (" + " UNION ALL ".join(map(_sparse_ready, _MATCHED)) + "),\nready AS (SELECT policy_id || '|' || example_id AS example_id, start_word, end_word, label, step, probability, readiness FROM met), " + Q._COMMITS_BY_ROUNDS + f""",
+words AS (SELECT example_id, word AS word_index, step FROM came), {Q._GOLD.split("gold AS")[0].strip(", ") + "gold AS" + Q._GOLD.split("gold AS")[1].replace("a.start_char, b.end_char, ", "")},
+cm AS (SELECT split_part(example_id, '|', 1) AS policy_id, split_part(example_id, '|', 2) AS example_id, start_word, end_word, label, step FROM commits),
+co AS MATERIALIZED (SELECT policy_id, split_part(c.example_id, ':', 1) AS chunk_words, CAST(split_part(c.example_id, ':', 2) AS BIGINT) AS conv, count(*) AS commits, count(*) FILTER (g.label IS NULL) AS wrong, sum(s.visible_word_count - 1 - c.end_word) AS context_words
+FROM cm c JOIN steps s ON s.example_id = c.example_id AND s.step = c.step LEFT JOIN (SELECT DISTINCT {_K} FROM gold) g ON g.example_id = c.example_id AND g.start_word = c.start_word AND g.end_word = c.end_word AND g.label = c.label GROUP BY ALL),
+pa AS (SELECT conv, conv % 4 AS task, row_number() OVER (PARTITION BY conv % 4 ORDER BY conv) - 1 AS i FROM (SELECT DISTINCT conv FROM co)), sz AS (SELECT task, count(*) AS n FROM pa GROUP BY 1),
+dr AS (SELECT rep, task, CAST(('0x' || substr(md5('20260901|' || rep || '|' || task || '|' || j), 1, 8)) AS BIGINT) % n AS i FROM (SELECT task, n, unnest(range(n)) AS j FROM sz) CROSS JOIN (SELECT unnest(range(2000)) AS rep)),
+dc AS (SELECT rep, conv, count(*) AS times FROM dr JOIN pa USING (task, i) GROUP BY ALL UNION ALL SELECT -1, conv, 1 FROM pa),
+rs AS (SELECT rep, policy_id, chunk_words, sum(times * wrong) AS wrong, sum(times * commits) AS commits, sum(times * context_words) AS context_words FROM dc JOIN co USING (conv) GROUP BY ALL),
+rt AS (SELECT rep, policy_id, chunk_words, unnest(['selection_error_rate', 'mean_commit_context_words']) AS metric, unnest([wrong / commits::DOUBLE, context_words / commits::DOUBLE]) AS v FROM rs WHERE commits > 0),
+pairs(mode, chunk_words, baseline_key, base_id, gate_id) AS (VALUES {", ".join(str(x) for x in _COMPARED_SIDES)}), ks AS (SELECT * FROM pairs CROSS JOIN (SELECT unnest(['selection_error_rate', 'mean_commit_context_words']) AS metric) CROSS JOIN (SELECT unnest(range(-1, 2000)) AS rep)),
+vs AS (SELECT ks.*, coalesce(b.v, 0.0) AS b, coalesce(g.v, 0.0) AS g FROM ks LEFT JOIN rt b ON b.rep = ks.rep AND b.policy_id = base_id AND b.chunk_words = ks.chunk_words AND b.metric = ks.metric LEFT JOIN rt g ON g.rep = ks.rep AND g.policy_id = gate_id AND g.chunk_words = ks.chunk_words AND g.metric = ks.metric)""",
+"""SELECT mode, chunk_words, baseline_key, metric, round(max(b) FILTER (rep < 0), 9) AS baseline, round(max(g) FILTER (rep < 0), 9) AS comparison, round(max(g - b) FILTER (rep < 0), 9) AS difference,
+round(quantile_cont(g - b, 0.025) FILTER (rep >= 0), 9) AS lower, round(quantile_cont(g - b, 0.975) FILTER (rep >= 0), 9) AS upper FROM vs GROUP BY ALL""")
+
+
+@_query("bootstrap_rows", _BOOTSTRAP_SQL)
+def bootstrap_rows(spark, sf_dir):
+    """The gate against three baselines, in two modes, by two metrics and in four chunk sizes: differences with intervals of 2,000 replicates over conversations."""
+    steps, _, obs = _sized(spark, sf_dir)
+    words = U.stream_words(steps)
+    rows = X.commit_counts(obs, steps, words, Q.gold_entities(words), _MATCHED)
+    conv = F.substring_index("example_id", ":", -1).cast("long")
+    rows = rows.select("policy_id", F.substring_index("example_id", ":", 1).alias("chunk_words"), conv.alias("conv"), (conv % 4).alias("task"), "commits", (F.col("commits") - F.col("correct")).alias("wrong"), "context_words")
+    comparisons = [B.Comparison((mode, size, key), (size, base), (size, gate)) for mode, size, key, base, gate in _COMPARED_SIDES]
+    metrics = {"selection_error_rate": ("wrong", "commits"), "mean_commit_context_words": ("context_words", "commits")}
+    out = B.bootstrap_rows(rows, "task", "conv", ["chunk_words", "policy_id"], comparisons, metrics, names=["mode", "chunk_words", "baseline_key"])
+    return out.withColumns({c: F.round(c, 9) for c in ("baseline", "comparison", "difference", "lower", "upper")})
+
+
 _RUN_COLUMNS = ["run_chunk_words", "example_id", "step", "start_word", "end_word", "top_label", "top_probability"]
 
 

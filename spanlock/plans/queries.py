@@ -431,15 +431,28 @@ def delay_summary(spark, sf_dir):
 _OVERLAP = "k.start_word <= x.end_word AND x.start_word <= k.end_word"
 
 
-def _snapshots(blocks: str) -> str:
-    """SQL of the decoded states, by rounds: rows that no better undecided row blocks are kept, and what those block goes."""
-    met = f"JOIN {{}} k ON k.example_id = x.example_id AND k.step = x.step AND k.rank {{}} x.rank AND {blocks}"
-    return f""", sr AS MATERIALIZED (SELECT example_id, step, start_word, end_word, label, probability AS score, row_number() OVER (PARTITION BY example_id, step ORDER BY probability DESC, start_word, end_word, label) AS rank FROM states WHERE probability > 0.9),
+def _rounds(ranked: str, group: tuple[str, ...], blocks: str) -> str:
+    """SQL of a greedy choice from ``sr`` by rounds: rows that no better undecided row of their group blocks are kept, and what those block goes; the kept rows are ``sf WHERE kept``."""
+    same = " AND ".join(f"k.{g} = x.{g}" for g in group)
+    met = f"JOIN {{}} k ON {same} AND k.rank {{}} x.rank AND {blocks}"
+    key, of = ", ".join([*group, "rank"]), ", ".join(f"x.{g}" for g in (*group, "rank"))
+    return f"""sr AS MATERIALIZED ({ranked}),
 sf AS (SELECT *, false AS kept FROM sr UNION ALL
-(WITH u AS (SELECT * FROM sf WHERE NOT kept), b AS (SELECT DISTINCT x.example_id, x.step, x.rank FROM u x {met.format("u", "<")}),
-f AS (SELECT * FROM u ANTI JOIN b USING (example_id, step, rank)), d AS (SELECT DISTINCT x.example_id, x.step, x.rank FROM u x {met.format("f", "<=")})
-SELECT * EXCLUDE (kept), true FROM f UNION ALL SELECT * EXCLUDE (kept), false FROM u ANTI JOIN d USING (example_id, step, rank))),
-snap AS (SELECT example_id, step, start_word, end_word, label, score FROM sf WHERE kept)"""
+(WITH u AS (SELECT * FROM sf WHERE NOT kept), b AS (SELECT DISTINCT {of} FROM u x {met.format("u", "<")}),
+f AS (SELECT * FROM u ANTI JOIN b USING ({key})), d AS (SELECT DISTINCT {of} FROM u x {met.format("f", "<=")})
+SELECT * EXCLUDE (kept), true FROM f UNION ALL SELECT * EXCLUDE (kept), false FROM u ANTI JOIN d USING ({key})))"""
+
+
+def _snapshots(blocks: str) -> str:
+    """SQL of the decoded states."""
+    ranked = "SELECT example_id, step, start_word, end_word, label, probability AS score, row_number() OVER (PARTITION BY example_id, step ORDER BY probability DESC, start_word, end_word, label) AS rank FROM states WHERE probability > 0.9"
+    return ", " + _rounds(ranked, ("example_id", "step"), blocks) + ",\nsnap AS (SELECT example_id, step, start_word, end_word, label, score FROM sf WHERE kept)"
+
+
+#: The commits by rounds: for many rows it needs far less memory than the fold of ``_COMMITS``.
+_COMMITS_BY_ROUNDS = f"first AS (SELECT {_K}, min(step) AS step, arg_min(probability, step) AS probability, arg_min(readiness, step) AS readiness FROM ready GROUP BY ALL),\n" + _rounds(
+    f"SELECT {_K}, step, readiness, row_number() OVER (PARTITION BY example_id ORDER BY step, readiness DESC, probability DESC, start_word, end_word, label) AS rank FROM first", ("example_id",), _OVERLAP
+) + f",\ncommits AS (SELECT {_K}, step, readiness FROM sf WHERE kept)"
 
 
 _SNAPSHOTS = _snapshots(_OVERLAP)
