@@ -12,6 +12,7 @@ from ..operators import policies as P
 from ..operators import resolve as R
 from ..operators import resampling as B
 from ..operators import revisions as V
+from ..operators import rollups as L
 from ..operators import spans as W
 from ..operators import sweep as X
 from ..operators import updates as U
@@ -400,6 +401,44 @@ def parity_entities(spark, sf_dir):
     return C.compare_entities(snap, kept.unionByName(more))
 
 
+_FAULTS = [r for r in ("missing", "unexpected", "cosine", "probability", "margin", "delta", "kind", "top_label", "threshold")]
+_CASES = _COMPARED + ", cs AS (SELECT *, 'task' || example_id % 4 AS task, concat_ws(',', " + ", ".join(f"CASE WHEN {_REASONS[r]} THEN '{r}' END" for r in _FAULTS) + ") AS reasons FROM er)"
+_LEVELS = "CASE WHEN grouping(task) = 1 THEN 'all' WHEN grouping(example_id) = 1 THEN 'task' ELSE 'case' END"
+
+
+@_query("parity_cases", _with(_CASES, f"""SELECT {_LEVELS} AS level, task, example_id, count(*) AS events, count(*) FILTER (reasons <> '') AS faulty_events, count(DISTINCT example_id) AS cases, count(DISTINCT example_id) FILTER (reasons <> '') AS faulty_cases,
+round(avg(probability_error), 9) AS mean_probability_error, round(max(probability_error), 9) AS max_probability_error, round(avg(margin_error), 9) AS mean_margin_error, round(max(margin_error), 9) AS max_margin_error, round(avg(delta_error), 9) AS mean_delta_error, round(max(delta_error), 9) AS max_delta_error,
+round(min(cosine), 6) AS least_cosine, CASE WHEN grouping(example_id) = 0 THEN min(step) FILTER (reasons <> '') END AS first_step, CASE WHEN grouping(example_id) = 0 THEN arg_min(reasons, {{'a': step, 'b': start_word, 'c': end_word}}) FILTER (reasons <> '') END AS first_reasons
+FROM cs GROUP BY ROLLUP (task, example_id)"""))
+def parity_cases(spark, sf_dir):
+    """Errors of two logs by stream, task and as a whole; the log is compared in two portions, whose sums are merged."""
+    rolled = _rolled(spark, sf_dir).drop("categories")
+    return rolled.withColumns({c: F.round(c, 6 if c == "least_cosine" else 9) for c in rolled.columns if c.endswith("_error") or c == "least_cosine"})
+
+
+@_query("parity_categories", _with(_CASES, "\nUNION ALL ".join(f"SELECT {_LEVELS} AS level, task, example_id, '{r}' AS category, count(*) AS events, count(DISTINCT example_id) AS cases FROM cs WHERE {sql} GROUP BY ROLLUP (task, example_id) HAVING count(*) > 0" for r, sql in _REASONS.items())))
+def parity_categories(spark, sf_dir):
+    """Categories of differences at each level, once an event and once a stream."""
+    return L.category_rows(_rolled(spark, sf_dir))
+
+
+def _rolled(spark, sf_dir):
+    compared = _compared(spark, sf_dir)
+    return L.roll_up(L.merge_cases([L.case_sums(compared.where(part), _task()) for part in ("step <= 3", "step > 3")]))
+
+
+_DELAYED = Q._FIXED + Q._VISIBLE + f", dd AS (SELECT 'task' || c.example_id % 4 AS task, c.label, s.visible_word_count - c.end_word - 1 AS w FROM commits c JOIN vis v USING ({_K}) JOIN steps s ON s.example_id = c.example_id AND s.step = c.step)"
+
+
+@_query("delay_distributions", _with(_DELAYED, ", dl AS (SELECT *, '__all__' AS a FROM dd)\n" + " UNION ALL ".join(f"SELECT '{level}' AS level, {t} AS task, {l} AS label, count(*) AS n, avg(w) AS mean, quantile_cont(w, 0.5) AS p50, quantile_cont(w, 0.95) AS p95, min(w) AS least, max(w) AS largest, (SELECT string_agg(v || ':' || n, ',' ORDER BY v) FROM (SELECT w AS v, count(*) AS n FROM dl i WHERE {cond} GROUP BY 1)) AS values FROM dl o GROUP BY {t}, {l}" for level, t, l, cond in (("task/label", "o.task", "o.label", "i.task = o.task AND i.label = o.label"), ("task", "o.task", "o.a", "i.task = o.task"), ("all", "o.a", "o.a", "true")))))
+def delay_distributions(spark, sf_dir):
+    """Words waited by task and label, by task and as a whole, from one multiset: figures and all values."""
+    s = stream(spark, sf_dir)
+    rows = M.delays(R.commits(P.fixed_threshold(s.obs, Q.TAU)), M.visibility(s.gold, s.steps), s.steps).withColumn("task", _task())
+    out = L.levels(L.multiset(rows, ["task", "label"], "context_words"), [["task", "label"], ["task"], []], ["task", "label"])
+    return out.withColumn("values", F.array_join(F.transform(F.map_entries("values"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ","))
+
+
 # --- chunk sizes -------------------------------------------------------------------------
 
 SIZES = (1, 2, 4, 8)
