@@ -90,6 +90,14 @@ def expand(axes: dict[str, dict[str, list]] = AXES) -> list[Spec]:
     return sorted(out, key=lambda s: s.policy_id)
 
 
+def observed_axes(obs: DataFrame, axes: dict[str, dict[str, list]] = AXES, step: float = 0.05) -> dict[str, dict[str, list]]:
+    """The axes without the thresholds between which no probability lies: they part no scores, so they commit what the next one does."""
+    per = round(1 / step)
+    levels = {r["at"] for r in obs.select(F.floor(F.col("probability") * per).alias("at")).distinct().collect()}  # at most ``per`` + 1 rows
+    kept = lambda of: {**of, "threshold": [t for t in of["threshold"] if round(t * per) in levels]}
+    return {family: kept(of) if "threshold" in of and family != "oracle-stable" else of for family, of in axes.items()}
+
+
 def pilot(specs: list[Spec]) -> list[Spec]:
     """One configuration for each selection key: the threshold 0.5, or the first by id."""
     first: dict[str, Spec] = {}

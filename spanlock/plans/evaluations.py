@@ -17,6 +17,7 @@ from ..operators import spans as W
 from ..operators import sweep as X
 from ..operators import updates as U
 from ..sources import examples as K
+from ..sources import lock as H
 from ..sources import manifest as N
 from ..sources import runs as D
 from ..sources import tables
@@ -34,15 +35,16 @@ REFERENCE = next(s.policy_id for s in CHOSEN if s.parameters == (("threshold", 0
 
 # --- configurations ----------------------------------------------------------------------
 
-_T = "[" + ", ".join(f"{i / 20}::DOUBLE" for i in range(2, 20)) + "]"
+#: Thresholds: the levels of 0.05 from 0.1 to 0.95 in which some probability lies.
+_TH = "th AS (SELECT DISTINCT floor(p * 20) / 20.0::DOUBLE AS t FROM (SELECT unnest(probs) AS p FROM updates) WHERE p >= 0.1)"
 _PAIRS = (("snapshot-patience", "patience", "[1, 2, 3, 4, 5]"), ("rescore-patience", "patience", "[1, 2, 3, 4, 5]"), ("fixed-lag", "lag_words", "[0, 1, 2, 4, 8, 12]"), ("ema", "alpha", "[0.2::DOUBLE, 0.5, 0.8]"))
 _GATE_JSON = """'{"epsilon":' || e || ',"instability_horizon":3,"max_extension_advantage":' || x || ',"min_label_margin":' || m || ',"min_rescores":' || r || ',"min_tail_distance_words":null,"tau":' || t || ',"use_extension":' || (v <> 'minus_extension') || ',"use_instability":' || (v <> 'minus_instability') || ',"use_label_margin":' || (v <> 'minus_label_margin') || '}'"""
 _SPECS = (
-    "sp AS ("
+    Q._UPDATES + f", {_TH}, sp AS ("
     + " UNION ALL ".join(
-        [f"""SELECT 'fixed-threshold' AS family, 'main' AS variant, '{{"threshold":' || t || '}}' AS parameters_json FROM (SELECT unnest({_T}) AS t)"""]
+        [f"""SELECT 'fixed-threshold' AS family, 'main' AS variant, '{{"threshold":' || t || '}}' AS parameters_json FROM (SELECT t FROM th)"""]
         + [
-            f"""SELECT '{family}', 'main', '{{{f'"{name}":' if name < "threshold" else '"threshold":'}' || {"v" if name < "threshold" else "t"} || ',{'"threshold":' if name < "threshold" else f'"{name}":'}' || {"t" if name < "threshold" else "v"} || '}}' FROM (SELECT unnest({_T}) AS t) CROSS JOIN (SELECT unnest({values}) AS v)"""
+            f"""SELECT '{family}', 'main', '{{{f'"{name}":' if name < "threshold" else '"threshold":'}' || {"v" if name < "threshold" else "t"} || ',{'"threshold":' if name < "threshold" else f'"{name}":'}' || {"t" if name < "threshold" else "v"} || '}}' FROM (SELECT t FROM th) CROSS JOIN (SELECT unnest({values}) AS v)"""
             for family, name, values in _PAIRS
         ]
         + ["""SELECT 'oracle-stable', 'analysis-only', '{"threshold":0.5}'"""]
@@ -59,14 +61,14 @@ family, variant, CASE WHEN variant IN ('main', 'analysis-only') THEN family ELSE
 
 @_query("policy_specs", _with(_SPECS, "SELECT * FROM spec"))
 def policy_specs(spark, sf_dir):
-    """All configurations of the published search."""
-    return G.frame(spark, G.expand())
+    """All configurations of the published search whose thresholds part the scores of the conversations."""
+    return G.frame(spark, G.expand(G.observed_axes(stream(spark, sf_dir).obs)))
 
 
 @_query("pilot_specs", _with(_SPECS, "SELECT * FROM spec WHERE family <> 'fixed-threshold' OR parameters_json = '{\"threshold\":0.5}' QUALIFY row_number() OVER (PARTITION BY selection_key ORDER BY policy_id) = 1"))
 def pilot_specs(spark, sf_dir):
     """One configuration of each kind."""
-    return G.frame(spark, G.pilot(G.expand()))
+    return G.frame(spark, G.pilot(G.expand(G.observed_axes(stream(spark, sf_dir).obs))))
 
 
 _MIXED = [("fixed-threshold", (("threshold", 0.7),)), ("fixed-lag", (("lag_words", 4), ("threshold", 0.7))), ("snapshot-patience", (("patience", 2), ("threshold", 0.7))), ("rescore-patience", (("patience", 2), ("threshold", 0.5))), ("ema", (("alpha", 0.5), ("threshold", 0.7))), ("oracle-stable", (("threshold", 0.5),))]
@@ -540,6 +542,66 @@ def bootstrap_rows(spark, sf_dir):
     return out.withColumns({c: F.round(c, 9) for c in ("baseline", "comparison", "difference", "lower", "upper")})
 
 
+# --- locked selection --------------------------------------------------------------------
+
+_HELD_SIZES = ("4", "8")
+_COMPETE = sorted(
+    [_POINT("fixed-threshold", threshold=t) for t in (0.5, 0.7, 0.9)] + [_POINT("fixed-lag", threshold=t, lag_words=n) for t in (0.5, 0.8) for n in (1, 4)] + [_POINT("rescore-patience", threshold=t, patience=1) for t in (0.6, 0.9)] + [_GATE_OF(tau=t) for t in (0.5, 0.8)],
+    key=lambda s: s.policy_id,
+)
+_RULE = {"reference": _COMPETE[0].policy_id if _COMPETE[0].family == "fixed-threshold" else next(s.policy_id for s in _COMPETE if s.family == "fixed-threshold"), "tolerance": 1e-12}
+
+
+def _held_out(spark, sf_dir):
+    """(records by split, chunk size and configuration): sums over commits, and the rates that winners are chosen by."""
+    steps, updates, obs = (df.where(F.substring_index("example_id", ":", 1).isin(*_HELD_SIZES)) for df in _sized(spark, sf_dir))
+    words = U.stream_words(steps)
+    gold = Q.gold_entities(words)
+    key = [F.when(F.substring_index("example_id", ":", -1).cast("long") % 3 == 0, "dev").otherwise("test").alias("split"), F.substring_index("example_id", ":", 1).alias("chunk_words")]
+    rows = X.commit_counts(obs, steps, words, gold, _COMPETE).groupBy(*key, "policy_id").agg(*(F.sum(c).alias(c) for c in ("commits", "correct", "context_words")))
+    return rows.join(gold.groupBy(*key).agg(F.count(F.lit(1)).alias("gold")), ["split", "chunk_words"])
+
+
+def _rates(rows):
+    """Rates of sums over commits and gold."""
+    c = F.col
+    rows = rows.withColumns({"strict_precision": M.ratio(c("correct"), c("commits")), "strict_recall": M.ratio(c("correct"), c("gold")), "mean_context_words": M.ratio(c("context_words"), c("commits"))})
+    rows = rows.withColumn("strict_f1", M.ratio(2 * c("strict_precision") * c("strict_recall"), c("strict_precision") + c("strict_recall")))
+    return rows.withColumn("error_rate", M.ratio(c("commits") - c("correct") + c("gold") - c("correct"), c("commits") + c("gold")))
+
+
+_HELD_SQL = _with(_SPARSE.replace("steps AS (SELECT", "steps AS (SELECT", 1).replace("FROM cz)", "FROM cz WHERE split_part(example_id, ':', 1) IN ('4', '8'))") + ",\nmet AS (" + " UNION ALL ".join(map(_sparse_ready, _COMPETE)) + "),\nready AS (SELECT policy_id || '|' || example_id AS example_id, start_word, end_word, label, step, probability, readiness FROM met), " + Q._COMMITS_BY_ROUNDS + f""",
+words AS (SELECT example_id, word AS word_index, step FROM came), {Q._GOLD.strip(", ").replace("a.start_char, b.end_char, ", "").strip(", ")},
+gs AS (SELECT CASE WHEN CAST(split_part(example_id, ':', 2) AS BIGINT) % 3 = 0 THEN 'dev' ELSE 'test' END AS split, split_part(example_id, ':', 1) AS chunk_words, count(*) AS gold FROM gold GROUP BY ALL),
+cm AS (SELECT split_part(example_id, '|', 1) AS policy_id, split_part(example_id, '|', 2) AS example_id, start_word, end_word, label, step FROM commits),
+co AS MATERIALIZED (SELECT CASE WHEN CAST(split_part(c.example_id, ':', 2) AS BIGINT) % 3 = 0 THEN 'dev' ELSE 'test' END AS split, split_part(c.example_id, ':', 1) AS chunk_words, policy_id, count(*) AS commits, count(g.label) AS correct, sum(s.visible_word_count - 1 - c.end_word) AS context_words
+FROM cm c JOIN steps s ON s.example_id = c.example_id AND s.step = c.step LEFT JOIN (SELECT DISTINCT {_K} FROM gold) g ON g.example_id = c.example_id AND g.start_word = c.start_word AND g.end_word = c.end_word AND g.label = c.label GROUP BY ALL),
+rw AS (SELECT co.*, gold FROM co JOIN gs USING (split, chunk_words) UNION ALL SELECT split, '__all__', policy_id, sum(commits), sum(correct), sum(context_words), sum(gold) FROM co JOIN gs USING (split, chunk_words) WHERE split = 'dev' GROUP BY ALL),
+r1 AS (SELECT *, correct / commits::DOUBLE AS p, correct / gold::DOUBLE AS r, context_words / commits::DOUBLE AS d, (commits - correct + gold - correct) / (commits + gold)::DOUBLE AS e FROM rw),
+r2 AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM r1),
+ks(policy_id, selection_key) AS (VALUES {", ".join(str((s.policy_id, s.selection_key)) for s in _COMPETE)}),
+o AS (SELECT * FROM r2 JOIN ks USING (policy_id) WHERE split = 'dev' AND chunk_words = '__all__'), rf AS (SELECT p AS p0, d AS d0 FROM o WHERE policy_id = '{_RULE["reference"]}'),
+c AS (SELECT * FROM o CROSS JOIN rf WHERE selection_key <> 'fixed-threshold' OR policy_id = '{_RULE["reference"]}'),
+wi AS (SELECT selection_key, 'quality' AS mode, policy_id FROM c QUALIFY row_number() OVER (PARTITION BY selection_key ORDER BY CASE WHEN p + 1e-12 >= p0 THEN 0 ELSE 1 END, d, e, f DESC, policy_id) = 1
+UNION ALL SELECT selection_key, 'latency', policy_id FROM c QUALIFY row_number() OVER (PARTITION BY selection_key ORDER BY CASE WHEN d <= d0 + 1e-12 THEN 0 ELSE 1 END, e, p DESC, d, policy_id) = 1)""",
+"SELECT mode, selection_key, policy_id, chunk_words, commits, round(p, 9) AS strict_precision, round(r, 9) AS strict_recall, round(f, 9) AS strict_f1, round(e, 9) AS error_rate, round(d, 9) AS mean_context_words FROM wi JOIN r2 USING (policy_id) WHERE split = 'test'")
+
+
+@_query("locked_benchmark", _HELD_SQL)
+def locked_benchmark(spark, sf_dir):
+    """Winners of the dev split, locked with what they were chosen from, on the test split by chunk size."""
+    folder = stream_.shared_folder(spark)
+    _held_out(spark, sf_dir).write.parquet(f"{folder}/records")  # read once for the choice, the lock and the test
+    records, competed = spark.read.parquet(f"{folder}/records"), G.frame(spark, _COMPETE)
+    dev, test = records.where("split = 'dev'"), records.where("split = 'test'")
+    pooled = _rates(dev.groupBy("policy_id").agg(*(F.sum(c).alias(c) for c in ("commits", "correct", "context_words", "gold")))).withColumns({"task": F.lit("__overall__"), "gold_premature_rate": F.lit(0.0)})
+    winners = E.matched(pooled, competed, _RULE["reference"], _RULE["tolerance"])
+    locked = H.freeze(spark, f"{folder}/locks", winners, dev, competed, _RULE, split="dev")
+    chosen, specs = H.opened(spark, locked, dev, competed, _RULE, split="dev")
+    rows = _rates(test.where(F.col("policy_id").isin([s.policy_id for s in specs]))).join(F.broadcast(chosen.select("mode", "selection_key", "policy_id")), "policy_id")  # a few winners
+    return rows.select("mode", "selection_key", "policy_id", "chunk_words", "commits", *(F.round(c, 9).alias(c) for c in ("strict_precision", "strict_recall", "strict_f1", "error_rate", "mean_context_words")))
+
+
 _RUN_COLUMNS = ["run_chunk_words", "example_id", "step", "start_word", "end_word", "top_label", "top_probability"]
 
 
