@@ -17,6 +17,7 @@ from ..operators import spans as W
 from ..operators import sweep as X
 from ..operators import updates as U
 from ..sources import examples as K
+from ..sources import jsonl as J
 from ..sources import lock as H
 from ..sources import manifest as N
 from ..sources import runs as D
@@ -602,6 +603,23 @@ def locked_benchmark(spark, sf_dir):
     return rows.select("mode", "selection_key", "policy_id", "chunk_words", "commits", *(F.round(c, 9).alias(c) for c in ("strict_precision", "strict_recall", "strict_f1", "error_rate", "mean_context_words")))
 
 
+_LINE = """'{"uid":"u' || doc_id || '","n":' || n_chars || ',"md5":"' || md5(coalesce(text, '')) || '"}'"""
+
+
+@_query("jsonl_blocks", f"""WITH li AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, {_LINE} AS line FROM documents)
+SELECT row_index // 64 AS block, count(*) AS rows, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, sha256(string_agg(sha256(line), '' ORDER BY row_index)) AS digest, min(line) AS first_line FROM li GROUP BY 1""")
+def jsonl_blocks(spark, sf_dir):
+    """Documents as JSON lines, written in order of their ids to several files and read in byte ranges: digests of blocks of 64 rows, for a source that is verified first."""
+    folder = f"{stream_.shared_folder(spark)}/lines"
+    d = tables.table(spark, sf_dir, "documents")
+    line = F.concat(F.lit('{"uid":"u'), F.col("doc_id").cast("string"), F.lit('","n":'), F.col("n_chars").cast("string"), F.lit(',"md5":"'), F.md5(F.coalesce("text", F.lit(""))), F.lit('"}'))
+    d.select("doc_id", line.alias("value")).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(folder)
+    J.verify(spark, folder, J.facts(spark, folder))
+    lines = J.numbered(spark, folder)
+    first = lines.groupBy(F.expr("row_index div 64").alias("block")).agg(F.min("line").alias("first_line"))
+    return J.blocks(lines, 64).join(first, "block")
+
+
 _RUN_COLUMNS = ["run_chunk_words", "example_id", "step", "start_word", "end_word", "top_label", "top_probability"]
 
 
