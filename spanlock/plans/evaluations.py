@@ -21,6 +21,7 @@ from ..sources import jsonl as J
 from ..sources import lock as H
 from ..sources import manifest as N
 from ..sources import runs as D
+from ..sources import selections as O
 from ..sources import tables
 from ..operators import specs as G
 from ..streaming import commits as stream_
@@ -765,3 +766,20 @@ def selection_faults(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("split", "task_name").orderBy("source_row_index"))
     rows = rows.withColumn("rank", place).where("rank <= 8").withColumn("rank", F.col("rank") + (F.col("task_name") == "web").cast("int"))
     return N.selection_faults(rows.withColumn("again", F.explode(F.when(F.col("source_row_index") % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))), 8)
+
+
+_PICK = "row_number() OVER (PARTITION BY split, task_name ORDER BY sha256('v1:sample:' || task_name || ':' || uid || ':' || source_row_index), source_row_index)"
+
+
+@_query("selected_inputs", f"""WITH {_CORPUS},
+sp AS (SELECT *, CASE WHEN list_reduce(list_transform(string_split(sha256('v1:' || task_name || ':' || parent_id), ''), lambda c: CAST(strpos('0123456789abcdef', c) - 1 AS BIGINT)), lambda a, c: (a * 16 + c) % 100) < 20 THEN 'dev' ELSE 'test' END AS split FROM co),
+rk AS (SELECT *, {_PICK} AS rank FROM sp QUALIFY {_PICK} <= CASE WHEN split = 'dev' THEN 1 ELSE 4 END),
+vo AS (SELECT source AS task_name, array_to_string(list_sort(list_distinct(list(lang))), ',') AS labels FROM documents GROUP BY 1)
+SELECT 'corpus:' || task_name || ':' || source_row_index || ':' || uid AS example_id, task_name, parent_id, split, rank, text, labels FROM rk JOIN vo USING (task_name)""")
+def selected_inputs(spark, sf_dir):
+    """Inputs of traces from a selection of the documents that is drawn, stored, found stored, and loaded."""
+    root, rows, preset = stream_.shared_folder(spark), _corpus(spark, sf_dir), O.Preset("query", 1, 4)
+    for _ in range(2):
+        O.store(spark, root, rows, preset, "v1")
+    words = O.vocabulary(rows.select("task_name", F.col("language").alias("label")))
+    return O.trace_inputs(O.load(spark, root, rows, preset), words).withColumn("labels", F.array_join("labels", ","))
