@@ -187,9 +187,16 @@ def _task():
 def evaluated(spark, sf_dir):
     """Evaluation records and delays of the chosen policies."""
     s = stream(spark, sf_dir)
-    ready = E.counted(G.ready(s.states, CHOSEN)).persist()  # these are used by several parts; lost blocks are worked out again
-    committed = R.commits(ready.drop("rows"), policy=("policy_id",)).persist()
-    snapshots = R.greedy_decode(s.states, 0.9).persist()
+    folder = stream_.shared_folder(spark)
+
+    def kept(df, name: str):
+        """Written where all executors reach it, as several parts use it; nothing stays in memory."""
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    ready = kept(E.counted(G.ready(s.states, CHOSEN)), "ready")
+    committed = kept(R.commits(ready.drop("rows"), policy=("policy_id",)), "committed")
+    snapshots = kept(R.greedy_decode(s.states, 0.9), "snapshots")
     streams = s.steps.groupBy("example_id", _task()).agg(F.max("visible_char_count").alias("text_length"))
     rows = E.example_rows([p.policy_id for p in CHOSEN], streams, Q.spans_in_chars(committed, s.words), ready, s.gold, V.last_snapshot(snapshots, s.steps), M.churn(snapshots, s.steps), V.boundary_revisions(snapshots))
     return rows, _delays(s, committed, snapshots)
