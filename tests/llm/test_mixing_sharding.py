@@ -109,6 +109,43 @@ def test_whole_licence_texts_and_headers_over_lines(spark):
     assert got[6][:3] == ("CC-BY-4.0", 1.0, "header")
 
 
+CODE = "\n".join(f"    total_{i} = read(row_{i}) + offset_{i % 7}" for i in range(60))
+
+
+def commented(text: str, n: int, sign: str) -> str:
+    parts = text.split()
+    return "\n".join(f"{sign} " + " ".join(parts[i : i + n]) for i in range(0, len(parts), n))
+
+
+def test_every_licence_is_named_by_its_own_header_and_text(spark):
+    """Alone, wrapped in a comment above code, and below another comment: no near relative is named."""
+    rows, want = [], {}
+    for i, name, text in licenses.TEMPLATES:
+        forms = [text, commented(text, 11, "#") + "\n\n" + CODE, f"# Copyright 2021 Ann Example\n#\n{commented(text, 9, ' *')}\n{CODE}", CODE + "\n" + commented(text, 13, "//")]
+        for j, form in enumerate(forms):
+            rows.append((10 * i + j, form, f"d{i}/{j}/f"))
+            want[10 * i + j] = name
+    rows += [(100_000 + i, CODE, f"z/{i}") for i in range(200)]
+    got = scanned(spark, rows)
+    assert {k: got[k][0] for k in want} == want
+    assert all(got[k] == (None, None, "none", None) for k in got if k >= 100_000)
+
+
+def test_relatives_that_are_not_listed_are_not_named(spark):
+    text = {n: t for _, n, t in licenses.TEMPLATES[len(licenses.STATEMENTS) :]}
+    others = [
+        text["LGPL-3.0"].replace("either version 3", "either version 2.1"),
+        text["LGPL-3.0"].replace("Lesser", "Library").replace("either version 3", "either version 2"),
+        text["GPL-2.0"].replace("either version 2", "either version 1"),
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+        text["BSD-3-Clause"].replace("3. Neither", "3. All advertising materials mentioning features or use of this software must display an acknowledgement. 4. Neither"),
+    ]
+    rows = [(i, t, f"d{i}/f") for i, t in enumerate(others)] + [(1000 + i, CODE, f"z/{i}") for i in range(100)]
+    got = scanned(spark, rows)
+    assert {i: got[i][0] for i in range(len(others))} == dict.fromkeys(range(len(others)))
+
+
 def test_licences_odd(spark, odd):
     out = licenses.scan(odd, path=F.col("source"))
     assert out.count() == 10 and set(odd.columns) < set(out.columns) and out.columns.count("path") == 1
