@@ -8,8 +8,8 @@ are vectors of word counts times idf, where document frequencies count the piece
 corpus; a word that no template or rule has counts as a term of its own with the largest idf. A unit
 declares the licence of the template with the highest cosine, if that is at least ``threshold``.
 Close relatives share nearly all their words, so a licence of ``TELLING`` is only declared by a unit that has the
-words which tell it from its family, and none that tell another one: a header of a version or
-variant that is not listed is none, not its neighbour.
+words which tell it from its family, and none that tell another one, and by no part of such a unit of higher
+cosine: a header of a version or variant that is not listed is none, not its neighbour.
 Only units that hold an anchor word are compared: anchors are chosen so that the remaining words of
 each template are too light a part of it to reach the threshold, so nothing is lost.
 
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -152,8 +152,8 @@ TEMPLATES = [(i, *t) for i, t in enumerate([*STATEMENTS, *TEXTS])]
 TELLING: dict[str, tuple[list[set[str]], set[str]]] = {
     "AGPL-3.0": ([{"affero", "agpl"}, {"3", "3.0"}], set()),
     "Apache-2.0": ([{"apache"}, {"2", "2.0"}], set()),
-    "BSD-2-Clause": ([{"2"}], {"endorse", "advertising"}),
-    "BSD-3-Clause": ([{"3", "endorse"}], {"advertising"}),
+    "BSD-2-Clause": ([{"2"}, {"clause", "redistributions"}], {"endorse", "advertising"}),
+    "BSD-3-Clause": ([{"3", "endorse"}, {"clause", "endorse"}], {"advertising"}),
     "CC-BY-4.0": ([{"by", "attribution"}, {"4.0"}], {"sharealike", "sa", "noncommercial", "nc", "noderivatives", "nd"}),
     "CC-BY-NC-4.0": ([{"noncommercial", "nc"}, {"4.0"}], {"sharealike", "sa", "noderivatives", "nd"}),
     "CC-BY-SA-4.0": ([{"sharealike", "sa"}, {"4.0"}], {"noncommercial", "nc", "noderivatives", "nd"}),
@@ -162,7 +162,7 @@ TELLING: dict[str, tuple[list[set[str]], set[str]]] = {
     "LGPL-3.0": ([{"lesser", "lgpl"}, {"3", "3.0"}], {"affero", "agpl"}),
     "MPL-2.0": ([{"mozilla", "mpl"}, {"2", "2.0"}], set()),
 }
-#: (licence, word, bit): a unit declares a licence if the bits of its words are exactly those of the licence's groups.
+#: (licence, word, bit): a unit declares a licence if the bits of its words are exactly those of the licence's groups; a higher bit denies it.
 RULES = [(lic, w, 1 << i) for lic, (groups, against) in TELLING.items() for i, group in enumerate([*groups, against]) for w in sorted(group)]
 NEEDS = {lic: (1 << len(groups)) - 1 for lic, (groups, _) in TELLING.items()}
 #: Lengths of runs that begin at every piece, and of those that begin at every half of their length.
@@ -251,9 +251,11 @@ def headers(files: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHO
     terms = terms.groupBy(*unit, "of", "n", "word", "idf").agg(F.count(F.lit(1)).alias("tf"))
     norms = terms.groupBy(*unit).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2) + (F.first("n") - F.sum("tf")) * unseen**2).alias("norm"), (F.first("n") / F.first("of")).alias("part"))
     dots = terms.join(vectors, "word").groupBy(*unit, "template", "license").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"), F.bit_or("bits").alias("bits"), F.first("needs").alias("needs"))
-    found = dots.where("bits = needs").join(norms, unit).select(*unit, "part", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
-    best = F.min_by(F.struct("license", "cosine", "part"), F.struct(-F.col("cosine"), F.col("license")))
-    return found.where(F.col("cosine") >= threshold).groupBy(*unit).agg(best.alias("b")).select(*unit, "b.part", "b.license", "b.cosine")
+    found = dots.join(norms, unit).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= threshold)
+    denied = F.max(F.when(F.col("bits") > F.col("needs"), F.col("cosine"))).over(Window.partitionBy("key", "license"))  # the units of one text
+    found = found.select(*unit, "part", "license", "cosine", ((F.col("bits") == F.col("needs")) & (F.col("cosine") >= F.coalesce(denied, F.lit(0.0)))).alias("told"))
+    best = F.min_by(F.struct("license", "cosine", "part", "told"), F.struct(-F.col("cosine"), F.col("license")))
+    return found.groupBy(*unit).agg(best.alias("b")).where("b.told").select(*unit, "b.part", "b.license", "b.cosine")
 
 
 def scan(files: DataFrame, *, path: Column, licence_file: Column | None = None, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -320,10 +322,11 @@ lw AS (SELECT path, line, run, len(words) AS n, unnest(words) AS word FROM u),
 tf AS (SELECT path, line, run, n, word, count(*) AS tf FROM lw WHERE word IN (SELECT word FROM tt) GROUP BY ALL),
 tv AS (SELECT template, license, word, bits, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (word)),
 norms AS (SELECT path, line, run, any_value(n) AS n, sqrt(sum((tf * idf) ** 2) + (any_value(n) - sum(tf)) * any_value(unseen) ** 2) AS norm FROM tf JOIN idf USING (word) GROUP BY path, line, run),
-dots AS (SELECT path, line, run, template, license, sum(tf * idf * weight) AS dot FROM tf JOIN idf USING (word) JOIN tv USING (word) LEFT JOIN needs USING (license)
-         GROUP BY path, line, run, template, license HAVING bit_or(bits) = coalesce(any_value(needs), 0)),
-found AS (SELECT path, line, run, n, license, round(dot / norm, 6) AS cosine FROM dots JOIN norms USING (path, line, run) WHERE round(dot / norm, 6) >= 0.6
-          QUALIFY row_number() OVER (PARTITION BY path, line, run ORDER BY round(dot / norm, 6) DESC, license) = 1),
+dots AS (SELECT path, line, run, template, license, sum(tf * idf * weight) AS dot, bit_or(bits) AS bits, coalesce(any_value(needs), 0) AS needs
+         FROM tf JOIN idf USING (word) JOIN tv USING (word) LEFT JOIN needs USING (license) GROUP BY path, line, run, template, license),
+near AS (SELECT path, line, run, n, license, bits, needs, round(dot / norm, 6) AS cosine FROM dots JOIN norms USING (path, line, run) WHERE round(dot / norm, 6) >= 0.6),
+told AS (SELECT *, bits = needs AND cosine >= coalesce(max(cosine) FILTER (bits > needs) OVER (PARTITION BY path, license), 0) AS told FROM near),
+found AS (SELECT * FROM (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY path, line, run ORDER BY cosine DESC, license) = 1) WHERE told),
 own AS (SELECT path, license, cosine, n / total_words AS part FROM found JOIN whole USING (path) QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, run, line) = 1),
 per_dir AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, license, cosine FROM own WHERE part >= 0.5
             QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path) = 1),

@@ -141,7 +141,8 @@ def test_relatives_that_are_not_listed_are_not_named(spark):
         "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
         text["BSD-3-Clause"].replace("3. Neither", "3. All advertising materials mentioning features or use of this software must display an acknowledgement. 4. Neither"),
     ]
-    rows = [(i, t, f"d{i}/f") for i, t in enumerate(others)] + [(1000 + i, CODE, f"z/{i}") for i in range(100)]
+    prose = "It is the work of all who came to the house and said that this is free for you or any of us, in the way that it was to be."
+    rows = [(i, t, f"d{i}/f") for i, t in enumerate(others)] + [(1000 + i, f"{CODE}\n{prose}\n{prose}", f"z/{i}") for i in range(100)]
     got = scanned(spark, rows)
     assert {i: got[i][0] for i in range(len(others))} == dict.fromkeys(range(len(others)))
 
