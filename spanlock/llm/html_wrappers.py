@@ -6,7 +6,7 @@ host begins as one page and is aligned with the stream of the next, again and ag
 that both have are matched by a longest common subsequence; a token that only one side has
 is optional; a sibling that comes again in the same parent closes a square, and the siblings
 from its first place on are a repeated group; a text is a slot. A wrapper keeps one branch for each kind of
-token (its path of element names and classes), so its size follows a host's templates, not its pages.
+token (its path of element names and plain classes): its size follows a host's templates, and grows with its pages only where they make up class names.
 
 The wrapper decides which texts are the article:
 
@@ -15,13 +15,14 @@ The wrapper decides which texts are the article:
   rows of (host, slot, text), and a text must come from two unlike pages, so that copies of a page are no template.
   Inside article or main, paragraphs, headings and the like are never literals.
 * menus: a repeated group outside article and main whose text is links, on all pages together, is a menu.
-* inside: where a page fills slots inside article or main, other slots are left out.
+* inside: where a page fills slots inside main, other slots are left out, articles outside of it too (they are teasers);
+  else, where it fills slots inside article, the others are.
 * names: menus, headers, footers, sidebars, notices, adverts, forms and comments that say what
   they are, by element, class, id or role, are left out.
 
 Every page takes part: tasks fold their pages into one wrapper per host, and these meet in
 salted groups before they meet per host, so a host with a third of all pages is no longer
-than others.
+than others. What decides are sums and unions over pages, so neither their order nor their partitions change a text.
 
 Defined cases: null html is empty and gives empty text; null and odd urls are together one
 host; repeated rows are repeated pages and read alike; an empty table gives an empty result; extra
@@ -48,7 +49,7 @@ from .common import cut, join_small, table
 #: Block elements. All others, unknown ones too, are part of the text around them.
 BLOCK = frozenset(
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav"
-    " ol optgroup option p pre search section summary table caption colgroup tbody td tfoot th thead tr ul template svg math object select button datalist canvas audio video".split()
+    " ol optgroup option p pre search section summary table caption colgroup tbody td tfoot th thead tr ul template svg math object select button label datalist canvas audio video".split()
 )
 #: Elements whose content is raw text up to their end tag, never text of the page.
 RAW = frozenset("script style title textarea iframe noscript noembed noframes xmp".split())
@@ -57,14 +58,14 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 #: Block elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Elements that are not the article. A header inside the article is part of it.
-BOILERPLATE = frozenset("head nav footer aside dialog menu template svg math object select button datalist canvas audio video".split())
+BOILERPLATE = frozenset("head nav footer aside dialog menu template svg math object select button label datalist canvas audio video".split())
 #: Words of class, id or role of what is not the article, and words that say only where or how it is set.
 NAMED = frozenset(
     "ad ads adsbygoogle advert adverts advertisement advertisements advertising alert alerts banner banners breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies"
-    " copyright dialog disclaimer disqus footer footers form gdpr header headers hidden login masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications pagination pager popup"
+    " copyright dialog disclaimer disqus footer footers form gdpr header headers hidden login masthead menu menus modal nav navbar navigation topnav subnav sidenav bottomnav newsletter notice notices notification notifications pagination pager popup"
     " promo promos promoted promotion promotions recommended related replies reply responses search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
-PLACED = frozenset("left right top bottom upper lower main site page global primary secondary box area container wrapper wrap block section list links link inner outer bar item items unit slot buttons icons posts articles stories panel column col row text title content group region zone space size small large mobile desktop".split())
+PLACED = frozenset("visually left right top bottom upper lower main site page global primary secondary box area container wrapper wrap block section list links link inner outer bar item items unit slot buttons icons posts articles stories panel column col row text title content group region zone space size small large mobile desktop".split())
 #: As the last word of a name these say what it is whatever stands before.
 ALWAYS = frozenset("footer sidebar nav navbar navigation menu breadcrumb breadcrumbs comments commentlist advert advertisement pagination newsletter".split())
 #: Fixed text of this many pages, and of this share of the pages with its slot, is part of the template.
@@ -78,7 +79,7 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?+
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 
 #: What is known of an element by its own and its ancestors' names.
-NAMED_OUT, IN_FORM, INSIDE = 1, 2, 4
+NAMED_OUT, IN_FORM, INSIDE, IN_MAIN = 1, 2, 4, 8
 
 
 def _says_boilerplate(name: str) -> bool:
@@ -249,7 +250,7 @@ def tokens(page: str) -> Stream:
         name, left_out = _names(tag, m[3])
         flags = stack[-1].flags
         if tag in ("article", "main") and not flags & NAMED_OUT:
-            flags = INSIDE  # also where a form is around the whole page
+            flags = INSIDE | (IN_MAIN if tag == "main" else flags & IN_MAIN)  # also where a form is around the whole page
         if tag == "header" and not flags & INSIDE:
             left_out = True
         if tag == "form":
@@ -447,26 +448,29 @@ def infer_wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
 
 
 def menus(w: dict) -> list[int]:
-    """Slots of repeated groups outside article and main whose text is links."""
-    repeated: dict[int, bool] = {}
-    out = []
-    for t in w["order"]:  # parents come before their children
-        parent, name, flags, pages, chars, linked, group = w["kinds"][t]
-        repeated[t] = bool(group) or repeated.get(parent, False)
-        if name == "#" and repeated[t] and not flags & INSIDE and chars and linked >= MENU_SHARE * chars:
-            out.append(t)
+    """Slots of repeated groups outside article and main whose text is links; the order in which pages were aligned does not matter."""
+    kinds = w["kinds"]
+    repeated: dict[int, bool] = {0: False}
+    for t in kinds:
+        path = []
+        while t not in repeated:
+            path.append(t)
+            t = kinds[t][0]
+        for t in reversed(path):  # from the top down: what is in a repeated group is repeated
+            repeated[t] = bool(kinds[t][6]) or repeated[kinds[t][0]]
+    out = (t for t, (_, name, flags, _, chars, linked, _) in kinds.items() if name == "#" and repeated[t] and not flags & INSIDE and chars and linked >= MENU_SHARE * chars)
     return sorted(out)
 
 
 def article(page: str, links: frozenset[int], literals: frozenset[int]) -> str:
     """The article of a page, read with the menus and literals of a wrapper."""
-    inside, outside = [], []
+    main, inside, outside = [], [], []
     for slot, text, _ in (stream := tokens(page)).texts:
         flags = stream.kinds[slot][2]
         if flags & (NAMED_OUT | IN_FORM) or slot in links or _digest(slot, text) in literals:
             continue
-        (inside if flags & INSIDE else outside).append(text)
-    return " ".join(inside or outside)
+        (main if flags & IN_MAIN else inside if flags & INSIDE else outside).append(text)
+    return " ".join(main or inside or outside)
 
 
 def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import html
+import itertools
+import random
 import re
 import time
 
@@ -89,6 +91,35 @@ def test_inside_and_outside_are_decided_for_each_page(spark):
     assert read(spark, rows) == {1: "in", 2: "plain", 3: "odd"}
 
 
+def test_the_order_of_pages_does_not_matter(spark):
+    """Wrappers aligned in any order, and pages in any order and partitions, give the same texts."""
+    a = "<div class=x><p>{t}</p></div><div class=p></div>"
+    b = "<div class=p><div class=q><a href=1>Politics {n}</a></div></div><div class=p><div class=q><a href=2>Economy {n}</a></div></div><div class=x><p>{t}</p></div>"
+    c = "<div class=p><div class=q><a href=1>Sports {n}</a></div></div><div class=z><p>Also {n}</p></div><div class=x><p>{t}</p></div>"
+    shapes = [a.format(t="Article one"), b.format(t="Article two", n=1), c.format(t="Article three", n=2)]
+    results = set()
+    for order in itertools.permutations(shapes):
+        w = html_wrappers.wrapper_of(html_wrappers.tokens(order[0]))
+        for page in order[1:]:
+            w = html_wrappers.align(w, html_wrappers.wrapper_of(html_wrappers.tokens(page)))
+        links = frozenset(html_wrappers.menus(w))
+        results.add(tuple(html_wrappers.article(page, links, frozenset()) for page in shapes))
+    assert results == {("Article one", "Article two", "Also 2 Article three")}
+    rows = [(n, "http://h.example/", [a, b, c][n % 3].format(t=f"Article {n}", n=n), "x", "x", "x") for n in range(90)]
+    want = {n: (f"Also {n} " if n % 3 == 2 else "") + f"Article {n}" for n in range(90)}
+    for seed, parts in ((1, 1), (2, 5), (3, 16)):
+        mixed = random.Random(seed).sample(rows, len(rows))
+        df = pages(spark, mixed).repartition(parts)
+        assert {r["page_id"]: r["text"] for r in html_wrappers.extract(df, html_wrappers.infer_wrappers(df)).collect()} == want
+
+
+def test_articles_outside_main_are_teasers():
+    assert alone("<main><p>m</p></main><div class=more><article><p>teaser</p></article></div>") == "m"
+    assert alone("<main><article><h1>t</h1><p>m</p></article></main><article><p>teaser</p></article>") == "t m"
+    assert alone("<main><nav>n</nav></main><article><p>a</p></article>") == "a"
+    assert alone("<label>name</label><p class=visually-hidden>b</p><div class=topnav>c</div><p>x</p>") == "x"
+
+
 def test_names_of_what_is_not_the_article():
     drops = ["sidebar", "sidebar-left", "site-footer", "ad-728x90", "ad", "cookie-banner", "share_buttons", "a1 b1 c1 d1 e1 f1 g1 h1 i1 sidebar", "related-posts", "comments-area"]
     keeps = ["share-price", "header-image-story", "advice", "content", "has-sidebar", "news-alert-story", "adventure", "commentary"]
