@@ -81,13 +81,20 @@ def stability_gate(features: DataFrame, threshold: float, *, min_rescores: int =
     return _ready(features.where(ok))
 
 
-def oracle_stable(states: DataFrame, threshold: float) -> DataFrame:
-    """Looks ahead (for analysis only): ready from the first step after which the candidate never falls below."""
+def oracle_stable(states: DataFrame, threshold: float, *, look_ahead: bool = False) -> DataFrame:
+    """Looks ahead: ready from the first step after which the candidate never falls below. For analysis only, so the caller must allow it."""
+    allow_look_ahead(["oracle_stable"], look_ahead)
     key = Window.partitionBy(*KEY)
     low = F.max(F.when(F.col("probability") < threshold, F.col("step"))).over(key)
     return _ready(states.withColumn("low", low).where("low is null or step > low"))
 
 
+def allow_look_ahead(names: list[str], allowed: bool) -> None:
+    """An error if policies that know later scores are named and the caller did not allow them."""
+    if names and not allowed:
+        raise ValueError(f"policies that look ahead are for analysis only (look_ahead=True): {names}")
+
+
 def first_ready(ready: DataFrame, policy: tuple[str, ...] = ()) -> DataFrame:
     """A candidate's first ready row; later ones cannot commit it (see ``resolve``). ``policy`` names columns that tell policies apart."""
     return ready.groupBy(*policy, *KEY).agg(F.min_by(F.struct("step", "probability", "readiness"), "step").alias("r")).select(*policy, *KEY, "r.*")

@@ -15,7 +15,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .policies import KEY, gate_features
+from .policies import KEY, allow_look_ahead, gate_features
 
 _THRESHOLDS = [round(0.05 * i, 2) for i in range(2, 20)]
 #: The axes of the published search, family by family.
@@ -152,8 +152,9 @@ def features(states: DataFrame, specs: list[Spec]) -> DataFrame:
     return out.select(*KEY, "lows", "r.s.*", "r.runs", "r.averages")
 
 
-def ready(states: DataFrame, specs: list[Spec]) -> DataFrame:
-    """(policy_id, key, step, probability, readiness): the ready rows of all configurations."""
+def ready(states: DataFrame, specs: list[Spec], *, look_ahead: bool = False) -> DataFrame:
+    """(policy_id, key, step, probability, readiness): the ready rows of all configurations; those for analysis only must be allowed."""
+    allow_look_ahead([s.policy_id for s in specs if s.analysis_only], look_ahead)
     rows = features(states, specs)
     at = {family: {v: i for i, v in enumerate(_axis(specs, family, name))} for family, name in (("snapshot-patience", "threshold"), ("ema", "alpha"), ("oracle-stable", "threshold"))}
     p, found = F.col("probability"), []

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .policies import KEY, gate_features
+from .policies import KEY, allow_look_ahead, gate_features
 from .specs import Spec
 
 COUNTS = "example_id {kind}, policy_id string, commits long, correct long, steps long, context_words long"
@@ -191,11 +191,12 @@ def _resolve(left: pa.Table, right: pa.Table, *, families: dict[str, tuple[list[
     return pa.table([pa.array(v, t) for v, t in zip(columns, types)], names=["example_id", "policy_id", "commits", "correct", "steps", "context_words"])
 
 
-def commit_counts(obs: DataFrame, steps: DataFrame, words: DataFrame, gold: DataFrame, specs: list[Spec]) -> DataFrame:
+def commit_counts(obs: DataFrame, steps: DataFrame, words: DataFrame, gold: DataFrame, specs: list[Spec], *, look_ahead: bool = False) -> DataFrame:
     """(example_id, policy_id, commits, correct, steps, context_words): sums over the commits of each stream and configuration that has any.
 
     correct: commits that are gold entities; steps and context_words: when they are made, and how many words behind the span are visible then.
     """
+    allow_look_ahead([s.policy_id for s in specs if s.analysis_only], look_ahead)
     families: dict[str, tuple[list[str], list[dict]]] = {}
     for s in specs:
         ids, q = families.setdefault(s.family, ([], []))

@@ -90,7 +90,7 @@ UNION ALL SELECT '{_ID["oracle-stable"]}', *, probability FROM feat WHERE low IS
 ready AS (SELECT policy_id || '|' || example_id AS example_id, start_word, end_word, label, step, probability, readiness FROM met), """, Q._GRID_COMMITS))
 def commits_mixed_grid(spark, sf_dir):
     """Configurations of six families in one pass."""
-    return R.commits(G.ready(stream(spark, sf_dir).states, MIXED), policy=("policy_id",))
+    return R.commits(G.ready(stream(spark, sf_dir).states, MIXED, look_ahead=True), policy=("policy_id",))
 
 
 PILOT = G.pilot(G.expand())
@@ -134,7 +134,7 @@ ready AS (SELECT policy_id || '|' || example_id AS example_id, start_word, end_w
 LEFT JOIN (SELECT split_part(example_id, '|', 1) AS policy_id, step FROM commits) USING (policy_id) GROUP BY 1"""))
 def pilot_commit_counts(spark, sf_dir):
     """Commits of one configuration of each kind, all in one pass, with zeros for one that commits nothing."""
-    rows = P.first_ready(G.ready(stream(spark, sf_dir).states, PILOT), ("policy_id",))
+    rows = P.first_ready(G.ready(stream(spark, sf_dir).states, PILOT, look_ahead=True), ("policy_id",))
     counts = R.commits(rows, policy=("policy_id",)).groupBy("policy_id").agg(F.count(F.lit(1)).alias("commits"), F.sum("step").alias("steps"))
     return G.frame(spark, PILOT).select("policy_id").join(counts, "policy_id", "left").na.fill(0)
 
@@ -490,7 +490,7 @@ def grid_commit_counts(spark, sf_dir):
     """All configurations of the published search in chunks of 1, 2, 4 and 8 words: commits, how many are gold, when they are made, and how far behind."""
     steps, _, obs = _sized(spark, sf_dir)
     words = U.stream_words(steps)
-    counts = X.commit_counts(obs, steps, words, Q.gold_entities(words), G.expand())
+    counts = X.commit_counts(obs, steps, words, Q.gold_entities(words), G.expand(), look_ahead=True)
     counts = counts.withColumn("chunk_words", F.substring_index("example_id", ":", 1))
     return X.totals(counts, G.frame(spark, G.expand()), "chunk_words", [str(n) for n in SIZES])
 

@@ -80,7 +80,7 @@ def _ready(s: Stream, policy: str) -> DataFrame:
         return P.stability_gate(P.gate_features(s.states), 0.6, epsilon=0.5, min_margin=0.1, max_extension=0.3)
     if policy == "edge_buffer":
         return B.edge_buffer(s.states, TAU, 2)
-    return P.oracle_stable(s.states, TAU)
+    return P.oracle_stable(s.states, TAU, look_ahead=True)
 
 
 def _first(s: Stream, policy: str) -> DataFrame:

@@ -14,6 +14,7 @@ from spanlock.operators import metrics as M
 from spanlock.operators import policies as P
 from spanlock.operators import resolve as R
 from spanlock.operators import selection as S
+from spanlock.operators import sweep as X
 
 STATE = "example_id long, start_word long, end_word long, label string, step long, probability double, rescore_count long, was_rescored boolean, tail_distance_words long"
 
@@ -74,8 +75,18 @@ def test_ema_is_the_recurrence(spark):
     assert rows[4] == pytest.approx(0.725)
 
 
+def test_a_policy_that_looks_ahead_must_be_allowed(spark):
+    from spanlock.operators import specs as G
+
+    s = states(spark, [0.9, 0.5, 0.9])
+    ahead = [x for x in G.expand() if x.analysis_only]
+    for call in (lambda: P.oracle_stable(s, 0.8), lambda: G.ready(s, ahead), lambda: X.commit_counts(s, s, s, s, ahead)):
+        with pytest.raises(ValueError, match="look ahead"):
+            call()
+
+
 def test_oracle_needs_no_later_fall(spark):
-    assert steps_of(P.oracle_stable(states(spark, [0.9, 0.5, 0.9, 0.9]), 0.8)) == [3, 4]
+    assert steps_of(P.oracle_stable(states(spark, [0.9, 0.5, 0.9, 0.9]), 0.8, look_ahead=True)) == [3, 4]
 
 
 def test_commits_are_permanent_and_flat(spark):
@@ -134,7 +145,7 @@ def test_the_grid_is_each_policy_by_itself(spark, sf_dir):
     chosen = [x for i, x in enumerate(G.expand()) if i % 97 == 0] + G.pilot(G.expand())
     chosen = list({x.policy_id: x for x in chosen}.values())
     got = {}
-    for r in P.first_ready(G.ready(s, chosen), ("policy_id",)).collect():
+    for r in P.first_ready(G.ready(s, chosen, look_ahead=True), ("policy_id",)).collect():
         got.setdefault(r["policy_id"], {})[tuple(r[k] for k in P.KEY)] = (r["step"], round(r["readiness"], 9))
     for x in chosen:
         q = dict(x.parameters)
@@ -144,7 +155,7 @@ def test_the_grid_is_each_policy_by_itself(spark, sf_dir):
             "snapshot-patience": lambda: P.snapshot_patience(s, q["threshold"], q["patience"]),
             "rescore-patience": lambda: P.rescore_patience(s, q["threshold"], q["patience"]),
             "ema": lambda: P.ema(s, q["threshold"], q["alpha"]),
-            "oracle-stable": lambda: P.oracle_stable(s, q["threshold"]),
+            "oracle-stable": lambda: P.oracle_stable(s, q["threshold"], look_ahead=True),
             "stability-gate": lambda: P.stability_gate(
                 P.gate_features(s),
                 q["tau"],

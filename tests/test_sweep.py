@@ -30,7 +30,7 @@ def sized(spark):
 def plain(sized, specs):
     """Counts by the dense states, ready rows and the fold over them."""
     steps, obs, _, gold = sized
-    ready = P.first_ready(G.ready(U.candidate_states(obs, steps), specs), ("policy_id",))
+    ready = P.first_ready(G.ready(U.candidate_states(obs, steps), specs, look_ahead=True), ("policy_id",))
     committed = R.commits(ready, policy=("policy_id",)).join(gold.select(*P.KEY).distinct().withColumn("hit", F.lit(1)), P.KEY, "left").join(steps.select("example_id", "step", "visible_word_count"), ["example_id", "step"])
     rows = committed.groupBy("example_id", "policy_id").agg(F.count(F.lit(1)), F.count("hit"), F.sum("step"), F.sum(F.col("visible_word_count") - 1 - F.col("end_word")))
     return {tuple(r) for r in rows.collect()}
@@ -38,7 +38,7 @@ def plain(sized, specs):
 
 def sweep(sized, specs):
     steps, obs, words, gold = sized
-    return {tuple(r) for r in X.commit_counts(obs, steps, words, gold, specs).collect()}
+    return {tuple(r) for r in X.commit_counts(obs, steps, words, gold, specs, look_ahead=True).collect()}
 
 
 @pytest.mark.parametrize("family", sorted(G.AXES))
@@ -51,7 +51,7 @@ def test_all_configurations_of_a_family(sized, family):
 def test_a_configuration_without_commits_is_a_row_of_zeros(spark, sized):
     specs = [G.Spec("fixed-threshold", "main", (("threshold", t),)) for t in (0.5, 2.0)]
     steps, obs, words, gold = sized
-    counts = X.commit_counts(obs, steps, words, gold, specs).withColumn("size", F.substring_index("example_id", ":", 1))
+    counts = X.commit_counts(obs, steps, words, gold, specs, look_ahead=True).withColumn("size", F.substring_index("example_id", ":", 1))
     rows = X.totals(counts, G.frame(spark, specs), "size", ["1", "2", "4", "8"]).collect()
     assert len(rows) == 8 and {r["commits"] > 0 for r in rows if r["policy_id"] == specs[0].policy_id} == {True}
     assert {(r["commits"], r["correct"], r["steps"], r["context_words"]) for r in rows if r["policy_id"] == specs[1].policy_id} == {(0, 0, 0, 0)}
