@@ -74,8 +74,8 @@ def _fill(sources: DataFrame, budget: int | None, max_repeats: int) -> DataFrame
 
 def _time_of(words: Column) -> Column:
     """Training time at which a source's demand reaches ``words`` words: demand inverted."""
-    demand = words / F.col("target") * F.col("weight")
-    piece = F.element_at(F.filter("pieces", lambda p: p["a0"] <= demand), -1)
+    demand = words / F.col("target") * F.col("__weight")
+    piece = F.element_at(F.filter("__pieces", lambda p: p["a0"] <= demand), -1)
 
     def invert(p: Column) -> Column:
         area = F.greatest(demand - p["a0"], F.lit(0.0))
@@ -116,7 +116,7 @@ def plan_mix(docs: DataFrame, schedule=cyclic_schedule, *, budget: int | None =
     sources = running_totals(rows.groupBy("__key").agg(F.sum("size").alias("source_size"), F.lit(1).alias("one")), [F.col("__key")], {"rank": "one"}).drop("one")
     sources = cut(sources)
     sources = sources.join(_demand(schedule(sources)), "__key")
-    sources = cut(_fill(sources, budget, max_repeats).select("__key", "source_size", "target", "weight", "pieces", F.greatest(F.ceil(F.col("source_size") / bucket_words), F.lit(1)).alias("__buckets")))
+    sources = cut(_fill(sources, budget, max_repeats).select("__key", "source_size", "target", F.col("weight").alias("__weight"), F.col("pieces").alias("__pieces"), F.greatest(F.ceil(F.col("source_size") / bucket_words), F.lit(1)).alias("__buckets")))
 
     rows = join_small(rows, sources, ["__key"])
     bucket = F.floor(F.conv(F.substring("__order", 1, 8), 16, 10).cast("double") / 2.0**32 * F.col("__buckets"))
@@ -151,12 +151,15 @@ def mix(docs: DataFrame, schedule=cyclic_schedule, **options) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed to weights 1, 2, 3, repeating, in training order."""
+    """All documents mixed to weights 1, 2, 3, repeating, in training order.
+
+    Also returns copies (how often the mix takes the document) and position (the time of the first copy; null if none).
+    """
     docs = table(spark, sf_dir, "documents")
     thin = cut(docs.select("doc_id", "source", words_of().alias("words"), seeded_order().alias("order")))  # texts are read once and never travel
     rows = plan_mix(thin, size=F.col("words"), order=F.col("order"))
-    first = F.try_element_at("positions", F.lit(1))
-    return rows.orderBy(first, "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+    rows = rows.select("doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("copies"), F.try_element_at("positions", F.lit(1)).alias("position"))
+    return rows.orderBy("position", "doc_id")
 
 
 OP1_SQL = r"""
@@ -175,14 +178,19 @@ s4 AS (SELECT *, CAST(coalesce(sum(cap) OVER b, 0) AS BIGINT) AS caps, coalesce(
 s5 AS (SELECT *, full_at < CAST(words - caps AS DOUBLE) / (ws - weights) AS is_full FROM s4),
 s6 AS (SELECT *, CAST(words - coalesce((SELECT sum(cap) FROM s5 WHERE is_full), 0) AS DOUBLE)
                  / (SELECT sum(w) FROM s5 WHERE NOT is_full) AS level FROM s5),
-s7 AS (SELECT *, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE w * level END AS target,
-              rank // 3 % 3 AS shape FROM s6),
-p0 AS (SELECT doc_id, size, source_size, target, shape, CAST(round(target) AS BIGINT) AS wanted,
+s7 AS (SELECT *, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE w * level END AS target FROM s6),
+shapes (shape, from_factor, to_factor) AS (VALUES (0, 0.5::DOUBLE, 1.5::DOUBLE), (1, 1::DOUBLE, 1::DOUBLE), (2, 1.5::DOUBLE, 0.5::DOUBLE)),
+s8 AS (SELECT s7.*, w * from_factor AS begins, w * to_factor - w * from_factor AS slope FROM s7 JOIN shapes ON rank // 3 % 3 = shape),
+p0 AS (SELECT doc_id, size, source_size, target, w, begins, slope, CAST(round(target) AS BIGINT) AS wanted,
               CAST(coalesce(sum(size) OVER (PARTITION BY d.k ORDER BY o, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-       FROM d JOIN s7 USING (k)),
+       FROM d JOIN s8 USING (k)),
 p1 AS (SELECT *, CASE WHEN source_size > 0 THEN wanted // source_size ELSE 0 END AS passes FROM p0),
-p2 AS (SELECT *, wanted - passes * source_size AS rest FROM p1)
+p2 AS (SELECT *, wanted - passes * source_size AS rest FROM p1),
+p3 AS (SELECT *, CAST(passes + CASE WHEN start < rest THEN 1 ELSE 0 END AS BIGINT) AS copies,
+              greatest((start + CAST(size AS DOUBLE) / 2) / target * w, 0::DOUBLE) AS demand FROM p2),
+p4 AS (SELECT *, begins + sqrt(greatest(begins * begins + slope * demand * 2, 0::DOUBLE)) AS root FROM p3)
 SELECT doc_id, size, source_size, target,
-       CAST(passes * size + greatest(0, least(size, rest - start)) AS BIGINT) AS taken
-FROM p2
+       CAST(passes * size + greatest(0, least(size, rest - start)) AS BIGINT) AS taken, copies,
+       CASE WHEN copies > 0 THEN least(1::DOUBLE, CASE WHEN root > 0 THEN demand * 2 / root ELSE 0 END) END AS position
+FROM p4
 """

@@ -5,7 +5,10 @@ from __future__ import annotations
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, bucket string, slot string, path string, key string, node string, id string, p string"
-CLASH = ("x",) * 9
+#: Names of the operators' results.
+RESULTS = "source_size target taken positions position copies offending place shard rank weight leaf subroot root component_id fp distance errors start law".split()
+SCHEMA += "".join(f", {name} string" for name in RESULTS)
+CLASH = ("x",) * (9 + len(RESULTS))
 
 
 def documents(spark, rows):

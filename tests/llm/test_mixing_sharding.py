@@ -30,11 +30,18 @@ def test_mix_positions_follow_the_schedule(spark):
     assert early["a"] < 150 * 3 and set(early) == {"a", "b", "c"}
 
 
+def test_mix_query_is_in_training_order(spark, sf_dir):
+    rows = mixing.op1_mix_sources(spark, sf_dir).collect()
+    times = [r["position"] for r in rows if r["position"] is not None]
+    assert times == sorted(times) and 0 <= times[0] and times[-1] <= 1
+    assert all((r["position"] is None) == (r["copies"] == 0) and r["taken"] <= r["copies"] * r["size"] for r in rows)
+
+
 def test_mix_odd_and_empty(spark, odd, none):
     out = mixing.plan_mix(odd)
     rows = out.collect()
     assert len(rows) == 10 and all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
-    assert "p" in out.columns and out.columns.count("size") == 1
+    assert "p" in out.columns and all(out.columns.count(name) == 1 for name in mixing.RESULTS)
     assert mixing.mix(none).count() == 0
 
 
