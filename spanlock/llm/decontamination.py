@@ -13,7 +13,7 @@ and item that match, with the best occurrence.
 
 Defined cases: null texts are empty; an item without words matches nothing; an item too
 short for an edit must occur exactly and as whole words; repeated items and repeated documents are reported
-each; of equally near occurrences the first one found is reported; very long texts are searched whole, a
+each; of equally near occurrences the first one found is reported, and of the parts that end there the shortest; very long texts are searched whole, a
 very long item is one block of its own; empty tables give an empty result; extra columns do not matter.
 """
 
@@ -94,10 +94,14 @@ def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]
 
 
 def matcher(items: list[tuple[int, str]], chars_per_error: int):
-    """A function from a folded text to its matches: {item number: (distance, start)}."""
+    """A function from a folded text to its matches: {item number: (distance, start)}.
+
+    The start of a match with edits comes from the same search backwards from its end.
+    """
     automaton = ahocorasick.Automaton()
     budget = [len(t) // chars_per_error for _, t in items]
     bits = [masks(t) for _, t in items]
+    backwards: dict[int, dict[str, int]] = {}
     found: dict[str, list[tuple[int, int]]] = {}
     for i, (_, t) in enumerate(items):
         for offset, piece in pieces(t, budget[i]):
@@ -106,9 +110,16 @@ def matcher(items: list[tuple[int, str]], chars_per_error: int):
         automaton.add_word(piece, (len(piece), where))
     automaton.make_automaton()
 
+    def start_of(i: int, text: str, low: int, end: int) -> int:
+        """Where the best part of text[low:end] begins; nothing that ends earlier is as near, so it ends at ``end``."""
+        if i not in backwards:
+            backwards[i] = masks(items[i][1][::-1])
+        return end - myers(backwards[i], len(items[i][1]), text[low:end][::-1])[1]
+
     def match(text: str) -> dict[int, tuple[int, int]]:
         seen: set[tuple[int, int]] = set()
         best: dict[int, tuple[int, int]] = {}
+        window_of: dict[int, tuple[int, int]] = {}
         for stop, (length, where) in automaton.iter(text):
             for i, offset in where:
                 begin = stop + 1 - length - offset  # where the item would begin without edits before the piece
@@ -128,8 +139,9 @@ def matcher(items: list[tuple[int, str]], chars_per_error: int):
                 window = text[low : max(0, cell * (k + 1) + k + n + k)]
                 distance, end = myers(bits[i], n, window)
                 if distance <= k and (i not in best or distance < best[i][0]):
-                    best[i] = (distance, max(0, low + end - n))
-        return best
+                    best[i] = (distance, low + end)
+                    window_of[i] = (low, low + end)
+        return {i: (distance, start_of(i, text, *window_of[i]) if i in window_of else at) for i, (distance, at) in best.items()}
 
     return match
 
