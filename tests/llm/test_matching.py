@@ -30,6 +30,18 @@ def edit_distance_within(item: str, text: str) -> int:
     return best
 
 
+def edit_distance_from_here(item: str, text: str) -> int:
+    """The smallest edit distance of the item to a part at the beginning of the text."""
+    column = list(range(len(item) + 1))
+    best = column[-1]
+    for j, c in enumerate(text, 1):
+        last, column[0] = column[0], j
+        for i, x in enumerate(item, 1):
+            last, column[i] = column[i], min(column[i] + 1, column[i - 1] + 1, last + (x != c))
+        best = min(best, column[-1])
+    return best
+
+
 @given(st.text("abc", min_size=1, max_size=12), st.text("abc", max_size=30))
 @settings(max_examples=200, deadline=None)
 def test_myers_is_the_edit_distance(item, text):
@@ -52,6 +64,9 @@ def test_contaminated_is_brute_force(spark):
         got = {(x["doc_id"], x["item_id"], x["distance"]) for x in decontamination.contaminated(docs, bench, block_chars=block_chars).collect()}
         want = {(d, i, e) for d, t in [*enumerate(texts), (102, items[0])] for i, item in enumerate(items) if (e := edit_distance_within(item, t)) <= len(item) // 16}
         assert got == want
+    of = dict(enumerate(texts)) | {102: items[0]}
+    for x in decontamination.contaminated(docs, bench).collect():
+        assert edit_distance_from_here(items[x["item_id"]], of[x["doc_id"]][x["start"] :]) == x["distance"]
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
@@ -79,6 +94,12 @@ def test_components_are_brute_force(spark, sf_dir):
     assert got == {r["doc_id"]: (f"{fps[i]:016x}", docs[root[i]]["doc_id"]) for i, r in enumerate(docs)}
 
 
+def test_very_many_copies_are_one_component(spark):
+    rows = [(i, None if i % 3 == 0 else " ") for i in range(3000)] + [(None, None), (5000, "alone among all others"), (None, "a text without an id")]
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {(i, 0) for i in range(3000)} | {(None, 0), (5000, 5000), (None, None)}
+
+
 def test_links_lose_none_on_dense_fingerprints(spark):
     r = random.Random(3)
     values = {0}
