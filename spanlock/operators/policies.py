@@ -57,6 +57,23 @@ def ema(states: DataFrame, threshold: float, alpha: float) -> DataFrame:
     return _ready(averages.where(F.col("ema") >= threshold), "ema")
 
 
+def first_ema(states: DataFrame, threshold: float, alpha: float) -> DataFrame:
+    """The first ready row of ``ema`` for each candidate, by a fold that keeps the average and that row alone."""
+    scored = F.col("was_rescored") if "was_rescored" in states.columns else F.lit(True)
+    rows = states.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("step", "probability", scored.alias("scored")))).alias("rows"))
+    step = states.schema["step"].dataType.simpleString()
+    begin = F.struct(F.lit(None).cast("double").alias("ema"), F.lit(None).cast(f"struct<step:{step},probability:double,readiness:double>").alias("at"))
+
+    def add(kept: Column, r: Column) -> Column:
+        before = kept["ema"]
+        now = F.when(before.isNull(), r["probability"]).when(r["scored"], r["probability"] * alpha + before * (1 - alpha)).otherwise(before)
+        ready = F.when(now >= threshold, F.struct(r["step"].alias("step"), r["probability"].alias("probability"), now.alias("readiness")))
+        return F.struct(now.alias("ema"), F.coalesce(kept["at"], ready).alias("at"))
+
+    found = rows.select(*KEY, F.aggregate("rows", begin, add, lambda kept: kept["at"]).alias("at"))
+    return found.where("at is not null").select(*KEY, "at.*")
+
+
 def gate_features(states: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Features of the stability gate: instability, margin of the span's two best labels, advantage of longer spans.
 

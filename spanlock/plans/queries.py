@@ -90,7 +90,7 @@ def _first(s: Stream, policy: str) -> DataFrame:
     if policy == "rescore_patience":
         return P.rescore_patience(s.obs, 0.5, 2)
     if policy == "ema":
-        return P.ema(s.obs, 0.7, 0.5)
+        return P.first_ema(s.obs, 0.7, 0.5)
     return _ready(s, policy)
 
 
