@@ -118,7 +118,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable over the links (a, b); nodes without links are left out.
+    """(node, root): the smallest node reachable over the links (a, b), for roots too; nodes without links are left out.
 
     Alternates large-star (a node's larger neighbours join its smallest) and small-star (its
     smaller ones do) until nothing changes, when every node is linked to its root alone.
@@ -139,7 +139,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges = cut(small)
         now = signature(edges)
         if now == last:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            ends = F.explode(F.array("b", "a")).alias("node")  # a root leads to itself
+            return edges.select(ends, F.col("a").alias("root")).distinct()
         last = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 

@@ -115,6 +115,21 @@ def test_links_lose_none_on_dense_fingerprints(spark):
     assert [of.get(v, v) for v in values] == [values[w] for w in want]
 
 
+def test_a_row_alone_at_the_root_names_its_component(spark):
+    r = random.Random(5)
+    base = prose(r, 2000)
+    first = simhash.fingerprint_of(" ".join(base).encode().split(), 3)
+    near = next(t for t in (" ".join(base[:i] + ["changed"] + base[i + 1 :]) for i in range(2000)) if 1 <= ((simhash.fingerprint_of(t.encode().split(), 3) ^ first) & (1 << 64) - 1).bit_count() <= 2)
+    for texts in ((" ".join(base), near), (near, " ".join(base))):  # the smaller id at either end of the link
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(documents(spark, [*enumerate(texts, 1), (9, "alone")])).collect()}
+        assert got == {1: 1, 2: 1, 9: 9}
+
+
+def test_components_list_their_roots(spark):
+    rows = simhash.components(spark.createDataFrame([(3, 2), (5, 3), (9, 8)], "a long, b long")).collect()
+    assert sorted(map(tuple, rows)) == [(2, 2), (3, 2), (5, 2), (8, 8), (9, 8)]
+
+
 def test_keep_one_is_brute_force(spark):
     r = random.Random(11)
     texts = []
