@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from spanlock.operators import evaluation as E
 from spanlock.operators import policies as P
 from spanlock.operators import resolve as R
 from spanlock.operators import specs as G
@@ -76,3 +77,19 @@ def test_the_whole_table_in_one_exchange_of_rows(spark, sf_dir):
     threshold = next(s.policy_id for s in G.expand() if s.parameters == (("threshold", 0.8),))
     known = {r["chunk_words"]: r["commits"] for r in E.chunk_conditions(spark, sf_dir).collect()}
     assert dict(rows[rows.policy_id == threshold][["chunk_words", "commits"]].itertuples(index=False)) == known
+
+
+def test_ready_rows_are_counted_without_states(sized):
+    steps, obs, _, _ = sized
+    specs = [s for s in G.expand() if s.family in ("fixed-threshold", "fixed-lag") and dict(s.parameters)["threshold"] in (0.1, 0.5, 0.9)]
+    columns = ["policy_id", *P.KEY, "step", "probability", "readiness", "rows"]
+    want = E.counted(G.ready(U.candidate_states(obs, steps), specs)).select(*columns).collect()
+    assert sorted(map(tuple, E.counted_scores(obs, steps, specs).select(*columns).collect())) == sorted(map(tuple, want))
+    with pytest.raises(ValueError):
+        E.counted_scores(obs, steps, [s for s in G.expand() if s.family == "ema"])
+
+
+def test_commits_carry_counts_of_first_rows(spark):
+    first = spark.createDataFrame([("p", 1, 0, 1, "x", 1, 0.9, 0.9, 4), ("p", 1, 1, 2, "x", 1, 0.8, 0.8, 3), ("q", 1, 1, 2, "x", 1, 0.8, 0.8, 3)], "policy_id string, example_id long, start_word long, end_word long, label string, step long, probability double, readiness double, rows long")
+    got = R.commits(first, policy=("policy_id",), keep=("rows",)).select("policy_id", "start_word", "rows").collect()
+    assert sorted(map(tuple, got)) == [("p", 0, 4), ("q", 1, 3)]
