@@ -93,3 +93,16 @@ def test_commits_carry_counts_of_first_rows(spark):
     first = spark.createDataFrame([("p", 1, 0, 1, "x", 1, 0.9, 0.9, 4), ("p", 1, 1, 2, "x", 1, 0.8, 0.8, 3), ("q", 1, 1, 2, "x", 1, 0.8, 0.8, 3)], "policy_id string, example_id long, start_word long, end_word long, label string, step long, probability double, readiness double, rows long")
     got = R.commits(first, policy=("policy_id",), keep=("rows",)).select("policy_id", "start_word", "rows").collect()
     assert sorted(map(tuple, got)) == [("p", 0, 4), ("q", 1, 3)]
+
+
+def test_commit_rows_are_those_of_the_dense_states(sized):
+    steps, obs, _, _ = sized
+    columns = ["policy_id", *P.KEY, "step", "readiness"]
+    states = U.candidate_states(obs, steps)
+    specs = G.pilot(G.expand())
+    got = X.commit_rows(obs, steps, specs, look_ahead=True).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, R.commits(G.ready(states, specs, look_ahead=True), policy=("policy_id",)).select(*columns).collect()))
+    bounds = (0.4, 0.6, 0.05, 0.4, 2)
+    got = X.commit_rows(obs, steps, list(G.gate_ablations(*bounds).values())).select(*columns).collect()
+    want = R.commits(P.grid(P.gate_features(states), P.gate_ablations(*bounds)), policy=("policy_id",)).select(*columns).collect()
+    assert want and sorted((r[0].split(":")[1], *r[1:]) for r in got) == sorted(map(tuple, want))
