@@ -65,3 +65,10 @@ def test_portions_merge_to_the_whole(compared):
         for name, value in r.asDict(recursive=True).items():
             got = merged[k].asDict(recursive=True)[name]
             assert got == (pytest.approx(value) if isinstance(value, float) else value), (k, name)
+
+
+def test_kinds_of_events_agree_without_another_join(compared):
+    rows = {r["update_kind"]: r for r in C.agreement_matrix(compared).collect()}
+    assert set(rows) == {"new"} and rows["new"]["rows"] == 19
+    assert rows["new"]["label"] == pytest.approx(18 / 19) and rows["new"]["side"] == pytest.approx(17 / 19)
+    assert rows["new"]["numbers"] == pytest.approx(sum(not set(r["differences"]) & {"cosine", "probability", "margin", "delta", "width"} for r in compared.collect()) / 19)
