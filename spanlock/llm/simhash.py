@@ -42,6 +42,10 @@ BITS = 64
 FREQUENT, FREQUENT_ROWS = 4, 200_000
 #: Counts of a shingle set by which pairs are sorted out.
 CELLS = 64
+#: In groups of a token with more unconnected texts than this, pairs are held against each other's parities before they are listed.
+HOT = 2
+#: Parity bits of a shingle set, in words of 64.
+PARITY_WORDS = 8
 
 
 def fingerprint_of(words: list[bytes], shingle: int, seed: int = 42) -> int:
@@ -308,27 +312,60 @@ def _class_of(n: Column) -> Column:
     return F.when(n > 0, F.floor(F.log(n.cast("double")) / math.log(1.05))).otherwise(F.lit(-1)).cast("int")
 
 
-def remaining_pairs(members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def parity(values: np.ndarray) -> np.ndarray:
+    """Each shingle flips one bit: two sets differ in at least as many shingles as their parities in bits."""
+    bit = (values >> np.uint64(40)) % np.uint64(PARITY_WORDS * 64)
+    odd = np.bincount(bit.astype(np.int64), minlength=PARITY_WORDS * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def parities(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, parity) of the texts of ``nodes``."""
+    nodes = cut(nodes.select("node").distinct())
+    of = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [parity(shingle_set(text.as_py(), shingle)).tolist() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "parity"])
+
+    rows = texts.join(of, "node", "left_semi").select("node", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(work, "node long, parity array<long>").groupBy("node").agg(F.first("parity").alias("parity"))
+
+
+def remaining_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b): pairs of a group that are not connected yet and can have the similarity, by the places of the shared token.
 
     Let x be the smaller set and y the larger. Both keep at least t / (1 + t) of their joint size
     after the place of their first shared token. So x has that token very early (the place
     that fits a partner of its own size), and the later y has it, the smaller x is: y looks it up in the
     size classes that are left. In each group only texts outside its largest component look up or are
-    looked up, so copies that are connected are not listed pair by pair.
+    looked up, so copies that are connected are not listed pair by pair. Where more than ``HOT`` of such texts share a token,
+    pairs are listed only if their parities leave room for the similarity: pairs of texts that are just less alike are compared there
+    and not listed, and none at the similarity is dropped.
     """
     t = similarity
     of = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = of.groupBy("token", "root").agg(F.count(F.lit(1)).alias("rows"))
-    major = sizes.groupBy("token").agg(F.max_by("root", F.struct("rows", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", "major")
-    of = cut(of.join(major, "token").select("token", "node", "root", "n", "place", (F.col("root") != F.col("major")).alias("minor")))
+    major = sizes.groupBy("token").agg(F.max_by("root", F.struct("rows", "root")).alias("major"), F.count(F.lit(1)).alias("roots"), (F.sum("rows") - F.max("rows")).alias("minors")).where("roots > 1").select("token", "major", (F.col("minors") > HOT).alias("hot"))
+    of = cut(of.join(major, "token").select("token", "node", "root", "n", "place", (F.col("root") != F.col("major")).alias("minor"), "hot"))
+    hot = of.where("hot")
+    hot = cut(hot.join(parities(hot, texts, shingle), "node"))
+    differ = sum((F.bit_count(F.get("a_parity", F.lit(i)).bitwiseXOR(F.get("b_parity", F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
+    room = differ <= (F.col("a_n") + F.col("b_n")) * F.lit((1 - t) / (1 + t)) + 1e-6
+    return _looked_up(of.where("not hot").withColumn("parity", F.lit(None)), t).unionByName(_looked_up(hot, t, room))
+
+
+def _looked_up(of: DataFrame, t: float, room: Column | None = None) -> DataFrame:
+    """The pairs of ``remaining_pairs`` among members; ``room`` is one more condition, on a_parity and b_parity."""
     early = of.where(F.col("n") - F.col("place") >= F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - 1e-9))
-    x = early.select("token", _class_of(F.col("n")).alias("class"), F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"), F.col("place").alias("a_place"), F.col("minor").alias("a_minor"))
+    x = early.select("token", _class_of(F.col("n")).alias("class"), F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"), F.col("place").alias("a_place"), F.col("minor").alias("a_minor"), F.col("parity").alias("a_parity"))
     most = F.least(F.col("n").cast("double"), F.lit((1 + t) / t) * (F.col("n") - F.col("place")) - F.col("n") + 1e-6)
     y = of.withColumn("most", most).where(F.col("most") >= F.col("n") * t - 1e-6)
     classes = F.sequence(_class_of(F.floor(F.col("n") * t)), _class_of(F.ceil(F.col("most"))))
-    y = y.select("token", F.explode(classes).alias("class"), F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"), F.col("place").alias("b_place"), F.col("minor").alias("b_minor"))
+    y = y.select("token", F.explode(classes).alias("class"), F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"), F.col("place").alias("b_place"), F.col("minor").alias("b_minor"), F.col("parity").alias("b_parity"))
     fits = F.expr("a_root <> b_root and a_n <= b_n") & (F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) >= (F.col("a_n") + F.col("b_n")) * F.lit(t / (1 + t)) - 1e-6) & (F.col("a_n") >= F.col("b_n") * t - 1e-6)
+    fits = fits if room is None else fits & room
     met = x.where("a_minor").join(y, ["token", "class"]).where(fits).select("a", "b")
     return met.unionByName(x.where("not a_minor").join(y.where("b_minor"), ["token", "class"]).where(fits).select("a", "b"))
 
@@ -345,7 +382,7 @@ def similar(nodes: DataFrame, texts: DataFrame, *, shingle: int, similarity: flo
     members = cut(members.join(shared, "token").select("token", "node", "n", "place"))
     first = cut(_possible(_ordered(grid_pairs(nodes).unionByName(star_pairs(members))), nodes, similarity))
     found = cut(_verified(first, texts, shingle, similarity))
-    rest = _ordered(remaining_pairs(members, cut(components(found)), similarity)).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    rest = _ordered(remaining_pairs(members, texts, cut(components(found)), shingle, similarity)).join(first.select("a", "b"), ["a", "b"], "left_anti")
     more = _verified(cut(_possible(rest, nodes, similarity)), texts, shingle, similarity)
     # Computed anew, so that Spark does not take the two for partitioned alike and zip them.
     return found.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
