@@ -43,3 +43,9 @@ def test_partitions_grow_with_the_source_and_tasks_do_not(spark, monkeypatch):
 def test_parities_of_entities_decode_the_snapshots_once(spark, sf_dir):
     plan = Q.QUERIES["parity_entities"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan  # the comparison reads what was written
+
+
+def test_stability_and_buffer_read_the_log_once(spark, sf_dir):
+    for name in ("trajectory_stability", "commits_edge_buffer"):
+        plan = Q.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("md5(") == 2, name  # one score for each label
