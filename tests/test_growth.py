@@ -9,6 +9,7 @@ from spanlock.operators import selection as S
 from spanlock.plans import evaluations  # noqa: F401
 from spanlock.plans import queries as Q
 from spanlock.sources import tables
+from spanlock.streaming import tracker as T
 
 
 def final_plan(df) -> str:
@@ -49,3 +50,11 @@ def test_stability_and_buffer_read_the_log_once(spark, sf_dir):
     for name in ("trajectory_stability", "commits_edge_buffer"):
         plan = Q.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("md5(") == 2, name  # one score for each label
+
+
+def test_states_of_a_stream_come_as_columns():
+    tracker = T._Tracker([], None)
+    tracker.observe(1, [(0, 0, "person", 0.5, 0.1), (0, 1, "place", 0.25, 0.2)])
+    states = tracker.states(7, 1, 3)
+    assert states["start_word"].tolist() == [0, 0] and states["tail_distance_words"].tolist() == [2, 1] and states["snapshot_age"].tolist() == [0, 0]
+    assert list(tracker.rows(7, 1, 3)) == []
