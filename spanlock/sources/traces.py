@@ -7,8 +7,6 @@ row hashes, so it does not depend on order or files, and Spark computes it where
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,23 +48,30 @@ def violations(steps: DataFrame, updates: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("example_id").orderBy("step")
     s = steps.withColumn("was", F.lag("visible_char_count").over(order)).withColumn("words_were", F.lag("visible_word_count").over(order)).withColumn("number", F.row_number().over(order))
-    u = updates.join(steps.select("example_id", "step", F.col("visible_word_count").alias("seen")), ["example_id", "step"], "left")
-    scored = updates.groupBy("example_id", "step", "start_word", "end_word").agg(F.count(F.lit(1)).alias("n"))
-
-    def rule(df: DataFrame, name: str, broken: Column) -> DataFrame:
-        return df.where(broken).select(F.lit(name).alias("rule"), "example_id", "step")
-
-    return reduce(
-        DataFrame.unionAll,
-        [
-            rule(s, "step_gap", F.col("step") != F.col("number")),
-            rule(s, "text_shrinks", F.col("visible_char_count") < F.col("was")),
-            rule(s, "words_shrink", F.col("visible_word_count") < F.col("words_were")),
-            rule(s, "chunk_length", F.col("visible_char_count") - F.coalesce("was", F.lit(0)) != F.length("chunk")),
-            rule(u, "unknown_step", F.col("seen").isNull()),
-            rule(u, "word_order", (F.col("start_word") < 0) | (F.col("end_word") < F.col("start_word"))),
-            rule(u, "unseen_word", F.col("end_word") >= F.col("seen")),
-            rule(u, "probability", F.exists("probs", lambda p: p.isNull() | F.isnan(p) | (p < 0) | (p > 1))),
-            rule(scored, "scored_twice", F.col("n") > 1),
-        ],
-    )
+    of_steps = {
+        "step_gap": F.col("step") != F.col("number"),
+        "text_shrinks": F.col("visible_char_count") < F.col("was"),
+        "words_shrink": F.col("visible_word_count") < F.col("words_were"),
+        "chunk_length": F.col("visible_char_count") - F.coalesce("was", F.lit(0)) != F.length("chunk"),
+    }
+    none = F.lit(0).cast("long")
+    # The log is read once: how often an event is there and how often its probabilities are broken, then what its step has seen
+    # (a step that is there twice counts twice). The steps grow with the streams, so they are never broadcast through the driver.
+    broken = F.exists("probs", lambda p: p.isNull() | F.isnan(p) | (p < 0) | (p > 1))
+    u = updates.groupBy("example_id", "step", "start_word", "end_word").agg(F.count(F.lit(1)).alias("n"), F.count_if(broken).alias("bad"))
+    known = steps.groupBy("example_id", "step").agg(F.count(F.lit(1)).alias("times"), F.collect_list("visible_word_count").alias("seen"))
+    u = u.join(known.hint("merge"), ["example_id", "step"], "left").withColumn("seen", F.coalesce("seen", F.array()))
+    times = F.coalesce("times", F.lit(1).cast("long"))
+    of_updates = {
+        "unknown_step": F.col("n") * (times - F.size("seen")),
+        "word_order": F.when((F.col("start_word") < 0) | (F.col("end_word") < F.col("start_word")), F.col("n") * times),
+        "unseen_word": F.col("n") * F.size(F.filter("seen", lambda w: F.col("end_word") >= w)),
+        "probability": F.col("bad") * times,
+        "scored_twice": F.when(F.col("n") > 1, F.lit(1)),
+    }
+
+    def rows(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+        found = (F.array_repeat(F.lit(name), F.coalesce(n, none).cast("int")) for name, n in rules.items())
+        return df.select(F.explode(F.concat(*found)).alias("rule"), "example_id", "step")
+
+    return rows(s, {name: F.when(met, F.lit(1)) for name, met in of_steps.items()}).unionAll(rows(u, of_updates))

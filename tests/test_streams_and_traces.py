@@ -83,6 +83,22 @@ def test_runs_are_read_back_and_tampering_is_found(spark, sf_dir, tmp_path):
         traces.read_run(spark, folder)
 
 
+def test_violations_read_the_log_once(spark, sf_dir):
+    ran = engine.QUERIES["trace_violations"](spark, sf_dir)._jdf.queryExecution()
+    plan = ran.optimizedPlan().toString()
+    assert plan.count("md5(") == 2 and plan.count("Join") == 1  # one score for each label, one look at the steps
+    assert "BroadcastHashJoin" not in ran.executedPlan().toString()
+
+
+def test_violations_count_rows_and_steps_that_are_there_twice(spark):
+    steps = spark.createDataFrame([(1, 1, "a ", 2, 1), (1, 2, "b ", 4, None), (1, 2, "b ", 4, 2)], "example_id long, step long, chunk string, visible_char_count long, visible_word_count long")
+    events = [(1, 1, 0, 0, [0.5]), (1, 1, 2, 1, [0.5]), (1, 1, 2, 1, [2.0]), (1, 2, 5, 5, [None]), (1, 9, 0, 0, None), (None, 1, 0, 0, [0.1])]
+    got = traces.violations(steps, spark.createDataFrame(events, "example_id long, step long, start_word long, end_word long, probs array<double>")).groupBy("rule", "step").count()
+    want = {("step_gap", 2): 1, ("chunk_length", 2): 1, ("word_order", 1): 2, ("unseen_word", 1): 2, ("probability", 1): 1, ("scored_twice", 1): 1, ("unknown_step", 1): 1, ("unknown_step", 9): 1}
+    want |= {("unknown_step", 2): 1, ("unseen_word", 2): 1, ("probability", 2): 2}
+    assert {(r["rule"], r["step"]): r["count"] for r in got.collect()} == want
+
+
 def test_violations_are_named(spark):
     steps = spark.createDataFrame([(1, 1, "ab ", 3, 1), (1, 3, "c", 5, 2), (1, 4, "", 4, 2)], "example_id long, step long, chunk string, visible_char_count long, visible_word_count long")
     updates = spark.createDataFrame([(1, 1, 0, 5, [0.5]), (1, 3, 1, 0, [1.5]), (1, 3, 1, 0, [0.1]), (1, 9, 0, 0, [0.1])], "example_id long, step long, start_word long, end_word long, probs array<double>")
