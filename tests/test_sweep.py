@@ -106,3 +106,36 @@ def test_commit_rows_are_those_of_the_dense_states(sized):
     got = X.commit_rows(obs, steps, list(G.gate_ablations(*bounds).values())).select(*columns).collect()
     want = R.commits(P.grid(P.gate_features(states), P.gate_ablations(*bounds)), policy=("policy_id",)).select(*columns).collect()
     assert want and sorted((r[0].split(":")[1], *r[1:]) for r in got) == sorted(map(tuple, want))
+
+
+@pytest.mark.parametrize("widest, end", [(16, 100), (16, 2), (1, 100)])
+def test_columns_resolved_side_by_side_are_those_of_one_pass_each(monkeypatch, widest, end):
+    import numpy as np
+
+    monkeypatch.setattr(X, "WIDEST", widest)
+    monkeypatch.setattr(X, "ONE_BY_ONE", end)  # how early what is left goes one by one
+    r = np.random.default_rng(7)
+    s = X._Stream.__new__(X._Stream)
+    lines = np.array([(a, b, label) for a in range(30) for b in range(a, min(a + 3, 30)) for label in range(1 + (a + b) % 3)])
+    s.start, s.end, s.width, s.kind = lines[:, 0], lines[:, 1], 3, np.int32
+    s.span, s.never = np.flatnonzero(np.r_[True, (np.diff(lines[:, :2], axis=0) != 0).any(axis=1)]), np.iinfo(np.int32).max
+    keys = np.array([r.permutation(len(lines)) + 40 * lines[:, 1] * (c % 2) for c in range(20)], dtype=np.int32).T  # odd columns: later words come later
+    keys = np.argsort(np.argsort(keys, axis=0, kind="stable"), axis=0).astype(np.int32)
+    keys[r.random(keys.shape) < 0.3] = s.never
+    keys[:, 3] = s.never
+    column, key = s.free(keys)
+    for c in range(20):
+        taken, want = set(), []
+        for i in np.argsort(keys[:, c], kind="stable"):
+            words = set(range(s.start[i], s.end[i] + 1))
+            if keys[i, c] < s.never and not words & taken:
+                taken |= words
+                want.append(keys[i, c])
+        assert sorted(key[column == c]) == want
+
+
+def test_levels_give_the_first_row_at_each_bound():
+    import numpy as np
+
+    value = np.array([[0.2, 0.7, 0.1, 0.9], [0.5, -np.inf, -np.inf, -np.inf]])
+    assert X._reached(value, np.array([0.9, 0.5, 0.95, 0.1])).tolist() == [[3, 1, 4, 0], [4, 0, 4, 0]]
