@@ -139,3 +139,16 @@ def test_levels_give_the_first_row_at_each_bound():
 
     value = np.array([[0.2, 0.7, 0.1, 0.9], [0.5, -np.inf, -np.inf, -np.inf]])
     assert X._reached(value, np.array([0.9, 0.5, 0.95, 0.1])).tolist() == [[3, 1, 4, 0], [4, 0, 4, 0]]
+
+
+def test_the_grid_scores_spans_of_all_chunk_sizes_again(spark, sf_dir):
+    from spanlock.plans import evaluations as E
+
+    grid = E.grid_commit_counts(spark, sf_dir).toPandas()
+    again = {s.policy_id for s in G.expand() if s.family == "rescore-patience" and s.parameters == (("patience", 2), ("threshold", 0.5))}
+    commits = grid[grid.policy_id.isin(again)].set_index("chunk_words").commits
+    assert (commits > 0).all() and set(commits.index) == {"1", "2", "4", "8"}
+    threshold = next(s.policy_id for s in G.expand() if s.parameters == (("threshold", 0.8),))
+    obs = E._sized(spark, sf_dir, how=U.Scoring())[2]
+    want = {r["size"]: r["count"] for r in R.commits(P.fixed_threshold(obs, 0.8)).groupBy(F.substring_index("example_id", ":", 1).alias("size")).count().collect()}
+    assert dict(grid[grid.policy_id == threshold][["chunk_words", "commits"]].itertuples(index=False)) == want
