@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlock.operators import evaluation as E
+from spanlock.operators import metrics as M
 from spanlock.operators import policies as P
 from spanlock.operators import resolve as R
 from spanlock.operators import specs as G
@@ -152,3 +153,35 @@ def test_the_grid_scores_spans_of_all_chunk_sizes_again(spark, sf_dir):
     obs = E._sized(spark, sf_dir, how=U.Scoring())[2]
     want = {r["size"]: r["count"] for r in R.commits(P.fixed_threshold(obs, 0.8)).groupBy(F.substring_index("example_id", ":", 1).alias("size")).count().collect()}
     assert dict(grid[grid.policy_id == threshold][["chunk_words", "commits"]].itertuples(index=False)) == want
+
+
+def test_commits_are_counted_in_the_task_of_their_stream(sized):
+    steps, obs, words, _ = sized
+    specs = [s for s in G.expand() if s.family in ("fixed-threshold", "fixed-lag") and dict(s.parameters)["threshold"] in (0.1, 0.5, 0.9)]
+    ready = E.counted_scores(obs, steps, specs)
+    got = X.counted_commits(obs, steps, words, specs).cache()
+    columns = ["policy_id", *P.KEY, "step", "readiness", "rows"]
+    want = R.commits(ready, policy=("policy_id",), keep=("rows",))
+    assert sorted(map(tuple, got.where("start_word is not null").select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    assert {tuple(r) for r in got.where("start_word is null").select("policy_id", "example_id", "rows").collect()} == {tuple(r) for r in ready.groupBy("policy_id", "example_id").agg(F.sum("rows")).collect()}
+    placed = Q.spans_in_chars(got.where("start_word is not null").drop("start_char", "end_char"), words).select(*columns, "start_char", "end_char")
+    assert placed.exceptAll(got.select(*placed.columns)).isEmpty()
+    with pytest.raises(ValueError):
+        X.counted_commits(obs, steps, words, [s for s in G.expand() if s.family == "ema"])
+
+
+def test_evaluation_writes_commits_and_not_ready_rows(spark, sf_dir, monkeypatch):
+    from spanlock.plans import evaluations as plans
+
+    monkeypatch.setattr(E, "counted_scores", None)
+    plan = plans.evaluated(spark, sf_dir)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" not in plan  # texts, words and gold are not worked out once more
+
+
+def test_churn_counts_what_comes_and_goes_without_sets(spark):
+    steps = spark.createDataFrame([(e, s) for e, n in ((1, 4), (2, 1), (3, 2)) for s in range(1, n + 1)], "example_id long, step long")
+    rows = [(1, 1, 0), (1, 1, 3), (1, 2, 0), (1, 2, 0), (1, 4, 0), (1, 4, 5), (2, 1, 0)]
+    snapshots = spark.createDataFrame([(e, s, a, a, "x") for e, s, a in rows], "example_id long, step long, start_word long, end_word long, label string")
+    out = M.churn(snapshots, steps)
+    assert {tuple(r) for r in out.collect()} == {(1, 1 + 1 + 2, 2 + 1 + 2), (3, 0, 0)}
+    assert "array" not in out._jdf.queryExecution().optimizedPlan().toString()
