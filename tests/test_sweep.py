@@ -185,3 +185,8 @@ def test_churn_counts_what_comes_and_goes_without_sets(spark):
     out = M.churn(snapshots, steps)
     assert {tuple(r) for r in out.collect()} == {(1, 1 + 1 + 2, 2 + 1 + 2), (3, 0, 0)}
     assert "array" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["policy_pareto", "matched_policies"])
+def test_choices_among_policies_read_groups_that_are_worked_out_once(spark, sf_dir, name):
+    assert "example_id" not in Q.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
