@@ -190,3 +190,24 @@ def test_churn_counts_what_comes_and_goes_without_sets(spark):
 @pytest.mark.parametrize("name", ["policy_pareto", "matched_policies"])
 def test_choices_among_policies_read_groups_that_are_worked_out_once(spark, sf_dir, name):
     assert "example_id" not in Q.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_observations_of_a_stream_follow_from_its_scored_spans(sized):
+    _, obs, _, _ = sized
+    import pyarrow as pa
+
+    mine = obs.where("example_id = '1:1'").select(*X.SCORED)
+    probs = F.transform(F.array_sort(F.collect_list(F.struct(F.col("label") == "place", "probability"))), lambda x: x["probability"])
+    scores = mine.groupBy("example_id", "start_word", "end_word", "step").agg(probs.alias("probs")).orderBy(F.rand(3))
+    got = X._observed(pa.table(scores.toArrow()), ["person", "place"]).to_pylist()
+    assert sorted(tuple(r[c] for c in X.SCORED if c != "next_step") for r in got) == sorted(tuple(r[c] for c in X.SCORED if c != "next_step") for r in mine.collect())
+    nexts = lambda rows: {(r["start_word"], r["end_word"], r["label"], r["step"]): r["next_step"] for r in rows}
+    assert nexts(got) == nexts(mine.collect()) and None in nexts(got).values()
+
+
+def test_streams_get_a_row_for_all_labels_of_a_span(spark, sf_dir, monkeypatch):
+    from spanlock.plans import evaluations as plans
+
+    monkeypatch.setattr(Q, "kept", lambda df: df)
+    plan = plans.bootstrap_rows(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "probs" in plan and "instability" not in plan and "next_step" not in plan
